@@ -100,7 +100,8 @@ def _substrings(rows: DataFrame, text: str, pieces: DataFrame, piece: str) -> Da
 def _first_hits(hits: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first few hits per lookup, numbered. Spark cuts each map output first."""
     place = Window.partitionBy(*keys).orderBy(*order)
-    return hits.withColumn("pos", F.row_number().over(place)).where(F.col("pos") <= MAX_SUGGESTIONS)
+    numbered = hits.withColumn("pos", F.row_number().over(place))
+    return numbered.where(F.col("pos") <= MAX_SUGGESTIONS).withColumn("pos", F.col("pos").cast("long"))
 
 
 def _lower_refs(refs: DataFrame) -> DataFrame:

@@ -304,7 +304,7 @@ QUERIES: dict[str, Query] = {
     "list_all_with_progress": _list_all_with_progress,
     "inbox": lambda s, d: _numbered(listing.inbox(_tasks(s, d)), "newest"),
     "active_count": _over_tasks(listing.active_count),
-    "search_title_body": lambda s, d: _numbered(listing.search(_tasks(s, d), "customer 1_%URGENT"), "newest"),
+    "search_title_body": lambda s, d: _numbered(listing.search(_tasks(s, d), "order 1_%CUSTOMER 2"), "newest"),
     "search_literal": lambda s, d: _numbered(listing.search(_tasks(s, d), "Priority 2-HIGH"), "newest"),
     "search_many": _search_many,
     "summary_counts": _over_tasks(summary.summary_counts),
