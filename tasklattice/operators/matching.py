@@ -2,8 +2,9 @@
 
 No operator here compares every lookup with every task. Each turns the test
 into an equality on a piece of text and joins on that; what the piece alone
-does not decide is checked afterwards. Catalyst broadcasts the lookups when it
-measures them as small, and shuffles both sides when they are not.
+does not decide is checked afterwards. Lookups that took joins to find are
+written out first: Catalyst then knows their real size, and broadcasts them only
+if that is below the session's threshold.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..schema import ID_LENGTH, MIN_PREFIX_LENGTH
+from ..session import materialise
 from . import ordering as O
 from .listing import ListOptions, matching
 
@@ -22,8 +24,8 @@ MAX_EDITS = 2
 # Up to this length a lookup is matched by leaving out two characters, above it
 # by one of three pieces that two edits must leave whole.
 MAX_DELETION_LENGTH = 12
-# Lengths of the text pieces that stand for a search query.
-ANCHOR_LENGTHS = (16, 8, 4, 2, 1)
+# A text is looked up by one piece of it, an anchor, of one of these lengths.
+ANCHOR_LENGTHS = (6, 4, 3, 2, 1)
 
 
 def _with_lengths(rows: DataFrame, texts: DataFrame, text: str) -> DataFrame:
@@ -89,12 +91,63 @@ def _candidates(tasks: DataFrame) -> DataFrame:
     )
 
 
-def _substrings(rows: DataFrame, text: str, pieces: DataFrame, piece: str) -> DataFrame:
-    """All distinct substrings of a text, in the lengths that occur among the pieces."""
-    room = F.length(text) - F.col("_length")
-    starts = F.when(room >= 0, F.sequence(F.lit(1), room + 1))
-    cut = F.transform(starts, lambda at: F.substring(F.col(text), at, F.col("_length")))
-    return _with_lengths(rows, pieces, piece).select("*", F.explode(F.array_distinct(cut)).alias(piece))
+def _anchored(queries: DataFrame, text: str, pieces: Column) -> DataFrame:
+    """Add ``anchor``: a stretch of one of the pieces, of one of the fixed lengths.
+
+    Of all such stretches the one that the fewest queries have is taken. Then a
+    stretch of some task's text leads to few queries, however many queries share
+    their common words. A query without any piece has the empty anchor.
+    """
+    longest = F.array_max(F.transform(pieces, F.length))
+    sized = queries.withColumn("_pieces", pieces).withColumn(
+        "_size", C.cases(((longest >= n, n) for n in ANCHOR_LENGTHS), 0)
+    )
+    stretches = F.flatten(
+        F.transform(
+            "_pieces",
+            lambda piece: F.when(
+                F.length(piece) >= F.col("_size"),
+                F.transform(
+                    F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(piece) - F.col("_size") + 1)),
+                    lambda at: F.substring(piece, at, F.col("_size")),
+                ),
+            ).otherwise(F.array().cast("array<string>")),
+        )
+    )
+    options = sized.select(text, F.explode(F.array_distinct(stretches)).alias("anchor"))
+    shared = options.groupBy("anchor").agg(F.count(F.lit(1)).alias("_shared"))
+    best = (
+        options.join(shared, "anchor")
+        .groupBy(text)
+        .agg(F.min(F.struct("_shared", "anchor")).alias("_best"))
+        .select(text, F.col("_best.anchor").alias("anchor"))
+    )
+    return materialise(queries.join(best, text))
+
+
+def _stretches(rows: DataFrame, texts: list[str], anchors: DataFrame) -> DataFrame:
+    """One row per distinct stretch of the texts, in the lengths the anchors have."""
+    sizes = anchors.select("anchor").distinct()
+
+    def cut(text: str) -> Column:
+        last = F.length(text) - F.col("_length") + 1
+        starts = F.when(F.col("_length") == 0, F.array(F.lit(1))).when(last >= 1, F.sequence(F.lit(1), last))
+        found = F.transform(starts, lambda at: F.substring(F.col(text), at, F.col("_length")))
+        return F.coalesce(found, F.array().cast("array<string>"))
+
+    every = F.array_distinct(F.concat(*map(cut, texts)))
+    return _with_lengths(rows, sizes, "anchor").drop("anchor").select(*rows.columns, F.explode(every).alias("anchor"))
+
+
+def _containing(rows: DataFrame, text: str, lookups: DataFrame) -> DataFrame:
+    """Join rows with the lookups (low_ref) that their text contains. The text should be short."""
+    anchored = _anchored(lookups, "low_ref", F.array("low_ref"))
+    return (
+        _stretches(rows, [text], anchored)
+        .join(anchored, "anchor")
+        .where(F.contains(text, "low_ref"))
+        .drop("anchor")
+    )
 
 
 def _first_hits(hits: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -130,23 +183,21 @@ def suggest(refs: DataFrame, tasks: DataFrame) -> DataFrame:
     Id prefixes come first and alone if there are any; then ids, then titles
     that hold the ref. Closed tasks are not suggested.
     """
-    unresolved = resolve(refs, tasks).where("status != 'OK'").select("ref")
+    unresolved = materialise(resolve(refs, tasks).where("status != 'OK'").select("ref"))
     lookups = _lower_refs(unresolved)
     candidates = _candidates(tasks)
 
-    by_prefix = _first_hits(
-        _prefix_hits(lookups, candidates).withColumn("hit", F.lit("prefix")), ["low_ref"], [F.col("place")]
-    )
-    # Prefix hits are substring hits too, so one ranking by class serves all
-    # three: where a prefix hit exists, the later classes are dropped.
-    in_id = _substrings(candidates, "low_id", lookups, "low_ref").join(lookups, "low_ref").select(
-        "low_ref", "id", "title", "place", F.lit(1).alias("class")
-    )
-    in_title = _substrings(candidates, "low_title", lookups, "low_ref").join(lookups, "low_ref").select(
-        "low_ref", "id", "title", "place", F.lit(2).alias("class")
+    by_prefix = materialise(
+        _first_hits(
+            _prefix_hits(lookups, candidates).withColumn("hit", F.lit("prefix")), ["low_ref"], [F.col("place")]
+        )
     )
-    inside = in_id.unionByName(in_title).join(
-        by_prefix.select("low_ref").distinct(), "low_ref", "left_anti"
+    rest = lookups.join(by_prefix.select("low_ref").distinct(), "low_ref", "left_anti")
+    in_id = _containing(candidates.select("low_id", "id", "title", "place"), "low_id", rest)
+    in_title = _containing(candidates.select("low_title", "id", "title", "place"), "low_title", rest)
+    columns = ["low_ref", "id", "title", "place"]
+    inside = (
+        in_id.select(*columns, F.lit(1).alias("class")).unionByName(in_title.select(*columns, F.lit(2).alias("class")))
     )
     by_content = _first_hits(inside, ["low_ref"], [F.col("class"), F.col("place")]).withColumn(
         "hit", F.when(F.col("class") == 1, "id").otherwise("title")
@@ -213,23 +264,29 @@ def fuzzy_match(refs: DataFrame, tasks: DataFrame) -> DataFrame:
     columns = ["low_ref", "pos", "hit", "id", "distance"]
 
     by_prefix = _first_hits(_prefix_hits(lookups, candidates), ["low_ref"], [F.col("place")])
-    by_prefix = by_prefix.withColumns({"hit": F.lit("prefix"), "distance": F.lit(0)}).select(columns)
+    by_prefix = materialise(
+        by_prefix.withColumns({"hit": F.lit("prefix"), "distance": F.lit(0)}).select(columns)
+    )
     rest = lookups.join(by_prefix.select("low_ref").distinct(), "low_ref", "left_anti")
 
-    inside = _substrings(candidates, "low_id", rest, "low_ref").join(rest, "low_ref")
+    inside = _containing(candidates.select("low_id", "id", "place"), "low_id", rest)
     by_content = _first_hits(inside, ["low_ref"], [F.col("place")])
-    by_content = by_content.withColumns(
-        {"hit": F.lit("substring"), "distance": F.lit(None).cast("int")}
-    ).select(columns)
+    by_content = materialise(
+        by_content.withColumns(
+            {"hit": F.lit("substring"), "distance": F.lit(None).cast("int")}
+        ).select(columns)
+    )
     rest = rest.join(by_content.select("low_ref").distinct(), "low_ref", "left_anti")
 
-    keyed_refs = rest.select(
-        "low_ref",
-        F.length("low_ref").alias("_length"),
-        F.explode(_fuzzy_keys(F.col("low_ref"), 0)).alias("key"),
+    keyed_refs = materialise(
+        rest.select(
+            "low_ref",
+            F.length("low_ref").alias("_length"),
+            F.explode(_fuzzy_keys(F.col("low_ref"), 0)).alias("key"),
+        )
     )
     keyed_ids = (
-        _with_lengths(candidates, rest, "low_ref")
+        _with_lengths(candidates, keyed_refs, "low_ref")
         .withColumn("head", F.substring("low_id", F.lit(1), F.col("_length")))
         .where(F.length("head") == F.col("_length"))
         .select("id", "place", "head", "_length", F.explode(_fuzzy_keys(F.col("head"), MAX_EDITS)).alias("key"))
@@ -246,52 +303,32 @@ def fuzzy_match(refs: DataFrame, tasks: DataFrame) -> DataFrame:
     return _with_refs(hits, refs)
 
 
-def _anchor(query: Column) -> Column:
-    """The start of the longest wildcard-free piece, cut to one of the fixed lengths."""
-    pieces = F.split(query, "[%_]")
-    longest = F.reduce(
-        pieces, F.lit(""), lambda best, piece: F.when(F.length(piece) > F.length(best), piece).otherwise(best)
-    )
-    return C.cases(
-        ((F.length(longest) >= n, F.substring(longest, 1, n)) for n in ANCHOR_LENGTHS), ""
-    )
-
-
 def search_many(tasks: DataFrame, queries: DataFrame) -> DataFrame:
     """Every (q, id) where the task's title or description holds the query, wildcards included.
 
-    A query is looked up by an anchor, a wildcard-free piece of it. Texts are cut
-    into pieces of the anchor lengths in use and joined by equality, with only
-    the id alongside; the texts come back for the pairs that remain. A query of
-    wildcards alone has the empty anchor, which every text holds.
+    Texts are cut into stretches of the anchor lengths in use and joined with the
+    anchors by equality, with only the id alongside; the texts come back for the
+    pairs that remain. A query of wildcards alone has the empty anchor, which
+    every text holds.
     """
-    wanted = queries.select("q").where(F.col("q").isNotNull()).distinct().withColumns(
-        {"low_q": F.lower("q"), "anchor": _anchor(F.lower("q"))}
-    )
-    anchors = wanted.select("anchor").distinct()
+    wanted = queries.select("q", F.lower("q").alias("low_q")).where(F.col("q").isNotNull()).distinct()
+    literals = F.filter(F.split("low_q", "[%_]"), lambda piece: piece != "")
+    anchored = _anchored(wanted, "q", F.when(F.size(literals) > 0, literals).otherwise(F.array(F.lit(""))))
     texts = tasks.select("id", F.lower("title").alias("low_title"), F.lower("description").alias("low_body"))
-
-    def pieces(text: str) -> Column:
-        starts = F.when(
-            F.col("_length") > 0,
-            F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - F.col("_length") + 1)),
-        ).otherwise(F.array(F.lit(1)))
-        return F.transform(starts, lambda at: F.substring(F.col(text), at, F.col("_length")))
-
-    cut = F.array_distinct(
-        F.concat(
-            F.coalesce(pieces("low_title"), F.array().cast("array<string>")),
-            F.coalesce(pieces("low_body"), F.array().cast("array<string>")),
-        )
-    )
     pairs = (
-        _with_lengths(texts, anchors, "anchor")
-        .select("id", F.explode(cut).alias("anchor"))
-        .join(wanted, "anchor")
+        _stretches(texts, ["low_title", "low_body"], anchored)
+        .select("id", "anchor")
+        .join(anchored, "anchor")
         .select("q", "low_q", "id")
     )
-    pattern = F.concat(
-        F.lit("%"), F.replace("low_q", F.lit("\\"), F.lit("\\\\")), F.lit("%")
-    )
-    hit = F.like("low_title", pattern) | F.like("low_body", pattern)
+    pattern = F.concat(F.lit("%"), F.replace("low_q", F.lit("\\"), F.lit("\\\\")), F.lit("%"))
+
+    def holds(text: str) -> Column:
+        # A pattern is compiled anew for every pair, so it comes last.
+        pieces = F.split("low_q", "[%_]")
+        return F.when(F.size(pieces) == 1, F.contains(text, "low_q")).when(
+            F.forall(pieces, lambda piece: F.contains(F.col(text), piece)), F.like(text, pattern)
+        )
+
+    hit = F.coalesce(holds("low_title"), F.lit(False)) | F.coalesce(holds("low_body"), F.lit(False))
     return pairs.join(texts, "id").where(hit).select("q", "id")

@@ -26,8 +26,8 @@ AUTHOR = "A. Writer <writer@example.com>"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.derive(spark, sf_dir, fx.TASKS)
+def _tasks(spark: SparkSession, sf_dir: str, busy: bool = False) -> DataFrame:
+    return fx.derive(spark, sf_dir, fx.TASKS, busy)
 
 
 def _shown(df: DataFrame, *names: str) -> DataFrame:
@@ -75,11 +75,11 @@ def _list_all_with_progress(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _search_many(spark: SparkSession, sf: str) -> DataFrame:
-    return matching.search_many(_tasks(spark, sf), fx.derive(spark, sf, fx.SEARCHES))
+    return matching.search_many(_tasks(spark, sf, busy=True), fx.derive(spark, sf, fx.SEARCHES))
 
 
 def _with_refs(operator: Callable[[DataFrame, DataFrame], DataFrame], text: str) -> Query:
-    return lambda spark, sf: operator(fx.derive(spark, sf, text), _tasks(spark, sf))
+    return lambda spark, sf: operator(fx.derive(spark, sf, text), _tasks(spark, sf, busy=True))
 
 
 def _over_tasks(operator: Callable[[DataFrame], DataFrame]) -> Query:

@@ -190,9 +190,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def derive(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """One of the texts above as a DataFrame."""
+def spread(df: DataFrame) -> DataFrame:
+    """Hand a table of few files to all cores; one of many files is left as it is.
+
+    For operators that do much work per row. A large table has more files than
+    the cluster has cores and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+def derive(spark: SparkSession, sf_dir: str, text: str, busy: bool = False) -> DataFrame:
+    """One of the texts above as a DataFrame, spread over the cores if much is done per row."""
     used = {name: table(spark, sf_dir, name) for name in TABLES if "{" + name + "}" in text}
+    if busy:
+        used = {name: spread(df) for name, df in used.items()}
     return spark.sql(text, **used)
 
 
