@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import text as X
+from ..session import materialise
 from .hierarchy import child_breakdown, children
 from .matching import resolve
 
@@ -20,10 +21,10 @@ def cards(tasks: DataFrame, refs: DataFrame, order: str = "text") -> DataFrame:
     3 the subtasks in order, 4 their counts. A card is rows rather than one
     value, so a task with any number of subtasks has its whole card.
     """
-    ids = resolve(refs, tasks).where("status = 'OK'").select("id").distinct()
+    ids = materialise(resolve(refs, tasks).where("status = 'OK'").select("id").distinct())
     shown = tasks.join(ids, "id", "left_semi")
-    families = tasks.join(ids.withColumnRenamed("id", "parent"), "parent", "left_semi")
-    counts = child_breakdown(families).withColumnRenamed("parent", "id")
+    # Counted for all parents first: a join on the parent would gather each family in one task.
+    counts = child_breakdown(tasks).withColumnRenamed("parent", "id").join(ids, "id", "left_semi")
 
     def part(rows: DataFrame, number: int, line, key: str = "id", no=F.lit(1)) -> DataFrame:
         return rows.select(
@@ -45,7 +46,7 @@ def cards(tasks: DataFrame, refs: DataFrame, order: str = "text") -> DataFrame:
         .unionByName(part(child_ids.join(tasks.select("id", "title"), "id"), 2, parent_line, key="child"))
         .unionByName(
             part(
-                children(families, ids, order), 3, F.concat(F.lit("  "), X.subtask_line(), teaser),
+                children(tasks, ids, order), 3, F.concat(F.lit("  "), X.subtask_line(), teaser),
                 key="parent", no=F.col("child_no"),
             )
         )

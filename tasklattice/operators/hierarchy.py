@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..schema import CLOSED_STATES
 from . import ordering as O
+from .joins import left_lookup
 
 # The order and wording of the state counts in a subtask summary.
 BREAKDOWN = (
@@ -63,7 +64,7 @@ def children(tasks: DataFrame, ids: DataFrame | None = None, order: str = "text"
 
     ``ids`` restricts the parents. Parents that do not exist have no row here.
     """
-    wanted = (tasks if ids is None else ids).select(F.col("id").alias("parent")).distinct()
+    wanted = (tasks if ids is None else ids).select(F.col("id").alias("parent"))
     rows = subtasks(tasks).join(wanted, "parent", "left_semi")
     return O.running_number(rows, O.child_order(order), O.child_levels(order), ["parent"], "child_no")
 
@@ -75,7 +76,7 @@ def _attach(tasks: DataFrame, link: str, prefix: str) -> DataFrame:
         C.short_id().alias(f"{prefix}_short"),
         F.col("title").alias(f"{prefix}_title"),
     )
-    return tasks.join(target, link, "left")
+    return left_lookup(tasks, target, link, "id")
 
 
 def with_parent(tasks: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..schema import DEFAULT_PRIORITY, DEFAULT_STATE, KINDS, PRIORITIES, STATES, TASK_COLUMNS
+from ..session import materialise
+from .joins import left_lookup
 from .lifecycle import moment
 from .matching import resolve
 
@@ -118,13 +120,13 @@ def capture_subtasks(
 
     A kind is written all lower or all upper case. Subtasks have no source and no tags.
     """
-    parents = resolve(messages.select(F.col("parent_ref").alias("ref")), tasks).select(
-        F.col("ref").alias("parent_ref"), F.col("id").alias("parent")
-    )
+    found = materialise(resolve(messages.select(F.col("parent_ref").alias("ref")), tasks))
+    parents = found.select(F.col("ref").alias("parent_ref"), F.col("id").alias("parent"))
     kind = F.when(F.col("kind").isin(*KINDS, *(k.lower() for k in KINDS)), F.upper("kind")).otherwise(F.col("kind"))
-    drafts = parse_messages(
-        messages.drop("source", "tags", "parent").withColumn("kind", kind).join(parents, "parent_ref", "left"), raw
+    drafts = left_lookup(
+        messages.drop("source", "tags", "parent").withColumn("kind", kind), parents, "parent_ref", nonce
     )
+    drafts = parse_messages(drafts, raw)
     bad_kind = F.when(
         ~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False)),
         F.concat(F.lit("invalid kind: "), F.coalesce("kind", F.lit(""))),

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..schema import COMMAND_RULES, COMMAND_TARGETS, COMMANDS, GUARDED_COMMAND
+from ..session import materialise
 from .hierarchy import blocking_children
+from .joins import left_lookup
 from .matching import resolve
 
 
@@ -83,19 +85,28 @@ def _message() -> Column:
     )
 
 
+def _targeted(requests: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Requests with the id and status of the task they name."""
+    return materialise(left_lookup(requests, materialise(resolve(requests, tasks)), "ref", "seq"))
+
+
 def judge_transitions(tasks: DataFrame, requests: DataFrame) -> DataFrame:
     """A verdict per request (seq, ref, command), all on the same snapshot.
 
     The first request of a task is judged. A later one would depend on the
     first, which a snapshot cannot show, so it is a CONFLICT.
     """
-    targeted = requests.join(resolve(requests, tasks), "ref", "left")
+    targeted = _targeted(requests, tasks)
     known = F.col("command").isin(*COMMANDS)
     first = (
-        targeted.where((F.col("status") == "OK") & known).groupBy("id").agg(F.min("seq").alias("first_seq"))
+        targeted.where("status = 'OK'")
+        .groupBy("id")
+        .agg(F.min(F.when(known, F.col("seq"))).alias("first_seq"))
+    )
+    # All that is known of a task, in one row, so that the requests join once.
+    facts = materialise(
+        tasks.select("id", "state").join(first, "id").join(blocking_children(tasks), "id", "left")
     )
-    guarded = targeted.where(F.col("command") == GUARDED_COMMAND).select(F.col("id").alias("parent"))
-    holders = blocking_children(tasks.join(guarded, "parent", "left_semi"))
     target = rule_target("command", "state")
     verdict = (
         F.when(F.coalesce("status", F.lit("NOT_FOUND")) != "OK", F.coalesce("status", F.lit("NOT_FOUND")))
@@ -106,9 +117,7 @@ def judge_transitions(tasks: DataFrame, requests: DataFrame) -> DataFrame:
         .otherwise("ACCEPTED")
     )
     return (
-        targeted.join(tasks.select("id", "state"), "id", "left")
-        .join(first, "id", "left")
-        .join(holders, "id", "left")
+        left_lookup(targeted, facts, "id", "seq")
         .withColumn("verdict", verdict)
         .withColumn("to_state", F.when(F.col("verdict") == "ACCEPTED", target))
         .withColumn("message", _message())
@@ -154,15 +163,14 @@ def _write_blocker(tasks: DataFrame, changes: DataFrame, at: datetime | str) ->
 
 def apply_blocks(tasks: DataFrame, requests: DataFrame, at: datetime | str) -> Outcome:
     """Block tasks: requests (seq, ref, by_ref). The last accepted request of a task holds."""
-    found = resolve(
-        requests.select("ref").unionByName(requests.select(F.col("by_ref").alias("ref"))), tasks
+    found = materialise(
+        resolve(requests.select("ref").unionByName(requests.select(F.col("by_ref").alias("ref"))), tasks)
     )
     blocker = found.select(
         F.col("ref").alias("by_ref"), F.col("id").alias("by_id"), F.col("status").alias("by_status")
     )
     verdicts = (
-        requests.join(found, "ref", "left")
-        .join(blocker, "by_ref", "left")
+        left_lookup(left_lookup(requests, found, "ref", "seq"), blocker, "by_ref", "seq")
         .withColumn(
             "verdict",
             F.when(F.col("id").isNull(), F.coalesce("status", F.lit("NOT_FOUND")))
@@ -183,11 +191,11 @@ def apply_blocks(tasks: DataFrame, requests: DataFrame, at: datetime | str) -> O
 
 def apply_unblocks(tasks: DataFrame, requests: DataFrame, at: datetime | str) -> Outcome:
     """Clear block links: requests (seq, ref). Only the first request of a task finds it blocked."""
-    targeted = requests.join(resolve(requests, tasks), "ref", "left")
+    targeted = _targeted(requests, tasks)
     first = targeted.where("status = 'OK'").groupBy("id").agg(F.min("seq").alias("first_seq"))
+    facts = materialise(tasks.select("id", "blocked_by").join(first, "id"))
     verdicts = (
-        targeted.join(tasks.select("id", "blocked_by"), "id", "left")
-        .join(first, "id", "left")
+        left_lookup(targeted, facts, "id", "seq")
         .withColumn(
             "verdict",
             F.when(F.col("id").isNull(), F.coalesce("status", F.lit("NOT_FOUND")))

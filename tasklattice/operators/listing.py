@@ -11,6 +11,7 @@ from ..functions import columns as C
 from ..schema import DEFAULT_LIMIT, KINDS, LISTABLE_STATES, PRIORITIES, STATES
 from . import ordering as O
 from .hierarchy import progress
+from .joins import left_lookup
 
 
 def pick(value: str | None, allowed: tuple[str, ...], what: str) -> str | None:
@@ -90,9 +91,9 @@ def list_with_progress(tasks: DataFrame, options: ListOptions = ListOptions()) -
         counted = tasks.join(listed.select(F.col("id").alias("parent")), "parent", "left_semi")
     counts = progress(counted).withColumnRenamed("parent", "id")
     is_root = F.col("parent").isNull()
+    listed = listed.withColumn("_root", F.when(is_root, F.col("id")))
     return (
-        listed.withColumn("_root", F.when(is_root, F.col("id")))
-        .join(counts.withColumnRenamed("id", "_root"), "_root", "left")
+        left_lookup(listed, counts.withColumnRenamed("id", "_root"), "_root", "id")
         .drop("_root")
         .withColumns(
             {name: F.coalesce(name, F.lit(0)) for name in ("subtasks_total", "subtasks_done")}

@@ -19,6 +19,7 @@ from ..schema import (
 )
 from ..session import materialise
 from .ingest import validation_error
+from .joins import left_lookup
 from .lifecycle import moment
 
 LINKS = ("parent", "blocked_by")
@@ -55,7 +56,7 @@ def upgrade_snapshot(old: DataFrame) -> DataFrame:
 
 def _dangling(rows: DataFrame, link: str, ids: DataFrame) -> DataFrame:
     """Rows whose link names no task."""
-    target = ids.select(F.col("id").alias(link)).distinct()
+    target = ids.select(F.col("id").alias(link))
     return rows.where(F.col(link).isNotNull()).join(target, link, "left_anti")
 
 
@@ -96,12 +97,11 @@ def audit(tasks: DataFrame) -> DataFrame:
     return found
 
 
-def _first_refusal(rows: DataFrame, ids: DataFrame, error: Column) -> DataFrame:
+def _first_refusal(rows: DataFrame, ids: DataFrame, error: Column, spread: str) -> DataFrame:
     """Add ``reason``: the first failed validation, else the first link without a target."""
-    known = ids.select("id").distinct()
     for link in LINKS:
-        target = known.select(F.col("id").alias(link), F.lit(True).alias(f"_{link}_found"))
-        rows = rows.join(target, link, "left")
+        target = ids.select(F.col("id").alias(link), F.lit(True).alias(f"_{link}_found"))
+        rows = left_lookup(rows, target, link, spread)
     lost = [
         F.when(F.col(link).isNotNull() & F.col(f"_{link}_found").isNull(), f"{link} does not exist")
         for link in LINKS
@@ -115,14 +115,13 @@ def append_tasks(tasks: DataFrame, new: DataFrame, order: str) -> Change:
     All new rows are judged on the table as it stands: links must lead to
     existing tasks. Of rows with one id the first by ``order`` is taken.
     """
-    judged = _first_refusal(new, tasks, validation_error())
+    judged = materialise(_first_refusal(new, tasks, validation_error(), order))
     first = judged.where(F.col("reason").isNull()).groupBy("id").agg(F.min(order).alias("_first"))
-    taken = tasks.select("id", F.lit(True).alias("_taken")).distinct()
+    taken = tasks.select("id", F.lit(True).alias("_taken"))
+    ids = materialise(first.join(taken, "id", "left"))
     exists = F.col("_taken").isNotNull() | (F.col(order) != F.col("_first"))
-    judged = (
-        judged.join(taken, "id", "left")
-        .join(first, "id", "left")
-        .withColumn("reason", F.coalesce("reason", F.when(exists, "id exists already")))
+    judged = left_lookup(judged, ids, "id", order).withColumn(
+        "reason", F.coalesce("reason", F.when(exists, "id exists already"))
     )
     accepted = judged.where(F.col("reason").isNull()).select(*tasks.columns)
     refused = judged.where(F.col("reason").isNotNull()).select("id", order, "reason")
@@ -134,7 +133,7 @@ def upsert_fields(tasks: DataFrame, changes: DataFrame, at: datetime | str, orde
 
     Unknown ids change nothing. Of valid changes to one task the last by ``order`` holds.
     """
-    judged = _first_refusal(changes, tasks, validation_error())
+    judged = materialise(_first_refusal(changes, tasks, validation_error(), order))
     valid = judged.where(F.col("reason").isNull())
     last = valid.groupBy("id").agg(
         F.max_by(F.struct(*MUTABLE_COLUMNS), order).alias("_new")

@@ -16,6 +16,7 @@ from ..functions import columns as C
 from ..schema import ID_LENGTH, MIN_PREFIX_LENGTH
 from ..session import materialise
 from . import ordering as O
+from .joins import is_small
 from .listing import ListOptions, matching
 
 MAX_SUGGESTIONS = 3
@@ -34,13 +35,23 @@ def _with_lengths(rows: DataFrame, texts: DataFrame, text: str) -> DataFrame:
     return rows.withColumn("_lengths", lengths).select("*", F.explode("_lengths").alias("_length")).drop("_lengths")
 
 
+def _heads(ids: DataFrame, prefixes: DataFrame, name: str) -> DataFrame:
+    """The starts of the ids, in lower case, in every length a prefix has."""
+    return (
+        _with_lengths(ids, prefixes, name)
+        .where(F.length("id") >= F.col("_length"))
+        .withColumn(name, F.substring(F.lower("id"), F.lit(1), F.col("_length")))
+        .drop("_length")
+    )
+
+
 def resolve(refs: DataFrame, tasks: DataFrame) -> DataFrame:
     """Each distinct ref with the task it names: (ref, id, status).
 
     A full id wins. Otherwise 4 to 39 characters count as a prefix, in any
     letter case, and must fit one task only. Prefixes are compared by equality,
-    one length at a time, and the hits are counted map-side, so a prefix shared
-    by a third of all ids costs no more than others.
+    one length at a time, and counted before any shuffle, so a prefix shared by
+    a third of all ids costs no more than others.
     """
     wanted = refs.select("ref").where(F.col("ref").isNotNull()).distinct()
     ids = tasks.select("id")
@@ -48,20 +59,19 @@ def resolve(refs: DataFrame, tasks: DataFrame) -> DataFrame:
         F.min("id").alias("exact_id")
     )
     width = F.octet_length("ref")
-    prefixes = (
+    prefixes = materialise(
         wanted.where((width >= MIN_PREFIX_LENGTH) & (width < ID_LENGTH))
-        .select(F.lower("ref").alias("prefix"))
+        .select(F.lower("ref").alias("_prefix"))
         .distinct()
     )
-    hits = (
-        _with_lengths(ids, prefixes, "prefix")
-        .where(F.length("id") >= F.col("_length"))
-        .select("id", F.substring(F.lower("id"), F.lit(1), F.col("_length")).alias("prefix"))
-        .join(prefixes, "prefix")
-        .groupBy("prefix")
-        .agg(F.count(F.lit(1)).alias("hits"), F.min("id").alias("prefix_id"))
+    counted = lambda heads: heads.groupBy("_prefix").agg(
+        F.count(F.lit(1)).alias("hits"), F.min("id").alias("prefix_id")
     )
-    hits = hits.withColumnRenamed("prefix", "_prefix")
+    heads = _heads(ids, prefixes, "_prefix")
+    if is_small(prefixes):
+        hits = counted(heads.join(F.broadcast(prefixes), "_prefix"))
+    else:
+        hits = counted(heads).join(prefixes, "_prefix")
     found = F.coalesce("exact_id", F.when(F.col("hits") == 1, F.col("prefix_id")))
     return (
         wanted.join(exact, "ref", "left")
@@ -162,13 +172,12 @@ def _lower_refs(refs: DataFrame) -> DataFrame:
 
 
 def _prefix_hits(lookups: DataFrame, candidates: DataFrame) -> DataFrame:
-    return (
-        _with_lengths(candidates, lookups, "low_ref")
-        .where(F.length("low_id") >= F.col("_length"))
-        .withColumn("low_ref", F.substring("low_id", F.lit(1), F.col("_length")))
-        .join(lookups, "low_ref")
-        .select("low_ref", "id", "title", "place")
-    )
+    """The first few tasks whose id starts with the lookup (low_ref)."""
+    heads = _heads(candidates.select("id", "title", "place"), lookups, "low_ref")
+    first = lambda rows: _first_hits(rows, ["low_ref"], [F.col("place")])
+    if is_small(lookups):
+        return first(heads.join(F.broadcast(lookups), "low_ref"))
+    return first(heads).join(lookups, "low_ref")
 
 
 def _with_refs(hits: DataFrame, refs: DataFrame) -> DataFrame:
@@ -184,14 +193,10 @@ def suggest(refs: DataFrame, tasks: DataFrame) -> DataFrame:
     that hold the ref. Closed tasks are not suggested.
     """
     unresolved = materialise(resolve(refs, tasks).where("status != 'OK'").select("ref"))
-    lookups = _lower_refs(unresolved)
+    lookups = materialise(_lower_refs(unresolved))
     candidates = _candidates(tasks)
 
-    by_prefix = materialise(
-        _first_hits(
-            _prefix_hits(lookups, candidates).withColumn("hit", F.lit("prefix")), ["low_ref"], [F.col("place")]
-        )
-    )
+    by_prefix = materialise(_prefix_hits(lookups, candidates).withColumn("hit", F.lit("prefix")))
     rest = lookups.join(by_prefix.select("low_ref").distinct(), "low_ref", "left_anti")
     in_id = _containing(candidates.select("low_id", "id", "title", "place"), "low_id", rest)
     in_title = _containing(candidates.select("low_title", "id", "title", "place"), "low_title", rest)
@@ -259,13 +264,12 @@ def fuzzy_match(refs: DataFrame, tasks: DataFrame) -> DataFrame:
     """
     width = F.octet_length("ref")
     refs = refs.where((width >= MIN_FUZZY_LENGTH) & (width <= ID_LENGTH))
-    lookups = _lower_refs(refs)
+    lookups = materialise(_lower_refs(refs))
     candidates = _candidates(tasks)
     columns = ["low_ref", "pos", "hit", "id", "distance"]
 
-    by_prefix = _first_hits(_prefix_hits(lookups, candidates), ["low_ref"], [F.col("place")])
     by_prefix = materialise(
-        by_prefix.withColumns({"hit": F.lit("prefix"), "distance": F.lit(0)}).select(columns)
+        _prefix_hits(lookups, candidates).withColumns({"hit": F.lit("prefix"), "distance": F.lit(0)}).select(columns)
     )
     rest = lookups.join(by_prefix.select("low_ref").distinct(), "low_ref", "left_anti")
 

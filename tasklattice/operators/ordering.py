@@ -57,10 +57,10 @@ Slice = tuple[Column, bool]
 
 
 def _moment_levels(ranks: list[Slice], descending: bool) -> list[list[Slice]]:
-    moment = F.coalesce(
-        F.col("created").cast("timestamp_ntz"), F.lit("0001-01-01").cast("timestamp_ntz")
-    )
-    return [ranks + [(F.to_date(moment), descending)], [(moment, descending)]]
+    first = F.lit("0001-01-01")
+    moment = F.coalesce(F.col("created").cast("timestamp_ntz"), first.cast("timestamp_ntz"))
+    day = F.coalesce(F.to_date("created"), first.cast("date"))
+    return [ranks + [(day, descending)], [(moment, descending)]]
 
 
 def list_levels() -> list[list[Slice]]:
@@ -97,10 +97,11 @@ def running_number(
     starts at the number of rows before it, found from counts per cell, level by
     level. Only counts are sorted across a group: calendar days, then seconds of
     one day, then prefixes of one second. So a group that holds a third of all
-    rows, or all of them, spreads over the cluster like any other.
+    rows, or all of them, spreads over the cluster like any other. As no slice
+    is null, every level reads the same counts, and Spark reuses their exchange.
     """
     keys = list(keys)
-    levels = [*levels, [(F.substring("id", 1, id_prefix), False)]]
+    levels = [*levels, [(F.coalesce(F.substring("id", 1, id_prefix), F.lit("")), False)]]
     names = [[f"_slice{i}_{j}" for j in range(len(level))] for i, level in enumerate(levels)]
     marked = df.withColumns(
         {

@@ -27,6 +27,7 @@ from ..functions import columns as C
 from ..schema import CLOSED_STATES, COMMAND_RULES, COMMANDS, GUARDED_COMMAND, STATES
 from ..session import materialise, scratch_path
 from .hierarchy import open_child, parents_of
+from .joins import left_lookup
 from .lifecycle import rule_target
 
 # Tasks with more commands than this are replayed in chunks.
@@ -261,17 +262,13 @@ def replay(tasks: DataFrame, log: DataFrame, hot_commands: int = HOT_COMMANDS) -
     else:
         above = waiting.select(F.col("id").alias("parent"), F.col("round").alias("parent_round"))
         known = (
-            known.join(waiting, "id", "left")
-            .join(above, "parent", "left")
+            left_lookup(known.join(waiting, "id", "left"), above, "parent", "id")
             .withColumns(
                 {"round": F.coalesce("round", F.lit(0)), "parent_round": F.coalesce("parent_round", F.lit(-1))}
             )
         )
-    placed = log.join(known, "id", "left")
-    if hot_span:
-        placed = placed.join(hot, "id", "left")
-    else:
-        placed = placed.withColumn("hot", F.lit(None).cast("boolean"))
+    known = known.join(hot, "id", "left") if hot_span else known.withColumn("hot", F.lit(False))
+    placed = left_lookup(log, known, "id", "seq")
     missing = F.col("first_state").isNull() | F.coalesce(F.col("seq") < F.col("born"), F.lit(False))
     chunk = F.when(F.col("hot"), F.shiftright(F.col("seq") - low, CHUNK_BITS)).otherwise(F.lit(-1))
     work = placed.select(
@@ -308,11 +305,12 @@ def replay(tasks: DataFrame, log: DataFrame, hot_commands: int = HOT_COMMANDS) -
             rows = rows.withColumn("children_ok", F.lit(True))
         else:
             ready = waiting.where(F.col("round") == number).select("id")
-            family = nodes.withColumnsRenamed({"id": "child", "parent": "id"}).join(ready, "id", "left_semi")
-            held = family.where(open_child())
+            held = nodes.where(F.col("parent").isNotNull() & open_child()).select(F.col("parent").alias("id"), "born")
             opened = held.where("born IS NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-            births = held.where("born IS NOT NULL").select(
-                "id", F.col("born").alias("seq"), F.lit(1).alias("delta")
+            births = (
+                held.where("born IS NOT NULL")
+                .join(ready, "id", "left_semi")
+                .select("id", F.col("born").alias("seq"), F.lit(1).alias("delta"))
             )
             rows = _with_guard(rows, _flips(recorded(), number).unionByName(births), opened, low)
         record(_run(rows, hot_span), number)

@@ -22,6 +22,11 @@ def spark(tmp_path_factory):
         "tests",
         **{
             "spark.sql.shuffle.partitions": "4",
+            # Compiling code for a handful of rows takes longer than running it.
+            "spark.sql.codegen.wholeStage": "false",
+            "spark.sql.maxMetadataStringLength": "10000",
+            # Equal rows would compress to nothing and hide the skew under test.
+            "spark.shuffle.compress": "false",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),

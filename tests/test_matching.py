@@ -7,7 +7,7 @@ import pytest
 from conftest import sha, task
 from pyspark.sql import functions as F
 
-from tasklattice.operators import matching
+from tasklattice.operators import joins, matching
 
 
 def ref_table(spark, refs):
@@ -63,13 +63,19 @@ REFS = [
 ]
 
 
-def test_resolve(spark, tasks, rows):
+@pytest.fixture(params=[100_000, 0], ids=["few lookups", "many lookups"])
+def lookups(request, monkeypatch):
+    """Lookups below and above the size that may be broadcast."""
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", request.param)
+
+
+def test_resolve(spark, tasks, rows, lookups):
     got = {r.ref: (r.id, r.status) for r in matching.resolve(ref_table(spark, REFS * 2), tasks).collect()}
     assert got == {ref: resolve_one(ref, rows) for ref in set(REFS)}
     assert got["task"][1] == "AMBIGUOUS"
 
 
-def test_suggest(spark, tasks, rows):
+def test_suggest(spark, tasks, rows, lookups):
     refs = REFS + ["order", "CRASH", "leak 1", "00007", "a_b", "50%", "x\\y", sha(200)[5:11], sha(201)[20:23]]
     expected = set()
     for ref in set(refs):
