@@ -17,7 +17,7 @@ BROADCAST_ROWS = 100_000
 
 def is_small(df: DataFrame) -> bool:
     """Whether a written table of short rows may be broadcast."""
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return df.count() <= BROADCAST_ROWS
 
 
 def left_lookup(rows: DataFrame, extra: DataFrame, key: str, spread: str) -> DataFrame:

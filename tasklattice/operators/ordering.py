@@ -10,6 +10,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+from .joins import is_small
+
+# Groups of up to this many rows are sorted in one task.
+GROUP_ROWS = 200_000
+
 
 def state_rank(state: str = "state") -> Column:
     return F.when(F.col(state) == "IN_PROGRESS", 0).when(F.col(state) == "NEW", 1).otherwise(2)
@@ -89,18 +95,44 @@ def running_number(
     levels: Sequence[Sequence[Slice]],
     keys: Sequence[str] = (),
     name: str = "rank",
-    id_prefix: int = 3,
 ) -> DataFrame:
-    """``row_number()`` within ``keys``, with no group in one task.
-
-    Rows are numbered inside cells, the groups that agree on all slices. A cell
-    starts at the number of rows before it, found from counts per cell, level by
-    level. Only counts are sorted across a group: calendar days, then seconds of
-    one day, then prefixes of one second. So a group that holds a third of all
-    rows, or all of them, spreads over the cluster like any other. As no slice
-    is null, every level reads the same counts, and Spark reuses their exchange.
+    """``row_number()`` within ``keys``, with no large group in one task. Keys are not null.
+
+    Groups of up to ``GROUP_ROWS`` rows are numbered by a plain window. Larger
+    ones, found by counting, are numbered slice by slice.
     """
     keys = list(keys)
+    window = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
+    plain = lambda rows: rows.withColumn(name, F.row_number().over(window).cast("long"))
+    if not keys:
+        return plain(df) if df.count() <= GROUP_ROWS else _number_by_slices(df, order, levels, keys, name)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = materialise(sizes.where(F.col("_n") > GROUP_ROWS).select(*keys))
+    if large.isEmpty():
+        return plain(df)
+    if is_small(large):
+        large = F.broadcast(large)
+    sliced = _number_by_slices(df.join(large, keys, "left_semi"), order, levels, keys, name)
+    return plain(df.join(large, keys, "left_anti")).unionByName(sliced)
+
+
+def _number_by_slices(
+    df: DataFrame,
+    order: Sequence[Column],
+    levels: Sequence[Sequence[Slice]],
+    keys: list[str],
+    name: str,
+    id_prefix: int = 3,
+) -> DataFrame:
+    """Number rows inside cells, the groups that agree on all slices.
+
+    A cell starts at the number of rows before it, found from counts per cell,
+    level by level. Only counts are sorted across a group: calendar days, then
+    seconds of one day, then prefixes of one second. So a group that holds a
+    third of all rows, or all of them, spreads over the cluster like any other.
+    As no slice is null, every level reads the same counts, and Spark reuses
+    their exchange.
+    """
     levels = [*levels, [(F.coalesce(F.substring("id", 1, id_prefix), F.lit("")), False)]]
     names = [[f"_slice{i}_{j}" for j in range(len(level))] for i, level in enumerate(levels)]
     marked = df.withColumns(

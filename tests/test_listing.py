@@ -108,8 +108,10 @@ def test_progress_of_root_tasks_only(make_tasks):
         assert rows["kid"] == (0, 0)
 
 
-def test_running_number_equals_row_number(spark, make_tasks):
+@pytest.mark.parametrize("limit", [100_000, 50, 0])
+def test_running_number_equals_row_number(make_tasks, monkeypatch, limit):
     """One group holds most rows, and all of them share three times."""
+    monkeypatch.setattr(ordering, "GROUP_ROWS", limit)
     rows = [
         task(i, parent="hot" if i % 4 else f"p{i % 3}", priority=["high", "medium", "low", None][i % 4], state=["NEW", "DONE", "IN_PROGRESS"][i % 3], created=i % 3)
         for i in range(300)
