@@ -198,17 +198,18 @@ def _rounds(tasks: DataFrame, log: DataFrame) -> tuple[DataFrame | None, int]:
     settled, count = None, 0
     while not waiting.isEmpty():
         held = waiting.where(F.col("parent").isNotNull()).select(F.col("parent").alias("id")).distinct()
-        ready = materialise(waiting.join(held, "id", "left_anti"))
+        marked = materialise(waiting.join(held.withColumn("held", F.lit(True)), "id", "left"))
+        ready = marked.where("held IS NULL").select("id", "parent")
         if ready.isEmpty():
             raise ValueError("parent links form a cycle")
         count += 1
         placed = ready.select("id", F.lit(count).alias("round"))
         settled = placed if settled is None else settled.unionByName(placed)
-        waiting = materialise(waiting.join(ready, "id", "left_anti"))
+        waiting = marked.where("held").select("id", "parent")
     return settled, count
 
 
-def _with_guard(rows: DataFrame, flips: DataFrame, opened: DataFrame, low: int) -> DataFrame:
+def _with_guard(rows: DataFrame, flips: DataFrame, opened: DataFrame) -> DataFrame:
     """Attach whether all children are closed at each command of the waiting tasks.
 
     ``flips`` (id, seq, delta) says when a child of ``id`` opened or closed,
@@ -216,7 +217,7 @@ def _with_guard(rows: DataFrame, flips: DataFrame, opened: DataFrame, low: int)
     stretch of the log, on top of the sums of the stretches before it.
     """
     events = rows.withColumn("delta", F.lit(0)).unionByName(flips, allowMissingColumns=True)
-    events = events.withColumn("stretch", F.shiftright(F.col("seq") - low, GUARD_BITS))
+    events = events.withColumn("stretch", F.shiftright("seq", GUARD_BITS))
     earlier = Window.partitionBy("id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     before = (
         events.groupBy("id", "stretch")
@@ -248,12 +249,12 @@ def replay(tasks: DataFrame, log: DataFrame, hot_commands: int = HOT_COMMANDS) -
     nodes = tasks.select("id", "parent", "state", born.alias("born"))
     log = log.where(F.col("seq").isNotNull()).withColumn("command", F.coalesce("command", F.lit("")))
 
-    low, high = log.agg(F.min("seq"), F.max("seq")).first()
-    if low is None:
-        low = high = 0
     hot = log.groupBy("id").count().where(F.col("count") > hot_commands).select("id", F.lit(True).alias("hot"))
     hot = materialise(hot)
-    hot_span = 0 if hot.isEmpty() else ((high - low) >> CHUNK_BITS) + 1
+    low = hot_span = 0
+    if not hot.isEmpty():
+        low, high = log.agg(F.min("seq"), F.max("seq")).first()
+        hot_span = ((high - low) >> CHUNK_BITS) + 1
 
     waiting, last_round = _rounds(tasks, log)
     known = nodes.select("id", "parent", _state_index("state").alias("first_state"), "born")
@@ -288,17 +289,17 @@ def replay(tasks: DataFrame, log: DataFrame, hot_commands: int = HOT_COMMANDS) -
     # One folder per round, split by the round in which the parent will read it.
     history_path = scratch_path(spark, "replay-history")
 
-    def record(rows: DataFrame, number: int) -> None:
-        finished = _judged(rows).withColumn("round", F.lit(number))
-        finished.select(*HISTORY_SCHEMA.names).write.mode("append").partitionBy("round", "parent_round").parquet(
+    def record(rows: DataFrame) -> None:
+        _judged(rows).select(*HISTORY_SCHEMA.names).write.mode("append").partitionBy("round", "parent_round").parquet(
             history_path
         )
 
     def recorded() -> DataFrame:
         return spark.read.schema(HISTORY_SCHEMA).parquet(history_path)
 
-    strays = work.where(F.col("round") == STRAY)
-    record(strays.withColumns({"from_state": F.lit(None).cast("string"), "children_ok": F.lit(True)}), STRAY)
+    strays = work.where(F.col("round") == STRAY).withColumns(
+        {"from_state": F.lit(None).cast("string"), "children_ok": F.lit(True)}
+    )
     for number in range(last_round + 1):
         rows = work.where(F.col("round") == number).drop("round")
         if number == 0:
@@ -312,8 +313,9 @@ def replay(tasks: DataFrame, log: DataFrame, hot_commands: int = HOT_COMMANDS) -
                 .join(ready, "id", "left_semi")
                 .select("id", F.col("born").alias("seq"), F.lit(1).alias("delta"))
             )
-            rows = _with_guard(rows, _flips(recorded(), number).unionByName(births), opened, low)
-        record(_run(rows, hot_span), number)
+            rows = _with_guard(rows, _flips(recorded(), number).unionByName(births), opened)
+        finished = _run(rows, hot_span).withColumn("round", F.lit(number))
+        record(finished if number else finished.unionByName(strays.select(*finished.columns)))
 
     history = recorded().select("seq", "id", "command", "from_state", "to_state", "verdict")
     return Replay(_final_tasks(tasks, history, log), history)

@@ -95,7 +95,7 @@ def _children(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _logstyle(spark: SparkSession, sf: str) -> DataFrame:
-    tasks = _tasks(spark, sf)
+    tasks = _tasks(spark, sf, busy=True)
     listed = tasks.join(hierarchy.progress(tasks).withColumnRenamed("parent", "id"), "id", "left")
     return listed.select("id", X.logstyle().alias("line"))
 
@@ -153,7 +153,7 @@ def _capture(spark: SparkSession, sf: str) -> DataFrame:
 
 def _capture_subtasks(spark: SparkSession, sf: str) -> DataFrame:
     messages = fx.derive(spark, sf, fx.SUBTASK_MESSAGES)
-    captured = ingest.capture_subtasks(messages, _tasks(spark, sf), AT, "doc_id", author=AUTHOR)
+    captured = ingest.capture_subtasks(messages, _tasks(spark, sf, busy=True), AT, "doc_id", author=AUTHOR)
     return _shown(captured, "doc_id", "id", "parent", "priority", "state", "kind", "source", "tags", "error")
 
 
@@ -189,45 +189,45 @@ def _delete(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _transition_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    requests = fx.derive(spark, sf, fx.TRANSITIONS)
-    return lifecycle.apply_transitions(_tasks(spark, sf), requests, AT).verdicts
+    requests = fx.derive(spark, sf, fx.TRANSITIONS, busy=True)
+    return lifecycle.apply_transitions(_tasks(spark, sf, busy=True), requests, AT).verdicts
 
 
 def _transitions(spark: SparkSession, sf: str) -> DataFrame:
-    requests = fx.derive(spark, sf, fx.TRANSITIONS)
-    return _shown(lifecycle.apply_transitions(_tasks(spark, sf), requests, AT).tasks)
+    requests = fx.derive(spark, sf, fx.TRANSITIONS, busy=True)
+    return _shown(lifecycle.apply_transitions(_tasks(spark, sf, busy=True), requests, AT).tasks)
 
 
 def _blocks(spark: SparkSession, sf: str) -> DataFrame:
-    requests = fx.derive(spark, sf, fx.BLOCKS)
-    return _shown(lifecycle.apply_blocks(_tasks(spark, sf), requests, AT).tasks, "id", "blocked_by", "updated")
+    requests = fx.derive(spark, sf, fx.BLOCKS, busy=True)
+    return _shown(lifecycle.apply_blocks(_tasks(spark, sf, busy=True), requests, AT).tasks, "id", "blocked_by", "updated")
 
 
 def _block_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    requests = fx.derive(spark, sf, fx.BLOCKS)
-    return lifecycle.apply_blocks(_tasks(spark, sf), requests, AT).verdicts
+    requests = fx.derive(spark, sf, fx.BLOCKS, busy=True)
+    return lifecycle.apply_blocks(_tasks(spark, sf, busy=True), requests, AT).verdicts
 
 
 def _unblocks(spark: SparkSession, sf: str) -> DataFrame:
-    requests = fx.derive(spark, sf, fx.UNBLOCKS)
-    return _shown(lifecycle.apply_unblocks(_tasks(spark, sf), requests, AT).tasks, "id", "blocked_by", "updated")
+    requests = fx.derive(spark, sf, fx.UNBLOCKS, busy=True)
+    return _shown(lifecycle.apply_unblocks(_tasks(spark, sf, busy=True), requests, AT).tasks, "id", "blocked_by", "updated")
 
 
 def _unblock_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    requests = fx.derive(spark, sf, fx.UNBLOCKS)
-    return lifecycle.apply_unblocks(_tasks(spark, sf), requests, AT).verdicts
+    requests = fx.derive(spark, sf, fx.UNBLOCKS, busy=True)
+    return lifecycle.apply_unblocks(_tasks(spark, sf, busy=True), requests, AT).verdicts
 
 
 def _all_in_inbox(spark: SparkSession, sf: str) -> DataFrame:
-    return _tasks(spark, sf).withColumn("state", F.lit("INBOX"))
+    return _tasks(spark, sf, busy=True).withColumn("state", F.lit("INBOX"))
 
 
 def _replay(spark: SparkSession, sf: str) -> DataFrame:
-    return replay(_all_in_inbox(spark, sf), fx.derive(spark, sf, fx.LOG)).history
+    return replay(_all_in_inbox(spark, sf), fx.derive(spark, sf, fx.LOG, busy=True)).history
 
 
 def _replay_final(spark: SparkSession, sf: str) -> DataFrame:
-    final = replay(_all_in_inbox(spark, sf), fx.derive(spark, sf, fx.LOG)).tasks
+    final = replay(_all_in_inbox(spark, sf), fx.derive(spark, sf, fx.LOG, busy=True)).tasks
     return _shown(final, "id", "state", "updated")
 
 
@@ -332,7 +332,7 @@ QUERIES: dict[str, Query] = {
     "resolve_refs": _with_refs(matching.resolve, fx.REFS),
     "suggest": _with_refs(matching.suggest, fx.NEAR_REFS),
     "fuzzy_match": _with_refs(matching.fuzzy_match, fx.TYPO_REFS),
-    "cards": lambda s, d: cards_.cards(_tasks(s, d), fx.derive(s, d, fx.REFS)),
+    "cards": lambda s, d: cards_.cards(_tasks(s, d, busy=True), fx.derive(s, d, fx.REFS)),
     "columns": _columns,
     "oneline": _line(X.oneline),
     "logstyle": _logstyle,
