@@ -26,7 +26,7 @@ MAX_EDITS = 2
 # by one of three pieces that two edits must leave whole.
 MAX_DELETION_LENGTH = 12
 # A text is looked up by one piece of it, an anchor, of one of these lengths.
-ANCHOR_LENGTHS = (6, 4, 3, 2, 1)
+ANCHOR_LENGTHS = (6, 3, 1)
 
 
 def _with_lengths(rows: DataFrame, texts: DataFrame, text: str) -> DataFrame:
@@ -104,32 +104,25 @@ def _candidates(tasks: DataFrame) -> DataFrame:
 def _anchored(queries: DataFrame, text: str, pieces: Column) -> DataFrame:
     """Add ``anchor``: a stretch of one of the pieces, of one of the fixed lengths.
 
-    Of all such stretches the one that the fewest queries have is taken. Then a
-    stretch of some task's text leads to few queries, however many queries share
-    their common words. A query without any piece has the empty anchor.
+    Long stretches that few queries have are the best: a stretch of some task's
+    text then leads to few queries, however many share their common words. A
+    further letter counts as much as being shared by a third of the queries. The
+    choice only steers the work, every hit is checked. A query without any piece has
+    the empty anchor.
     """
-    longest = F.array_max(F.transform(pieces, F.length))
-    sized = queries.withColumn("_pieces", pieces).withColumn(
-        "_size", C.cases(((longest >= n, n) for n in ANCHOR_LENGTHS), 0)
+    size = C.cases(((F.length("_piece") >= n, n) for n in ANCHOR_LENGTHS), 0)
+    options = (
+        queries.select(text, F.explode(F.array_distinct(pieces)).alias("_piece"))
+        .withColumn("_size", size)
+        .withColumn("_at", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_piece") - F.col("_size") + 1))))
+        .select(text, F.substring("_piece", F.col("_at"), F.col("_size")).alias("anchor"))
     )
-    stretches = F.flatten(
-        F.transform(
-            "_pieces",
-            lambda piece: F.when(
-                F.length(piece) >= F.col("_size"),
-                F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(piece) - F.col("_size") + 1)),
-                    lambda at: F.substring(piece, at, F.col("_size")),
-                ),
-            ).otherwise(F.array().cast("array<string>")),
-        )
-    )
-    options = sized.select(text, F.explode(F.array_distinct(stretches)).alias("anchor"))
     shared = options.groupBy("anchor").agg(F.count(F.lit(1)).alias("_shared"))
+    score = F.col("_shared") / F.pow(F.lit(3.0), F.length("anchor"))
     best = (
         options.join(shared, "anchor")
         .groupBy(text)
-        .agg(F.min(F.struct("_shared", "anchor")).alias("_best"))
+        .agg(F.min(F.struct(score.alias("score"), F.col("anchor"))).alias("_best"))
         .select(text, F.col("_best.anchor").alias("anchor"))
     )
     return materialise(queries.join(best, text))
