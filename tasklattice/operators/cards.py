@@ -11,8 +11,6 @@ from ..session import materialise
 from .hierarchy import child_breakdown, children
 from .matching import resolve
 
-CARD_SCHEMA = ("id", "part", "no", "line")
-
 
 def cards(tasks: DataFrame, refs: DataFrame, order: str = "text") -> DataFrame:
     """One card per task that a ref names: lines (id, part, no, line).

@@ -5,7 +5,6 @@ from datetime import timedelta
 
 import pytest
 from conftest import START, sha, task
-from pyspark.sql import functions as F
 
 from tasklattice.operators import lifecycle, replay as replay_module
 from tasklattice.operators.replay import replay
