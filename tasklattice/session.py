@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def build_session(master: str | None = None, app: str = "tasklattice", **conf: str) -> SparkSession:
@@ -65,4 +67,20 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[table] = path
+    return table
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder by way of Spark's own file systems."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove the files of tables that ``materialise`` returned, once nothing reads them any more."""
+    for table in tables:
+        path = _written.pop(table, None)
+        if path:
+            delete_folder(table.sparkSession, path)
