@@ -181,7 +181,7 @@ def drop_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text
     A document that loses all its lines has an empty text, a null text stays null.
     """
     marked = docs.withColumn("_row", row_key(docs, id_col, text_col)).join(
-        bitmaps.select(F.col("row").alias("_row"), F.col("keep_bitmap").alias("_bitmap")), "_row", "left"
+        bitmaps.select(F.col("row").alias("_row"), F.col("keep_bitmap").alias("_bitmap")).hint("merge"), "_row", "left"
     )
     names = docs.columns
     place = names.index(text_col)
@@ -218,8 +218,8 @@ def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     bitmaps = materialise(keep_bitmaps(docs))
     rows = docs.select("doc_id", row_key(docs).alias("row"), text_column(docs).alias("text"))
-    # The bitmaps are a written table: Spark broadcasts it if it measures it as small.
-    joined = rows.join(bitmaps, "row", "left").select("doc_id", "text", "keep_bitmap")
+    # One plan for every size: the bitmaps grow with the corpus and are never broadcast.
+    joined = rows.join(bitmaps.hint("merge"), "row", "left").select("doc_id", "text", "keep_bitmap")
     return joined.mapInArrow(_digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
