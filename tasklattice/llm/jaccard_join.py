@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tasklattice.llm.common import SHINGLE_WORDS, components, row_key, shingle_sets, steps, text_column
-from tasklattice.session import materialise
+from tasklattice.session import materialise, release
 
 PERCENT = 80
 # A run met so often within one task, and so often in all, is put last in the order.
@@ -221,6 +221,27 @@ def _tile_pairs(percent: int):
     return run
 
 
+def _may_link(percent: int):
+    """The pairs whose bitmaps' bound allows a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n_a, n_b, bits_a, bits_b in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b"))):
+                a, b = np.frombuffer(bits_a, np.uint64), np.frombuffer(bits_b, np.uint64)
+                width = min(len(a), len(b))
+                differ = int(np.bitwise_count(_fold(a, width) ^ _fold(b, width)).sum())
+                keep.append((100 + percent) * ((n_a + n_b - differ) // 2) >= percent * (n_a + n_b))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _bounded(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    sides = [maps.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in ("a", "b")]
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_may_link(percent), "a long, b long")
+
+
 def _sets(width: int, wanted: np.ndarray):
     """The sorted runs of the sets that the filter lets pass, once per task."""
 
@@ -281,7 +302,9 @@ def _verify(pairs: DataFrame, rows: DataFrame, percent: int, width: int) -> Data
         "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "runs"
     )
     stars = partners.union(centres).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return materialise(stars.select("a", "b", "runs").mapInArrow(_check(percent), "a long, b long").distinct())
+    links = materialise(stars.select("a", "b", "runs").mapInArrow(_check(percent), "a long, b long").distinct())
+    release(sets)
+    return links
 
 
 def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = SHINGLE_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -299,10 +322,10 @@ def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     heads = heads.repartition("run").sortWithinPartitions("run", "n", "sid")
     tiles = materialise(heads.mapInArrow(_tiles(percent), "tile long, sid long, n int, centre long").dropDuplicates(["tile", "sid"]))
     best = tiles.where("sid <> centre").groupBy("sid", "centre").count().groupBy("sid").agg(F.max_by("centre", F.struct("count", "centre")).alias("a"))
-    stars = _verify(materialise(best.select("a", F.col("sid").alias("b"))), rows, percent, width)
+    maps = materialise(summary.where("bits is not null").groupBy("sid").agg(F.first("bits").alias("bits"), F.first("n").alias("n")))
+    stars = _verify(materialise(_bounded(best.select("a", F.col("sid").alias("b")), maps, percent)), rows, percent, width)
     labels = components(stars)
-    maps = materialise(summary.where("bits is not null").groupBy("sid").agg(F.first("bits").alias("bits")))
-    marked = tiles.join(maps, "sid").join(labels.withColumnRenamed("node", "sid"), "sid", "left")
+    marked = tiles.join(maps.select("sid", "bits"), "sid").join(labels.withColumnRenamed("node", "sid"), "sid", "left")
     marked = marked.select("tile", "sid", "n", "bits", F.coalesce("component", "sid").alias("label"))
     # A tile of one component has nothing left to check, and its bitmaps need not travel.
     several = materialise(tiles.join(labels.withColumnRenamed("node", "sid"), "sid", "left").groupBy("tile").agg(
