@@ -8,19 +8,21 @@ runs only one side has are at least as many as the bits that differ. The pairs t
 are left are checked exactly on sorted arrays.
 
 Stars first: every set is checked with the set it shares most tiles with, and what
-links is one component. Then every tile gives the pairs of sets of different
-components. So a large group of near copies costs its size, not its square, and no
-link that joins two components is left out.
+links is one component. Then rounds over neighbours in the tiles join what they can,
+and at last every tile gives all its pairs of sets of different components. So a large
+group of near copies costs its size, not its square, and no link that joins two
+components is left out.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tasklattice.llm.common import SHINGLE_WORDS, components, row_key, shingle_sets, steps, text_column
@@ -32,6 +34,9 @@ PERCENT = 80
 OFTEN_IN_TASK, OFTEN, MOST_COMMON = 4, 32, 1 << 17
 # Partners of one star centre that one task checks.
 STAR = 2000
+# Rounds before the last: how many neighbours in a tile a set is held against, and how
+# many of them, by tiles shared, are checked.
+WINDOWS, PARTNERS = (1, 8), 4
 # Bits of the filter that tells which sets will be checked; false hits only cost time.
 FILTER_BITS = 1 << 22
 
@@ -181,8 +186,12 @@ def _tiles(percent: int):
     return run
 
 
-def _tile_pairs(percent: int):
-    """Rows sorted by (tile, n) to the pairs of different components whose bound allows a link."""
+def _tile_pairs(percent: int, window: int | None = None):
+    """Rows sorted by (tile, n) to the pairs of different components whose bound allows a link.
+
+    With a ``window`` a set is paired with so many that follow it in the tile only.
+    ``shared`` counts the tiles that hold the pair.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in _groups(batches, "tile"):
@@ -190,7 +199,7 @@ def _tile_pairs(percent: int):
             if not len(tiles):
                 continue
             starts = np.flatnonzero(np.diff(tiles, prepend=tiles[0] - 1) != 0)
-            found: set[tuple[int, int]] = set()
+            found: Counter[tuple[int, int]] = Counter()
             for start, end in zip(starts.tolist(), np.append(starts[1:], len(tiles)).tolist()):
                 if (labels[start:end] == labels[start]).all():
                     continue
@@ -201,6 +210,7 @@ def _tile_pairs(percent: int):
                 stacks: dict[int, np.ndarray] = {}
                 for k in range(end - start - 1):
                     to = int(np.searchsorted(n, int(n[k]) * 100 // percent, side="right"))
+                    to = to if window is None else min(to, k + 1 + window)
                     others = np.arange(k + 1, to)
                     others = others[mine[k + 1 : to] != mine[k]]
                     if not len(others):
@@ -215,8 +225,8 @@ def _tile_pairs(percent: int):
                     a = int(sids[start + k])
                     found.update((a, b) for b in sids[start + others[passed]].tolist())
             if found:
-                pairs = np.array(sorted(found), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                pairs = np.array(list(found), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(list(found.values()), pa.int64())], names=["a", "b", "shared"])
 
     return run
 
@@ -324,17 +334,24 @@ def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = tiles.where("sid <> centre").groupBy("sid", "centre").count().groupBy("sid").agg(F.max_by("centre", F.struct("count", "centre")).alias("a"))
     maps = materialise(summary.where("bits is not null").groupBy("sid").agg(F.first("bits").alias("bits"), F.first("n").alias("n")))
     stars = _verify(materialise(_bounded(best.select("a", F.col("sid").alias("b")), maps, percent)), rows, percent, width)
-    labels = components(stars)
-    marked = tiles.join(maps.select("sid", "bits"), "sid").join(labels.withColumnRenamed("node", "sid"), "sid", "left")
-    marked = marked.select("tile", "sid", "n", "bits", F.coalesce("component", "sid").alias("label"))
-    # A tile of one component has nothing left to check, and its bitmaps need not travel.
-    several = materialise(tiles.join(labels.withColumnRenamed("node", "sid"), "sid", "left").groupBy("tile").agg(
-        F.min(F.coalesce("component", "sid")).alias("low"), F.max(F.coalesce("component", "sid")).alias("high")).where("low <> high").select("tile"))
-    marked = marked.join(several, "tile", "left_semi").repartition("tile").sortWithinPartitions("tile", "n", "sid")
-    further = materialise(marked.mapInArrow(_tile_pairs(percent), "a long, b long").distinct())
     links = stars
-    if further.head(1):
-        links = stars.union(_verify(further, rows, percent, width))
+    # Rounds over a window of neighbours join most of a large group; the last round leaves out no pair.
+    for window in (*WINDOWS, None):
+        labels = components(links).withColumnRenamed("node", "sid")
+        label = F.coalesce("component", "sid")
+        # A tile of one component has nothing left to check, and its bitmaps need not travel.
+        several = tiles.join(labels, "sid", "left").groupBy("tile").agg(F.min(label).alias("low"), F.max(label).alias("high")).where("low <> high").select("tile")
+        open_tiles = tiles.join(materialise(several), "tile", "left_semi")
+        marked = open_tiles.join(maps.select("sid", "bits"), "sid").join(labels, "sid", "left").select("tile", "sid", "n", "bits", label.alias("label"))
+        placed = marked.repartition("tile").sortWithinPartitions("tile", "n", "sid")
+        found = placed.mapInArrow(_tile_pairs(percent, window), "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+        if window is not None:
+            closest = Window.partitionBy("a").orderBy(F.desc("shared"), "b")
+            found = found.withColumn("place", F.row_number().over(closest)).where(F.col("place") <= PARTNERS)
+        further = materialise(found.select("a", "b"))
+        if further.head(1):
+            links = links.union(_verify(further, rows, percent, width))
+    release(tiles, maps)
     return summary.select("doc_id", "sid", "n"), components(links)
 
 
