@@ -66,7 +66,7 @@ def children(tasks: DataFrame, ids: DataFrame | None = None, order: str = "text"
     """
     wanted = (tasks if ids is None else ids).select(F.col("id").alias("parent"))
     rows = subtasks(tasks).join(wanted, "parent", "left_semi")
-    return O.running_number(rows, O.child_order(order), O.child_levels(order), ["parent"], "child_no")
+    return O.running_number(rows, O.child_order(order), ["parent"], "child_no")
 
 
 def _attach(tasks: DataFrame, link: str, prefix: str) -> DataFrame:

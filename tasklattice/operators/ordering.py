@@ -11,10 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .joins import is_small
-
-# Groups of up to this many rows are sorted in one task.
-GROUP_ROWS = 200_000
 
 
 def state_rank(state: str = "state") -> Column:
@@ -56,122 +52,36 @@ def with_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> Dat
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
 
 
-# A slice is a (column, descending) pair that coarsens an order: sorting by the
-# slices, then by the order, is sorting by the order. Slices come in levels, each
-# with few distinct values inside one value of the level above; none is null.
-Slice = tuple[Column, bool]
-
-
-def _moment_levels(ranks: list[Slice], descending: bool) -> list[list[Slice]]:
-    first = F.lit("0001-01-01")
-    moment = F.coalesce(F.col("created").cast("timestamp_ntz"), first.cast("timestamp_ntz"))
-    day = F.coalesce(F.to_date("created"), first.cast("date"))
-    return [ranks + [(day, descending)], [(moment, descending)]]
-
-
-def list_levels() -> list[list[Slice]]:
-    """Levels of the list order."""
-    ranks = [(state_rank(), False), (F.coalesce(priority_rank(), F.lit(-1)), False)]
-    return _moment_levels(ranks, descending=True)
-
-
-def newest_levels() -> list[list[Slice]]:
-    """Levels of the newest-first order."""
-    return _moment_levels([], descending=True)
-
-
-def child_levels(by: str = "text") -> list[list[Slice]]:
-    """Levels of the subtask order."""
-    if by == "text":
-        rank = (F.coalesce(F.col("priority"), F.lit("")), True)
-    else:
-        rank = (F.coalesce(priority_rank(), F.lit(-1)), False)
-    return _moment_levels([rank], descending=False)
-
-
 def running_number(
-    df: DataFrame,
-    order: Sequence[Column],
-    levels: Sequence[Sequence[Slice]],
-    keys: Sequence[str] = (),
-    name: str = "rank",
+    df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (), name: str = "rank"
 ) -> DataFrame:
-    """``row_number()`` within ``keys``, with no large group in one task. Keys are not null.
-
-    Groups of up to ``GROUP_ROWS`` rows are numbered by a plain window. Larger
-    ones, found by counting, are numbered slice by slice.
+    """``row_number()`` within ``keys``, with no group in one task. Keys are not null.
+
+    Rows are range-partitioned by keys and order and written with the number of
+    their partition. Inside a partition they are numbered by a window; a group
+    that began in an earlier partition goes on from the rows it has there. So a
+    group that holds a third of all rows, or all of them, is spread by its order
+    like any other, whatever its times and ids look like. Only counts per
+    partition are summed across a group.
     """
     keys = list(keys)
-    window = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
-    plain = lambda rows: rows.withColumn(name, F.row_number().over(window).cast("long"))
-    if not keys:
-        return plain(df) if df.count() <= GROUP_ROWS else _number_by_slices(df, order, levels, keys, name)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    large = materialise(sizes.where(F.col("_n") > GROUP_ROWS).select(*keys))
-    if large.isEmpty():
-        return plain(df)
-    if is_small(large):
-        large = F.broadcast(large)
-    sliced = _number_by_slices(df.join(large, keys, "left_semi"), order, levels, keys, name)
-    return plain(df.join(large, keys, "left_anti")).unionByName(sliced)
-
-
-def _number_by_slices(
-    df: DataFrame,
-    order: Sequence[Column],
-    levels: Sequence[Sequence[Slice]],
-    keys: list[str],
-    name: str,
-    id_prefix: int = 3,
-) -> DataFrame:
-    """Number rows inside cells, the groups that agree on all slices.
-
-    A cell starts at the number of rows before it, found from counts per cell,
-    level by level. Only counts are sorted across a group: calendar days, then
-    seconds of one day, then prefixes of one second. So a group that holds a
-    third of all rows, or all of them, spreads over the cluster like any other.
-    As no slice is null, every level reads the same counts, and Spark reuses
-    their exchange.
-    """
-    levels = [*levels, [(F.coalesce(F.substring("id", 1, id_prefix), F.lit("")), False)]]
-    names = [[f"_slice{i}_{j}" for j in range(len(level))] for i, level in enumerate(levels)]
-    marked = df.withColumns(
-        {
-            column_name: column
-            for level_names, level in zip(names, levels)
-            for column_name, (column, _) in zip(level_names, level)
-        }
+    ranges = df.repartitionByRange(*(F.asc(key) for key in keys), *order)
+    placed = materialise(ranges.withColumn("_part", F.spark_partition_id()))
+    earlier = (
+        Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    # Only the groups that cross a border: at most one per partition.
+    carried = materialise(
+        placed.groupBy("_part", *keys)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_carried", F.sum("_n").over(earlier))
+        .where(F.col("_carried") > 0)
+        .select("_part", *keys, "_carried")
     )
-    cell_keys = keys + [column_name for level_names in names for column_name in level_names]
-    counts = marked.groupBy(*cell_keys).agg(F.count(F.lit(1)).alias("_n"))
-
-    starts, path = None, keys
-    for level_names, level in zip(names, levels):
-        sorting = [
-            F.desc(column_name) if descending else F.asc(column_name)
-            for column_name, (_, descending) in zip(level_names, level)
-        ]
-        earlier = (
-            Window.partitionBy(*(path or [F.lit(0)]))
-            .orderBy(*sorting)
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        step = (
-            counts.groupBy(*path, *level_names)
-            .agg(F.sum("_n").alias("_n"))
-            .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        )
-        if starts is None:
-            starts = step.withColumnRenamed("_before", "_start")
-        else:
-            starts = step.join(starts, path).withColumn("_start", F.col("_start") + F.col("_before"))
-        path = path + level_names
-        starts = starts.select(*path, "_start")
-
-    in_cell = Window.partitionBy(*cell_keys).orderBy(*order)
+    inside = Window.partitionBy("_part", *keys).orderBy(*order)
     return (
-        marked.withColumn("_row", F.row_number().over(in_cell))
-        .join(starts, cell_keys)
-        .withColumn(name, F.col("_start") + F.col("_row"))
+        placed.withColumn("_row", F.row_number().over(inside))
+        .join(carried, ["_part", *keys], "left")
+        .withColumn(name, F.col("_row") + F.coalesce("_carried", F.lit(0)))
         .select(*df.columns, name)
     )

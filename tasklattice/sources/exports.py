@@ -63,7 +63,7 @@ def export_csv(tasks: DataFrame, path: str) -> None:
 
 def markdown_rows(tasks: DataFrame) -> DataFrame:
     """The rows of the Markdown table in list order: (no, id, line)."""
-    numbered = O.running_number(tasks, O.list_order(), O.list_levels(), name="no")
+    numbered = O.running_number(tasks, O.list_order(), name="no")
     return numbered.select("no", "id", X.markdown_cells("no").alias("line"))
 
 
@@ -74,7 +74,7 @@ def markdown_detail(tasks: DataFrame) -> DataFrame:
 
 def markdown_document(tasks: DataFrame) -> DataFrame:
     """The whole Markdown export as sorted lines."""
-    numbered = O.running_number(tasks, O.list_order(), O.list_levels(), name="no")
+    numbered = O.running_number(tasks, O.list_order(), name="no")
 
     entry = lambda part, no, line: F.struct(
         F.lit(part).alias("part"), no.cast("long").alias("no"), line.alias("line")

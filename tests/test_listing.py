@@ -108,22 +108,20 @@ def test_progress_of_root_tasks_only(make_tasks):
         assert rows["kid"] == (0, 0)
 
 
-@pytest.mark.parametrize("limit", [100_000, 50, 0])
-def test_running_number_equals_row_number(make_tasks, monkeypatch, limit):
+def test_running_number_equals_row_number(make_tasks):
     """One group holds most rows, and all of them share three times."""
-    monkeypatch.setattr(ordering, "GROUP_ROWS", limit)
     rows = [
         task(i, parent="hot" if i % 4 else f"p{i % 3}", priority=["high", "medium", "low", None][i % 4], state=["NEW", "DONE", "IN_PROGRESS"][i % 3], created=i % 3)
         for i in range(300)
     ]
     tasks = make_tasks(*rows)
-    for order, levels, keys in (
-        (ordering.list_order(), ordering.list_levels(), []),
-        (ordering.newest_first(), ordering.newest_levels(), []),
-        (ordering.child_order(), ordering.child_levels(), ["parent"]),
-        (ordering.child_order("rank"), ordering.child_levels("rank"), ["parent"]),
+    for order, keys in (
+        (ordering.list_order(), []),
+        (ordering.newest_first(), []),
+        (ordering.child_order(), ["parent"]),
+        (ordering.child_order("rank"), ["parent"]),
     ):
         plain = F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order))
         expected = {r.id: r.n for r in tasks.select("id", plain.alias("n")).collect()}
-        got = {r.id: r["rank"] for r in ordering.running_number(tasks, order, levels, keys).collect()}
+        got = {r.id: r["rank"] for r in ordering.running_number(tasks, order, keys).collect()}
         assert got == expected

@@ -1,11 +1,14 @@
 """Plans and skew: what must hold however large the tables are."""
 
+from collections import Counter
+
 import pytest
 from conftest import sha, task
 from pyspark.sql import functions as F
 
 from tasklattice.operators import hierarchy, lifecycle, listing, ordering, summary
 from tasklattice.operators.listing import ListOptions
+from tasklattice.session import scratch_path
 from tasklattice.sources.tables import read_tasks, write_tasks
 
 
@@ -93,13 +96,23 @@ def test_many_requests_for_one_task_are_split(spark, lopsided, large_joins):
     assert judged.count() == 4000
 
 
-def test_numbering_of_one_hot_group_uses_many_tasks(lopsided, monkeypatch):
-    monkeypatch.setattr(ordering, "GROUP_ROWS", 100)
-    hot = lopsided.where(F.col("parent") == sha(0)).withColumn("parent", F.lit("hot"))
-    numbered = ordering.running_number(hot, ordering.child_order(), ordering.child_levels(), ["parent"], "no")
-    window_keys = [line for line in plan_of(numbered).splitlines() if "row_number()" in line]
-    assert sum("_slice" in line for line in window_keys) == 1
-    assert sorted(r.no for r in numbered.collect()) == list(range(1, hot.count() + 1))
+@pytest.mark.parametrize("shape", ["one time", "many times of a day", "ids of one stem"])
+def test_numbering_of_one_hot_group_uses_many_tasks(lopsided, large_joins, shape):
+    hot = lopsided.where(F.col("parent").isNotNull()).withColumn("parent", F.lit("hot"))
+    if shape == "many times of a day":
+        hot = hot.withColumn("created", (F.col("created") + F.expr("make_dt_interval(0, 0, 0, rand(1))")).cast("timestamp_ntz"))
+    if shape == "ids of one stem":
+        hot = hot.withColumn("id", F.concat(F.lit("ABC-"), "title"))
+    hot.write.mode("overwrite").parquet(path := scratch_path(hot.sparkSession, "hot"))
+    hot = hot.sparkSession.read.parquet(path)
+    numbered = ordering.running_number(hot, ordering.child_order(), ["parent"], "no")
+    (window,) = [line for line in plan_of(numbered).splitlines() if "row_number()" in line]
+    assert "_part" in window
+    rows = numbered.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r.no for r in rows) == list(range(1, hot.count() + 1))
+    assert [r.id for r in sorted(rows, key=lambda r: r.no)] == [r.id for r in hot.orderBy(*ordering.child_order()).collect()]
+    sizes = Counter(r.task for r in rows)
+    assert len(sizes) > 2 and max(sizes.values()) < len(rows) * 0.7
 
 
 def test_core_plans_need_no_python(stored):
