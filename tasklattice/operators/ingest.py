@@ -17,8 +17,8 @@ from .matching import resolve
 # Shell here-document endings that may be left at the end of a body.
 HEREDOC_TAILS = ("EOF < /dev/null", "EOL < /dev/null", "END < /dev/null", "DONE < /dev/null")
 
-EMPTY_TITLE = "title cannot be empty"
-NO_PARENT = "parent task not found"
+EMPTY_TITLE = "no title line"
+NO_PARENT = "parent_ref fits no single task"
 
 
 def parse_messages(messages: DataFrame, raw: str = "text", heredoc: bool = False) -> DataFrame:
@@ -75,13 +75,11 @@ def validation_error() -> Column:
 
     def unknown(name: str, allowed: tuple[str, ...]) -> Column:
         value = F.coalesce(name, F.lit(""))
-        return F.when(~value.isin(*allowed), F.concat(F.lit(f"invalid {name}: "), value))
+        return F.when(~value.isin(*allowed), F.concat(F.lit(f"{name} not allowed: "), value))
 
     return F.coalesce(
-        F.when(blank("title"), "title is required"),
-        F.when(
-            blank("description"), "description is required - tasks must have a body explaining the work"
-        ),
+        F.when(blank("title"), "title is blank"),
+        F.when(blank("description"), "description is blank"),
         unknown("kind", KINDS),
         unknown("priority", PRIORITIES),
         unknown("state", STATES),
@@ -129,7 +127,7 @@ def capture_subtasks(
     drafts = parse_messages(drafts, raw)
     bad_kind = F.when(
         ~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False)),
-        F.concat(F.lit("invalid kind: "), F.coalesce("kind", F.lit(""))),
+        F.concat(F.lit("kind not allowed: "), F.coalesce("kind", F.lit(""))),
     )
     orphan = F.when(F.col("parent").isNull(), NO_PARENT)
     return _finish(drafts, at, nonce, author, F.coalesce(bad_kind, orphan, F.col("parse_error")))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..schema import COMMAND_RULES, COMMAND_TARGETS, COMMANDS, GUARDED_COMMAND
+from ..schema import COMMAND_RULES, COMMANDS, GUARDED_COMMAND
 from ..session import materialise
 from .hierarchy import blocking_children
 from .joins import left_lookup
@@ -47,30 +47,15 @@ def next_states(tasks: DataFrame) -> DataFrame:
     return tasks.select("id", "state", allowed_next().alias("allowed"))
 
 
-def _wanted_state(command: Column) -> Column:
-    return C.lookup(command, COMMAND_TARGETS, command)
-
-
 def _message() -> Column:
     """Why a request was refused, or what it did."""
-    current = lambda wanted: F.concat(
-        F.lit("task "), C.short_id(), F.lit(f" is not in {wanted} state (current: "), F.col("state"), F.lit(")")
-    )
     command = F.col("command")
-    refused = (
-        F.when(command == "accept", current("INBOX"))
-        .when(command == "reopen", current("CANCELLED"))
-        .when((command == "reject") & (F.col("state") == "DONE"), "cannot mark completed task as invalid")
-        .otherwise(
-            F.concat(
-                F.lit("cannot transition from "), F.col("state"), F.lit(" to "), _wanted_state(command),
-                F.lit(" (allowed: "), allowed_next(), F.lit(")"),
-            )
-        )
+    refused = F.concat(
+        C.short_id(), F.lit(": "), command, F.lit(" does not apply to "), F.col("state"),
+        F.lit("; open moves: "), F.coalesce(F.nullif(allowed_next(), F.lit("")), F.lit("none")),
     )
     guarded = F.concat(
-        F.lit("cannot mark parent task as DONE: child task "), F.col("open_child"),
-        F.lit(" is in "), F.col("open_child_state"), F.lit(" state"),
+        C.short_id(), F.lit(": child "), F.col("open_child"), F.lit(" is still "), F.col("open_child_state")
     )
     accepted = F.concat(F.lit("Task "), C.short_id(), F.lit(" marked as "), C.state_verb("to_state"))
     verdict = F.col("verdict")
@@ -79,9 +64,9 @@ def _message() -> Column:
         .when(verdict == "OPEN_CHILDREN", guarded)
         .when(verdict == "REFUSED", refused)
         .when(verdict == "CONFLICT", "more than one request for this task; replay the log instead")
-        .when(verdict == "UNKNOWN_COMMAND", F.concat(F.lit("unknown command: "), command))
-        .when(verdict == "AMBIGUOUS", F.concat(F.lit("ambiguous task id: "), F.col("ref")))
-        .otherwise(F.concat(F.lit("task not found: "), F.col("ref")))
+        .when(verdict == "UNKNOWN_COMMAND", F.concat(F.lit("no such command: "), command))
+        .when(verdict == "AMBIGUOUS", F.concat(F.lit("several tasks fit: "), F.col("ref")))
+        .otherwise(F.concat(F.lit("no task fits: "), F.col("ref")))
     )
 
 
@@ -93,32 +78,31 @@ def _targeted(requests: DataFrame, tasks: DataFrame) -> DataFrame:
 def judge_transitions(tasks: DataFrame, requests: DataFrame) -> DataFrame:
     """A verdict per request (seq, ref, command), all on the same snapshot.
 
-    The first request of a task is judged. A later one would depend on the
-    first, which a snapshot cannot show, so it is a CONFLICT.
+    Requests of a task are judged up to the first that is accepted; a refused one
+    changes nothing. Those after it would depend on it, which a snapshot cannot
+    show, so each is a CONFLICT.
     """
     targeted = _targeted(requests, tasks)
     known = F.col("command").isin(*COMMANDS)
-    first = (
-        targeted.where("status = 'OK'")
-        .groupBy("id")
-        .agg(F.min(F.when(known, F.col("seq"))).alias("first_seq"))
-    )
     # All that is known of a task, in one row, so that the requests join once.
+    asked = targeted.where("status = 'OK'").select("id").distinct()
     facts = materialise(
-        tasks.select("id", "state").join(first, "id").join(blocking_children(tasks), "id", "left")
+        tasks.select("id", "state").join(asked, "id", "left_semi").join(blocking_children(tasks), "id", "left")
     )
     target = rule_target("command", "state")
-    verdict = (
+    alone = (
         F.when(F.coalesce("status", F.lit("NOT_FOUND")) != "OK", F.coalesce("status", F.lit("NOT_FOUND")))
         .when(~F.coalesce(known, F.lit(False)), "UNKNOWN_COMMAND")
-        .when(F.col("seq") != F.col("first_seq"), "CONFLICT")
         .when((F.col("command") == GUARDED_COMMAND) & F.col("open_child").isNotNull(), "OPEN_CHILDREN")
         .when(target.isNull(), "REFUSED")
         .otherwise("ACCEPTED")
     )
+    judged = materialise(left_lookup(targeted, facts, "id", "seq").withColumn("verdict", alone))
+    accepted = judged.where("verdict = 'ACCEPTED'").groupBy("id").agg(F.min("seq").alias("first_seq"))
+    late = F.col("verdict").isin("ACCEPTED", "REFUSED", "OPEN_CHILDREN") & (F.col("seq") > F.col("first_seq"))
     return (
-        left_lookup(targeted, facts, "id", "seq")
-        .withColumn("verdict", verdict)
+        left_lookup(judged, materialise(accepted), "id", "seq")
+        .withColumn("verdict", F.when(late, "CONFLICT").otherwise(F.col("verdict")))
         .withColumn("to_state", F.when(F.col("verdict") == "ACCEPTED", target))
         .withColumn("message", _message())
         .select(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import (
+    DEFAULT_AUTHOR,
     DEFAULT_PRIORITY,
     DEFAULT_STATE,
     KINDS,
@@ -40,16 +41,20 @@ def normalise(tasks: DataFrame) -> DataFrame:
 
 
 def upgrade_snapshot(old: DataFrame) -> DataFrame:
-    """A table of an older layout in today's: same rows, same links, missing columns filled.
+    """A table of an older layout in today's: same rows, same links, missing values filled.
 
-    Running it on an upgraded table changes nothing.
+    Priority, state and author get their defaults where the column or the value
+    is missing. Times stay NULL if unknown. Running it on an upgraded table
+    changes nothing.
     """
-    blank = {"description": "", "source": "", "tags": "", "priority": DEFAULT_PRIORITY, "state": DEFAULT_STATE}
+    filled = {"priority": DEFAULT_PRIORITY, "state": DEFAULT_STATE, "author": DEFAULT_AUTHOR}
 
     def column(field) -> Column:
-        if field.name in old.columns:
-            return F.col(field.name).cast(field.dataType).alias(field.name)
-        return F.lit(blank.get(field.name)).cast(field.dataType).alias(field.name)
+        value = F.col(field.name) if field.name in old.columns else F.lit(None)
+        value = value.cast(field.dataType)
+        if field.name in filled:
+            value = F.coalesce(value, F.lit(filled[field.name]))
+        return value.alias(field.name)
 
     return normalise(old.select(*map(column, TASK_SCHEMA.fields)))
 
@@ -110,22 +115,63 @@ def _first_refusal(rows: DataFrame, ids: DataFrame, error: Column, spread: str)
 
 
 def append_tasks(tasks: DataFrame, new: DataFrame, order: str) -> Change:
-    """Add valid new rows; the others come back with a reason.
+    """Add valid new rows one after the other by ``order``; the others come back with a reason.
 
-    All new rows are judged on the table as it stands: links must lead to
-    existing tasks. Of rows with one id the first by ``order`` is taken.
+    A link must lead to an existing task or to an accepted row of the batch that
+    comes earlier; rows of one place in the order do not see each other. Of rows
+    with one id the first accepted one is taken. A NULL id is refused. Links
+    inside the batch are followed in rounds, one per step of the longest chain.
     """
-    judged = materialise(_first_refusal(new, tasks, validation_error(), order))
-    first = judged.where(F.col("reason").isNull()).groupBy("id").agg(F.min(order).alias("_first"))
-    taken = tasks.select("id", F.lit(True).alias("_taken"))
-    ids = materialise(first.join(taken, "id", "left"))
-    exists = F.col("_taken").isNotNull() | (F.col(order) != F.col("_first"))
-    judged = left_lookup(judged, ids, "id", order).withColumn(
-        "reason", F.coalesce("reason", F.when(exists, "id exists already"))
+    no_id = F.when(F.col("id").isNull(), "id is missing")
+    checked = new.withColumns(
+        {
+            "_error": F.coalesce(no_id, validation_error()),
+            # Tells rows apart that agree in id and order.
+            "_row": F.monotonically_increasing_id(),
+        }
     )
-    accepted = judged.where(F.col("reason").isNull()).select(*tasks.columns)
-    refused = judged.where(F.col("reason").isNotNull()).select("id", order, "reason")
-    return Change(tasks.unionByName(accepted), refused)
+    for link in ("id", *LINKS):
+        target = tasks.select(F.col("id").alias(link), F.lit(True).alias(f"_{link}_stored"))
+        checked = left_lookup(checked, target, link, order)
+    inside = [F.col(link).isNotNull() & F.col(f"_{link}_stored").isNull() for link in LINKS]
+    checked = materialise(checked.withColumn("_inside", inside[0] | inside[1]))
+
+    place = F.struct(F.col(order).alias("at"), F.col("_row").alias("row"))
+
+    def first(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("id").agg(F.min(place).alias("_first"))
+
+    def with_links(rows: DataFrame, accepted: DataFrame) -> DataFrame:
+        """Add ``_lost``: the first link that leads nowhere, given the ids accepted so far."""
+        for link in LINKS:
+            target = accepted.select(F.col("id").alias(link), F.col("_first.at").alias(f"_{link}_at"))
+            rows = left_lookup(rows, target, link, order)
+        found = lambda link: F.col(f"_{link}_stored").isNotNull() | F.coalesce(F.col(f"_{link}_at") < F.col(order), F.lit(False))
+        lost = [F.when(F.col(link).isNotNull() & ~found(link), f"{link} does not exist") for link in LINKS]
+        return rows.withColumn("_lost", F.coalesce(*lost))
+
+    open_rows = checked.where(F.col("_error").isNull() & F.col("_id_stored").isNull())
+    free = first(open_rows.where(~F.col("_inside")))
+    linked = open_rows.where("_inside").select("id", order, "_row", *LINKS, *(f"_{link}_stored" for link in LINKS))
+    accepted = materialise(free)
+    # A row is accepted in the round after its links are, so the set of ids and
+    # their first places settle; an earlier twin may still take a later one's place.
+    while True:
+        reached = with_links(linked, accepted).where(F.col("_lost").isNull())
+        settled = materialise(first(free.withColumns({order: F.col("_first.at"), "_row": F.col("_first.row")}).select("id", order, "_row").unionByName(reached.select("id", order, "_row"))))
+        changed = settled.join(accepted, ["id", "_first"], "left_anti")
+        if changed.isEmpty():
+            break
+        accepted = settled
+
+    winners = accepted.select("id", F.col("_first.row").alias("_winner"))
+    judged = left_lookup(with_links(checked, accepted), winners, "id", order)
+    taken = F.col("_id_stored").isNotNull() | ~F.equal_null(F.col("_row"), F.col("_winner"))
+    judged = materialise(
+        judged.withColumn("reason", F.coalesce("_error", "_lost", F.when(taken, "id exists already")))
+    )
+    fresh = judged.where(F.col("reason").isNull()).select(*tasks.columns)
+    return Change(tasks.unionByName(fresh), judged.where(F.col("reason").isNotNull()).select("id", order, "reason"))
 
 
 def upsert_fields(tasks: DataFrame, changes: DataFrame, at: datetime | str, order: str) -> Change:

@@ -239,7 +239,8 @@ def _with_guard(rows: DataFrame, flips: DataFrame, opened: DataFrame) -> DataFra
 def replay(tasks: DataFrame, log: DataFrame, hot_commands: int = HOT_COMMANDS) -> Replay:
     """Apply a log (seq, id, command[, at]) to the tasks, refusing what the rules forbid.
 
-    ``seq`` is a unique whole number and gives the order. A task may carry
+    ``seq`` is a unique whole number and gives the order. A command without one
+    has no place in the log: it changes nothing and its verdict is NO_SEQ. A task may carry
     ``born``, the place in the log where it came to be; before that it neither
     takes commands nor holds its parent open.
     """
@@ -247,6 +248,7 @@ def replay(tasks: DataFrame, log: DataFrame, hot_commands: int = HOT_COMMANDS) -
     has_birth = "born" in tasks.columns
     born = F.col("born") if has_birth else F.lit(None).cast("long")
     nodes = tasks.select("id", "parent", "state", born.alias("born"))
+    unplaced = log.where(F.col("seq").isNull())
     log = log.where(F.col("seq").isNotNull()).withColumn("command", F.coalesce("command", F.lit("")))
 
     hot = log.groupBy("id").count().where(F.col("count") > hot_commands).select("id", F.lit(True).alias("hot"))
@@ -318,7 +320,12 @@ def replay(tasks: DataFrame, log: DataFrame, hot_commands: int = HOT_COMMANDS) -
         record(finished if number else finished.unionByName(strays.select(*finished.columns)))
 
     history = recorded().select("seq", "id", "command", "from_state", "to_state", "verdict")
-    return Replay(_final_tasks(tasks, history, log), history)
+    absent = F.lit(None).cast("string")
+    refused = unplaced.select(
+        F.col("seq").cast("long").alias("seq"), "id", F.coalesce("command", F.lit("")).alias("command"),
+        absent.alias("from_state"), absent.alias("to_state"), F.lit("NO_SEQ").alias("verdict"),
+    )
+    return Replay(_final_tasks(tasks, history, log), history.unionByName(refused))
 
 
 def _flips(history: DataFrame, number: int) -> DataFrame:

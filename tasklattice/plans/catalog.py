@@ -46,11 +46,8 @@ def _ranked(df: DataFrame, order=ordering.list_order) -> DataFrame:
 
 def _numbered(df: DataFrame, kind: str = "list") -> DataFrame:
     """Number a result of any size."""
-    order, levels = {
-        "list": (ordering.list_order, ordering.list_levels),
-        "newest": (ordering.newest_first, ordering.newest_levels),
-    }[kind]
-    return _shown(ordering.running_number(df, order(), levels()))
+    order = {"list": ordering.list_order, "newest": ordering.newest_first}[kind]
+    return _shown(ordering.running_number(df, order()))
 
 
 def _top(options: ListOptions) -> Query:
@@ -226,6 +223,12 @@ def _replay(spark: SparkSession, sf: str) -> DataFrame:
     return replay(_all_in_inbox(spark, sf), fx.derive(spark, sf, fx.LOG, busy=True)).history
 
 
+def _replay_hot(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks for all but the quietest tasks, over a log with gaps."""
+    log = fx.derive(spark, sf, fx.LOG_WITH_GAPS, busy=True)
+    return replay(_all_in_inbox(spark, sf), log, hot_commands=3).history
+
+
 def _replay_final(spark: SparkSession, sf: str) -> DataFrame:
     final = replay(_all_in_inbox(spark, sf), fx.derive(spark, sf, fx.LOG, busy=True)).tasks
     return _shown(final, "id", "state", "updated")
@@ -358,6 +361,7 @@ QUERIES: dict[str, Query] = {
     "apply_unblocks": _unblocks,
     "unblock_verdicts": _unblock_verdicts,
     "replay": _replay,
+    "replay_hot": _replay_hot,
     "replay_final": _replay_final,
     "export_json": _export_json,
     "export_csv": _export_csv,

@@ -67,6 +67,9 @@ SELECT event_id AS seq, ts AS at,
 FROM {events}
 """
 
+# The same log with some commands that have lost their place.
+LOG_WITH_GAPS = LOG.replace("SELECT event_id AS seq", "SELECT CASE WHEN event_id % 11 <> 0 THEN event_id END AS seq")
+
 # Full ids, prefixes of several lengths in either case, too short and unknown ones.
 REFS = """
 SELECT CASE k % 8 WHEN 0 THEN h WHEN 1 THEN substr(h, 1, 3) WHEN 2 THEN substr(h, 1, 4) WHEN 3 THEN substr(h, 1, 5)

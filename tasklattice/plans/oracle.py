@@ -188,17 +188,17 @@ UNION ALL SELECT parent, 4, 1, summary FROM breakdown WHERE parent IN (FROM show
 def parsed(source: str) -> str:
     """The source with title, description and parse_error."""
     return f"""
-  SELECT *, CASE WHEN title = '' THEN 'title cannot be empty' END AS parse_error FROM (
+  SELECT *, CASE WHEN title = '' THEN 'no title line' END AS parse_error FROM (
     SELECT * EXCLUDE (lines), trim(split_part(lines, {NL}, 1), {WS}) AS title,
       CASE WHEN strpos(lines, {NL}) > 0 THEN trim(substr(lines, strpos(lines, {NL}) + 1), {WS}) ELSE '' END AS description
     FROM (SELECT *, replace(text, chr(13) || chr(10), chr(10)) AS lines FROM {source}))"""
 
 
-VALID_ERROR = f"""CASE WHEN trim(coalesce(title, ''), {WS}) = '' THEN 'title is required'
-    WHEN trim(coalesce(description, ''), {WS}) = '' THEN 'description is required - tasks must have a body explaining the work'
-    WHEN coalesce(kind, '') NOT IN ('BUG', 'FEATURE', 'REGRESSION') THEN 'invalid kind: ' || coalesce(kind, '')
-    WHEN coalesce(priority, '') NOT IN ('high', 'medium', 'low') THEN 'invalid priority: ' || coalesce(priority, '')
-    WHEN coalesce(state, '') NOT IN ('INBOX', 'NEW', 'IN_PROGRESS', 'DONE', 'CANCELLED', 'INVALID') THEN 'invalid state: ' || coalesce(state, '') END"""
+VALID_ERROR = f"""CASE WHEN trim(coalesce(title, ''), {WS}) = '' THEN 'title is blank'
+    WHEN trim(coalesce(description, ''), {WS}) = '' THEN 'description is blank'
+    WHEN coalesce(kind, '') NOT IN ('BUG', 'FEATURE', 'REGRESSION') THEN 'kind not allowed: ' || coalesce(kind, '')
+    WHEN coalesce(priority, '') NOT IN ('high', 'medium', 'low') THEN 'priority not allowed: ' || coalesce(priority, '')
+    WHEN coalesce(state, '') NOT IN ('INBOX', 'NEW', 'IN_PROGRESS', 'DONE', 'CANCELLED', 'INVALID') THEN 'state not allowed: ' || coalesce(state, '') END"""
 
 NEW_ID = f"sha1(concat(kind, title, description, '{AT_SECONDS}', CAST(doc_id AS VARCHAR)))"
 DRAFTS = (
@@ -219,8 +219,8 @@ drafts AS (SELECT p.* REPLACE (CASE WHEN kind IN ('bug', 'feature', 'regression'
     coalesce(priority, 'medium') AS priority), 'INBOX' AS state, r.id AS parent
   FROM ({parsed('messages')}) p LEFT JOIN resolved r ON r.ref = p.parent_ref)
 SELECT doc_id, {NEW_ID} AS id, parent, priority, state, kind, '' AS source, '' AS tags,
-  coalesce(CASE WHEN kind NOT IN ('BUG', 'FEATURE', 'REGRESSION') THEN 'invalid kind: ' || kind END,
-    CASE WHEN parent IS NULL THEN 'parent task not found' END, parse_error, {VALID_ERROR}) AS error
+  coalesce(CASE WHEN kind NOT IN ('BUG', 'FEATURE', 'REGRESSION') THEN 'kind not allowed: ' || kind END,
+    CASE WHEN parent IS NULL THEN 'parent_ref fits no single task' END, parse_error, {VALID_ERROR}) AS error
 FROM drafts""",
     messages=fx.SUBTASK_MESSAGES,
 )
@@ -237,7 +237,7 @@ UNION ALL SELECT id, 'parent does not exist', parent FROM t WHERE parent IS NOT
 UNION ALL SELECT id, 'blocked_by does not exist', blocked_by FROM t WHERE blocked_by IS NOT NULL AND blocked_by NOT IN (SELECT id FROM t)"""
 
 UPGRADE = f"""SELECT id, parent, priority, state, kind, title, coalesce(description, '') AS description,
-  CAST(NULL AS VARCHAR) AS author, {stamp('created')} AS created, {stamp('updated')} AS updated, '' AS source,
+  'Unknown <unknown@example.com>' AS author, {stamp('created')} AS created, {stamp('updated')} AS updated, '' AS source,
   CAST(NULL AS VARCHAR) AS blocked_by, '' AS tags FROM ({fx.plain(fx.OLD_TASKS)})"""
 
 
@@ -293,23 +293,20 @@ targeted AS (
     q.command IN ('accept', 'reject', 'in-progress', 'done', 'cancel', 'reopen') AS known
   FROM requests q JOIN resolved r ON r.ref = q.ref LEFT JOIN tasks t ON t.id = r.id LEFT JOIN holders h ON h.id = r.id
   LEFT JOIN {RULES} u(command, source, target) ON u.command = q.command AND u.source = t.state),
-judged AS (SELECT *, CASE WHEN status <> 'OK' THEN status WHEN NOT known THEN 'UNKNOWN_COMMAND'
-    WHEN seq <> min(seq) FILTER (WHERE known AND status = 'OK') OVER (PARTITION BY id) THEN 'CONFLICT'
-    WHEN command = 'done' AND open_child IS NOT NULL THEN 'OPEN_CHILDREN' WHEN target IS NULL THEN 'REFUSED' ELSE 'ACCEPTED' END AS verdict
-  FROM targeted)"""
+alone AS (SELECT *, CASE WHEN status <> 'OK' THEN status WHEN NOT known THEN 'UNKNOWN_COMMAND'
+    WHEN command = 'done' AND open_child IS NOT NULL THEN 'OPEN_CHILDREN' WHEN target IS NULL THEN 'REFUSED' ELSE 'ACCEPTED' END AS own
+  FROM targeted),
+judged AS (SELECT *, CASE WHEN own IN ('ACCEPTED', 'REFUSED', 'OPEN_CHILDREN')
+    AND seq > min(seq) FILTER (WHERE own = 'ACCEPTED') OVER (PARTITION BY id) THEN 'CONFLICT' ELSE own END AS verdict FROM alone)"""
 VERDICTS = with_tables(
     f"""{JUDGED} SELECT seq, ref, command, id, state AS from_state, CASE WHEN verdict = 'ACCEPTED' THEN target END AS to_state, verdict,
   CASE verdict WHEN 'ACCEPTED' THEN 'Task ' || substr(id, 1, 7) || ' marked as ' || CASE target WHEN 'IN_PROGRESS' THEN 'in progress'
       WHEN 'DONE' THEN 'done' WHEN 'CANCELLED' THEN 'cancelled' ELSE target END
-    WHEN 'OPEN_CHILDREN' THEN 'cannot mark parent task as DONE: child task ' || open_child || ' is in ' || open_child_state || ' state'
+    WHEN 'OPEN_CHILDREN' THEN substr(id, 1, 7) || ': child ' || open_child || ' is still ' || open_child_state
     WHEN 'CONFLICT' THEN 'more than one request for this task; replay the log instead'
-    WHEN 'UNKNOWN_COMMAND' THEN 'unknown command: ' || command
-    WHEN 'AMBIGUOUS' THEN 'ambiguous task id: ' || ref WHEN 'NOT_FOUND' THEN 'task not found: ' || ref
-    ELSE CASE WHEN command = 'accept' THEN 'task ' || substr(id, 1, 7) || ' is not in INBOX state (current: ' || state || ')'
-      WHEN command = 'reopen' THEN 'task ' || substr(id, 1, 7) || ' is not in CANCELLED state (current: ' || state || ')'
-      WHEN command = 'reject' AND state = 'DONE' THEN 'cannot mark completed task as invalid'
-      ELSE 'cannot transition from ' || state || ' to ' || CASE command WHEN 'reject' THEN 'INVALID' WHEN 'in-progress' THEN 'IN_PROGRESS'
-        WHEN 'done' THEN 'DONE' ELSE 'CANCELLED' END || ' (allowed: ' || {ALLOWED} || ')' END END AS message
+    WHEN 'UNKNOWN_COMMAND' THEN 'no such command: ' || command
+    WHEN 'AMBIGUOUS' THEN 'several tasks fit: ' || ref WHEN 'NOT_FOUND' THEN 'no task fits: ' || ref
+    ELSE substr(id, 1, 7) || ': ' || command || ' does not apply to ' || state || '; open moves: ' || coalesce(nullif({ALLOWED}, ''), 'none') END AS message
 FROM judged""",
     requests=fx.TRANSITIONS,
 )
@@ -384,6 +381,13 @@ REPLAY = with_tables(
     recursive=True,
     log=fx.LOG,
 )
+REPLAY_HOT = with_tables(
+    f"""{REPLAYED} SELECT seq, id, command, from_state, CASE WHEN verdict = 'ACCEPTED' THEN now END AS to_state, verdict FROM history
+UNION ALL SELECT seq, id, command, NULL, NULL, 'NO_SEQ' FROM gaps WHERE seq IS NULL""",
+    recursive=True,
+    gaps=fx.LOG_WITH_GAPS,
+    log="SELECT * FROM gaps WHERE seq IS NOT NULL",
+)
 REPLAY_FINAL = with_tables(
     f"""{REPLAYED}, last AS (SELECT h.id, arg_max(h.now, h.seq) AS state, max(l.at) AS at
   FROM history h JOIN log l ON l.seq = h.seq WHERE verdict = 'ACCEPTED' GROUP BY h.id)
@@ -540,6 +544,7 @@ SQL: dict[str, str] = {
     "apply_unblocks": UNBLOCKED,
     "unblock_verdicts": UNBLOCK_VERDICTS,
     "replay": REPLAY,
+    "replay_hot": REPLAY_HOT,
     "replay_final": REPLAY_FINAL,
     "export_json": with_tables(
         f"SELECT id, kind, state, priority, title, description, tags, source, parent, blocked_by, {stamp('created')} AS created_at, "

@@ -35,7 +35,6 @@ COMMAND_RULES = (
     ("reopen", "CANCELLED", "NEW"),
 )
 COMMANDS = ("accept", "reject", "in-progress", "done", "cancel", "reopen")
-COMMAND_TARGETS = {command: target for command, _, target in COMMAND_RULES}
 
 # Only `done` looks beyond its own task: every direct child must be closed.
 GUARDED_COMMAND = "done"

@@ -27,7 +27,7 @@ AT = "2024-02-01 00:00:00"
 def test_message_split(spark, text, title, body):
     row = ingest.parse_messages(spark.createDataFrame([(text,)], "text string")).first()
     assert (row.title, row.description) == (title, body)
-    assert row.parse_error == (None if title else "title cannot be empty")
+    assert row.parse_error == (None if title else "no title line")
 
 
 def test_heredoc_tail_is_removed_once_and_only_on_request(spark):
@@ -41,12 +41,12 @@ def test_heredoc_tail_is_removed_once_and_only_on_request(spark):
     "fields, error",
     [
         ({}, None),
-        ({"title": " \t"}, "title is required"),
-        ({"title": "", "kind": "X"}, "title is required"),
-        ({"description": "\n"}, "description is required - tasks must have a body explaining the work"),
-        ({"kind": "chore"}, "invalid kind: chore"),
-        ({"priority": "urgent"}, "invalid priority: urgent"),
-        ({"state": "OPEN"}, "invalid state: OPEN"),
+        ({"title": " \t"}, "title is blank"),
+        ({"title": "", "kind": "X"}, "title is blank"),
+        ({"description": "\n"}, "description is blank"),
+        ({"kind": "chore"}, "kind not allowed: chore"),
+        ({"priority": "urgent"}, "priority not allowed: urgent"),
+        ({"state": "OPEN"}, "state not allowed: OPEN"),
     ],
 )
 def test_validation_reports_the_first_rule(make_tasks, fields, error):
@@ -71,7 +71,7 @@ def test_capture(spark):
     assert first.id == sha(f"BUGLeakIt leaks{1706745600}1")
     assert (rows[5].author, rows[5].priority, rows[5].source) == ("B <b@example.com>", "medium", "")
     assert [rows[n].error for n in (1, 2, 3, 4, 5)] == [
-        None, "description is required - tasks must have a body explaining the work", "title cannot be empty", "invalid priority: urgent", None
+        None, "description is blank", "no title line", "priority not allowed: urgent", None
     ]
     again = {r.n: r.id for r in ingest.capture(messages.repartition(3), AT, "n").collect()}
     assert again == {n: r.id for n, r in rows.items()}
@@ -85,7 +85,7 @@ def test_subtasks(spark, make_tasks):
     )
     rows = {r.n: r for r in ingest.capture_subtasks(messages, tasks, AT, "n").collect()}
     assert (rows[1].parent, rows[1].kind, rows[1].state, rows[1].error) == (sha("p"), "BUG", "INBOX", None)
-    assert [rows[n].error for n in (2, 3, 4)] == ["parent task not found", "invalid kind: Bug", "title cannot be empty"]
+    assert [rows[n].error for n in (2, 3, 4)] == ["parent_ref fits no single task", "kind not allowed: Bug", "no title line"]
 
 
 def test_audit(spark, make_tasks):
@@ -121,10 +121,37 @@ def test_append(spark, make_tasks):
     assert sorted(r.title for r in change.tasks.collect()) == ["a", "b"]
     assert sorted((r.id, r.reason) for r in change.refused.collect()) == sorted(
         [(sha("b"), "id exists already"), (sha("a"), "id exists already"), (sha("c"), "parent does not exist"),
-         (sha("d"), "title is required"), (sha("e"), "parent does not exist")]
+         (sha("d"), "title is blank"), (sha("e"), "parent does not exist")]
     )
 
 
+def test_append_links_inside_a_batch(make_tasks):
+    """The rows are judged as if they were created one after the other."""
+    tasks = make_tasks(task("a"))
+    batch = [
+        task("p", title="1"), task("c", title="2", parent="p", blocked_by="a"), task("g", title="3", parent="c"), task("early", title="4", parent="late"),
+        task("late", title="5"), task("lost", title="6", parent="gone"), task("below", title="7", parent="lost"), task("below", title="8", parent="g"),
+        task("self", title="9", parent="self"), task("twin", title="91", parent="early"), task("twin", title="92", blocked_by="below"),
+    ]
+    new = make_tasks(*batch).withColumn("n", F.col("title").cast("int"))
+    change = maintenance.append_tasks(tasks, new, "n")
+    assert sorted(r.title for r in change.tasks.collect()) == ["1", "2", "3", "5", "8", "92", "a"]
+    assert {(r.n, r.reason) for r in change.refused.collect()} == {(n, "parent does not exist") for n in (4, 6, 7, 9, 91)}
+
+
+def test_append_refuses_missing_ids_and_takes_one_of_two_equal_rows(make_tasks):
+    new = make_tasks(task("b"), task("b"), task("x"), task("y"))
+    new = new.withColumns({"n": F.lit(1), "id": F.when(~F.col("title").isin("x", "y"), F.col("id"))})
+    change = maintenance.append_tasks(make_tasks(task("a")), new, "n")
+    assert sorted(r.title for r in change.tasks.collect()) == ["a", "b"]
+    assert sorted(r.reason for r in change.refused.collect()) == ["id exists already", "id is missing", "id is missing"]
+
+
+def test_an_upgraded_table_passes_the_audit(make_tasks):
+    old = make_tasks(task("p", priority=None, state=None), task("c", parent="p")).drop("source", "tags", "author")
+    assert maintenance.audit(maintenance.upgrade_snapshot(old)).count() == 0
+
+
 def test_upsert(make_tasks):
     tasks = make_tasks(task("a"), task("b"), task("c", parent="a"))
     changes = make_tasks(
@@ -136,7 +163,7 @@ def test_upsert(make_tasks):
     assert (rows[sha("a")].title, rows[sha("a")].state, rows[sha("a")].created) == ("last", "DONE", START)
     assert rows[sha("a")].updated > START and rows[sha("b")].updated == START
     assert (rows[sha("c")].parent, rows[sha("c")].tags) == (None, "x")
-    assert [(r.id, r.reason) for r in change.refused.collect()] == [(sha("a"), "invalid kind: X")]
+    assert [(r.id, r.reason) for r in change.refused.collect()] == [(sha("a"), "kind not allowed: X")]
 
 
 def test_delete_follows_links_of_refused_rows(spark, make_tasks):

@@ -168,8 +168,8 @@ def test_transition_table(spark, make_tasks):
     for n, (before, to, child, allowed) in enumerate(TRANSITIONS):
         assert (got[n].verdict == "ACCEPTED") == allowed
         assert state[f"p{n}"] == ((to, True) if allowed else (before, False))
-    assert got[15].message == f"cannot mark parent task as DONE: child task {sha('c15')} is in NEW state"
-    assert got[2].message == "cannot transition from INBOX to IN_PROGRESS (allowed: NEW (accept), INVALID (reject))"
+    assert got[15].message == f"{sha('p15')[:7]}: child {sha('c15')} is still NEW"
+    assert got[2].message == f"{sha('p2')[:7]}: in-progress does not apply to INBOX; open moves: NEW (accept), INVALID (reject)"
 
 
 def test_commands_with_rules_of_their_own(spark, make_tasks):
@@ -177,13 +177,15 @@ def test_commands_with_rules_of_their_own(spark, make_tasks):
     asked = [
         (1, sha("c"), "accept"), (2, sha("d"), "reject"), (3, sha("n"), "reopen"),
         (4, sha("x"), "cancel"), (5, sha("x"), "done"), (6, "nope", "done"), (7, sha("d"), "fly"),
+        (8, sha("n"), "done"), (9, sha("n"), "fly"), (10, sha("n"), "reopen"),
     ]
     _, judged = lifecycle.apply_transitions(tasks, spark.createDataFrame(asked, "seq long, ref string, command string"), START)
     got = {r.seq: (r.verdict, r.message) for r in judged.collect()}
-    assert got[1] == ("REFUSED", f"task {sha('c')[:7]} is not in INBOX state (current: CANCELLED)")
-    assert got[2] == ("REFUSED", "cannot mark completed task as invalid")
-    assert got[3] == ("REFUSED", f"task {sha('n')[:7]} is not in CANCELLED state (current: NEW)")
+    assert got[1] == ("REFUSED", f"{sha('c')[:7]}: accept does not apply to CANCELLED; open moves: IN_PROGRESS (in-progress), NEW (reopen)")
+    assert got[2] == ("REFUSED", f"{sha('d')[:7]}: reject does not apply to DONE; open moves: IN_PROGRESS (in-progress)")
+    assert got[3][0] == "REFUSED"
     assert [got[n][0] for n in (4, 5, 6, 7)] == ["ACCEPTED", "CONFLICT", "NOT_FOUND", "UNKNOWN_COMMAND"]
+    assert [got[n][0] for n in (8, 9, 10)] == ["ACCEPTED", "UNKNOWN_COMMAND", "CONFLICT"]  # judged on, as 3 changed nothing
 
 
 def test_blocks(spark, make_tasks):
