@@ -173,6 +173,20 @@ def _append_refused(spark: SparkSession, sf: str) -> DataFrame:
     return maintenance.append_tasks(_tasks(spark, sf), new, "n").refused
 
 
+def _append_family(spark: SparkSession, sf: str) -> DataFrame:
+    """What becomes of rows that link to each other."""
+    new = fx.derive(spark, sf, fx.FAMILY_ROWS)
+    stored = _tasks(spark, sf)
+    change = maintenance.append_tasks(stored, new, "n")
+    added = change.tasks.where("tags = 'imported'").select("id", F.lit(None).cast("long").alias("n"), F.lit("added").alias("outcome"))
+    return added.unionByName(change.refused.select("id", F.col("n").cast("long").alias("n"), F.col("reason").alias("outcome")))
+
+
+def _audit_upgraded(spark: SparkSession, sf: str) -> DataFrame:
+    """Broken rules per table row that an upgrade leaves: none."""
+    return maintenance.audit(maintenance.upgrade_snapshot(fx.derive(spark, sf, fx.OLD_TASKS)))
+
+
 def _upsert(spark: SparkSession, sf: str) -> DataFrame:
     changes = fx.derive(spark, sf, fx.FIELD_CHANGES)
     return _shown(maintenance.upsert_fields(_tasks(spark, sf), changes, AT, "n").tasks)
@@ -352,6 +366,8 @@ QUERIES: dict[str, Query] = {
     "upgrade_snapshot": _upgrade,
     "append_tasks": _append,
     "append_refused": _append_refused,
+    "append_family": _append_family,
+    "audit_upgraded": _audit_upgraded,
     "upsert_fields": _upsert,
     "delete_tasks": _delete,
     "transition_verdicts": _transition_verdicts,

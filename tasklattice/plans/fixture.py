@@ -140,6 +140,22 @@ SELECT k AS n,
 FROM (SELECT *, c_custkey AS k FROM {customer}) c
 """
 
+# New families: each customer's row hangs below the one before, up to three deep. Some come
+# before their parent, some repeat an id, have none or hang below a refused row.
+FAMILY_ROWS = """
+SELECT CASE WHEN k % 37 = 5 THEN k + 1000000000 ELSE k END AS n,
+  CASE WHEN k % 41 = 7 THEN NULL WHEN k % 29 = 3 THEN sha1(concat('new-', CAST(k - 1 AS STRING))) ELSE sha1(concat('new-', CAST(k AS STRING))) END AS id,
+  CASE k % 4 WHEN 0 THEN CASE WHEN k % 3 = 0 THEN sha1(concat('task-', CAST(k AS STRING))) END
+    ELSE sha1(concat('new-', CAST(k - 1 AS STRING))) END AS parent,
+  'low' AS priority, 'INBOX' AS state,
+  CASE WHEN k % 23 = 0 THEN 'CHORE' ELSE 'FEATURE' END AS kind,
+  c_name AS title, c_mktsegment AS description,
+  'A customer <a@example.com>' AS author,
+  CAST('2024-01-15 10:30:00' AS TIMESTAMP) AS created, CAST('2024-01-15 10:30:00' AS TIMESTAMP) AS updated,
+  '' AS source, CAST(NULL AS STRING) AS blocked_by, 'imported' AS tags
+FROM (SELECT *, c_custkey AS k FROM {customer}) c
+"""
+
 # Changes to existing and unknown rows, two to most, some invalid.
 FIELD_CHANGES = """
 SELECT k AS n,

