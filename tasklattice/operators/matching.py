@@ -20,7 +20,8 @@ from .joins import is_small
 from .listing import ListOptions, matching
 
 MAX_SUGGESTIONS = 3
-MIN_FUZZY_LENGTH = 6
+# Starts of ids up to this length are few, so only the first ids of each are compared.
+SHORT_LENGTH = 5
 MAX_EDITS = 2
 # Up to this length a lookup is matched by leaving out two characters, above it
 # by one of three pieces that two edits must leave whole.
@@ -221,11 +222,20 @@ def _without_two(text: Column) -> Column:
     return F.array_distinct(F.flatten(pairs))
 
 
-def _pieces(text: Column, slack: int) -> Column:
-    """A third of the text each, tagged with its place; ``slack`` shifts the cut either way."""
-    third = F.floor(F.length(text) / 3).cast("int")
+def _without_one(text: Column) -> Column:
+    """All texts left when one character is dropped."""
+    last = F.length(text)
+    return F.transform(
+        F.sequence(F.lit(1), last),
+        lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, last)),
+    )
+
+
+def _pieces(text: Column, length: Column, slack: int) -> Column:
+    """A third of ``length`` each, tagged with its place; ``slack`` shifts the cut either way."""
+    third = F.floor(length / 3).cast("int")
     tag = lambda part, at: F.concat(
-        part.cast("string"), F.lit(":"), F.substring(text, at, F.when(part < 2, third).otherwise(F.length(text) - 2 * third))
+        part.cast("string"), F.lit(":"), F.substring(text, at, F.when(part < 2, third).otherwise(length - 2 * third))
     )
     cut = F.transform(
         F.array(F.lit(0), F.lit(1), F.lit(2)),
@@ -237,27 +247,50 @@ def _pieces(text: Column, slack: int) -> Column:
     return F.array_distinct(F.array_compact(F.flatten(cut)))
 
 
-def _fuzzy_keys(text: Column, slack: int) -> Column:
-    """Keys of which two texts of one length, at most two edits apart, share at least one.
+def _fuzzy_keys(text: Column, length: Column, slack: int) -> Column:
+    """Keys that a lookup of ``length`` characters shares with any text at most two edits away.
 
-    Two edits that keep the length are two replacements, or one insertion and one
-    removal: either way dropping two characters from each can make them equal.
-    Long texts have too many such pairs; of their three pieces two edits leave
-    one whole, shifted by two places at most.
+    ``text`` is the lookup or the start of an id, up to two characters shorter. Two
+    edits leave a text in common that lacks two characters of the lookup.
+    Long lookups have too many such texts; of their three pieces two edits leave
+    one whole, shifted by two places at most. Lookups of one or two characters are
+    within two edits of everything.
     """
-    short = F.length(text) <= MAX_DELETION_LENGTH
-    return F.when(short, _without_two(text)).otherwise(_pieces(text, slack))
+    missing = length - F.length(text)
+    dropped = F.when(missing == 0, _without_two(text)).when(missing == 1, _without_one(text)).otherwise(F.array(text))
+    return (
+        F.when(length <= MAX_EDITS, F.array(F.lit("")))
+        .when(length <= MAX_DELETION_LENGTH, dropped)
+        .otherwise(_pieces(text, length, slack))
+    )
+
+
+def _starts(candidates: DataFrame, lookups: DataFrame) -> DataFrame:
+    """The starts of the ids that a lookup may be near to, in every length the lookups have.
+
+    All ids with one short start are as near to a lookup, so the first few will do.
+    """
+    starts = (
+        _with_lengths(candidates.select("id", "low_id", "place"), lookups, "low_ref")
+        .withColumn("head", F.substring("low_id", F.lit(1), F.col("_length")))
+        .where(F.col("_length") - F.length("head") <= MAX_EDITS)
+        .drop("low_id")
+    )
+    short = starts.where(F.col("_length") <= SHORT_LENGTH)
+    alike = F.when(F.col("_length") > MAX_EDITS, F.col("head")).otherwise("")
+    first = _first_hits(short.withColumn("_alike", alike), ["_length", "_alike"], [F.col("place")])
+    return first.select(starts.columns).unionByName(starts.where(F.col("_length") > SHORT_LENGTH))
 
 
 def fuzzy_match(refs: DataFrame, tasks: DataFrame) -> DataFrame:
     """Up to three tasks per ref: id prefixes, else ids holding it, else ids within two edits.
 
-    The edit distance is taken against the id cut to the length of the ref, for
-    refs of 6 to 40 characters: (ref, pos, hit, id, distance).
+    Refs may have any length. The edit distance is taken against the id cut to
+    the length of the ref: (ref, pos, hit, id, distance). A ref three characters
+    longer than an id can be has no match.
     """
-    width = F.octet_length("ref")
-    refs = refs.where((width >= MIN_FUZZY_LENGTH) & (width <= ID_LENGTH))
-    lookups = materialise(_lower_refs(refs))
+    size = F.length("low_ref")
+    lookups = materialise(_lower_refs(refs).where(size <= ID_LENGTH + MAX_EDITS))
     candidates = _candidates(tasks)
     columns = ["low_ref", "pos", "hit", "id", "distance"]
 
@@ -276,17 +309,10 @@ def fuzzy_match(refs: DataFrame, tasks: DataFrame) -> DataFrame:
     rest = rest.join(by_content.select("low_ref").distinct(), "low_ref", "left_anti")
 
     keyed_refs = materialise(
-        rest.select(
-            "low_ref",
-            F.length("low_ref").alias("_length"),
-            F.explode(_fuzzy_keys(F.col("low_ref"), 0)).alias("key"),
-        )
+        rest.select("low_ref", size.alias("_length"), F.explode(_fuzzy_keys(F.col("low_ref"), size, 0)).alias("key"))
     )
-    keyed_ids = (
-        _with_lengths(candidates, keyed_refs, "low_ref")
-        .withColumn("head", F.substring("low_id", F.lit(1), F.col("_length")))
-        .where(F.length("head") == F.col("_length"))
-        .select("id", "place", "head", "_length", F.explode(_fuzzy_keys(F.col("head"), MAX_EDITS)).alias("key"))
+    keyed_ids = _starts(candidates, keyed_refs).select(
+        "id", "place", "head", "_length", F.explode(_fuzzy_keys(F.col("head"), F.col("_length"), MAX_EDITS)).alias("key")
     )
     near = (
         keyed_ids.join(keyed_refs, ["_length", "key"])

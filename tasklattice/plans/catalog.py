@@ -16,7 +16,7 @@ from ..operators.replay import replay
 from ..schema import TASK_COLUMNS, TASK_SCHEMA
 from ..session import scratch_path
 from ..sources import exports
-from ..streaming.capture import capture_stream, _captured
+from ..streaming.capture import capture_stream, captured_rows
 from ..streaming.replay import replay_stream, verdicts
 from . import fixture as fx
 
@@ -289,7 +289,7 @@ def _stream_capture(spark: SparkSession, sf: str) -> DataFrame:
     )
     messages = spark.sql(fx.MESSAGES, documents=documents)
     capture_stream(messages, path, "doc_id", at=AT, author=AUTHOR).trigger(availableNow=True).start().awaitTermination()
-    rows = _captured(spark, path, True).unionByName(_captured(spark, path, False))
+    rows = captured_rows(spark, path, True).unionByName(captured_rows(spark, path, False))
     return _shown(rows, "doc_id", *TASK_SCHEMA.names, "error")
 
 
@@ -349,6 +349,7 @@ QUERIES: dict[str, Query] = {
     "resolve_refs": _with_refs(matching.resolve, fx.REFS),
     "suggest": _with_refs(matching.suggest, fx.NEAR_REFS),
     "fuzzy_match": _with_refs(matching.fuzzy_match, fx.TYPO_REFS),
+    "fuzzy_short": _with_refs(matching.fuzzy_match, fx.SHORT_REFS),
     "cards": lambda s, d: cards_.cards(_tasks(s, d, busy=True), fx.derive(s, d, fx.REFS)),
     "columns": _columns,
     "oneline": _line(X.oneline),

@@ -96,6 +96,14 @@ SELECT CASE k % 6 WHEN 0 THEN concat(substr(h, 1, 2), 'z', substr(h, 4, 5))
 FROM (SELECT c_custkey AS k, sha1(concat('task-', CAST(c_custkey * 7 + 3 AS STRING))) AS h FROM {customer}) c
 """
 
+# Refs of one to five characters, and some longer than any id.
+SHORT_REFS = """
+SELECT CASE k % 8 WHEN 0 THEN substr(h, 1, 1 + k % 5) WHEN 1 THEN concat('z', substr(h, 2, 1)) WHEN 2 THEN concat(substr(h, 1, 2), 'z')
+    WHEN 3 THEN concat('Z', substr(h, 1, 3)) WHEN 4 THEN concat(substr(h, 1, 3), 'zz') WHEN 5 THEN concat(h, 'x')
+    WHEN 6 THEN concat(substr(h, 1, 20), 'xy', substr(h, 21, 20)) ELSE concat(h, 'xyz') END AS ref
+FROM (SELECT c_custkey AS k, sha1(concat('task-', CAST(c_custkey * 7 + 3 AS STRING))) AS h FROM {customer}) c
+"""
+
 # Search queries with wildcards, backslashes and upper case.
 SEARCHES = """
 SELECT CASE k % 6 WHEN 0 THEN concat('customer ', CAST(k AS STRING)) WHEN 1 THEN concat('ORDER ', CAST(k AS STRING))

@@ -156,9 +156,8 @@ SELECT ref, pos, CASE class WHEN 0 THEN 'prefix' WHEN 1 THEN 'id' ELSE 'title' E
     refs=fx.NEAR_REFS,
 )
 
-FUZZY = with_tables(
-    f""", cand AS ({CANDIDATES}),
-q AS (SELECT DISTINCT ref, lower(ref) AS q FROM refs WHERE length(ref) BETWEEN 6 AND 40),
+FUZZY_TEXT = f""", cand AS ({CANDIDATES}),
+q AS (SELECT DISTINCT ref, lower(ref) AS q FROM refs WHERE ref <> ''),
 hits AS (
   SELECT q.ref, c.id, c.place, levenshtein(q.q, substr(c.id, 1, length(q.q))) AS d,
     CASE WHEN starts_with(c.id, q.q) THEN 0 WHEN contains(c.id, q.q) THEN 1 ELSE 2 END AS class
@@ -167,9 +166,9 @@ hits AS (
 kept AS (SELECT *, min(class) OVER (PARTITION BY ref) AS best FROM hits),
 placed AS (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY place) AS pos FROM kept WHERE class = best)
 SELECT ref, pos, CASE class WHEN 0 THEN 'prefix' WHEN 1 THEN 'substring' ELSE 'distance' END AS hit, id,
-  CAST(CASE class WHEN 0 THEN 0 WHEN 2 THEN d END AS INTEGER) AS distance FROM placed WHERE pos <= 3""",
-    refs=fx.TYPO_REFS,
-)
+  CAST(CASE class WHEN 0 THEN 0 WHEN 2 THEN d END AS INTEGER) AS distance FROM placed WHERE pos <= 3"""
+FUZZY = with_tables(FUZZY_TEXT, refs=fx.TYPO_REFS)
+FUZZY_SHORT = with_tables(FUZZY_TEXT, refs=fx.SHORT_REFS)
 
 CARDS = with_tables(
     f""", shown AS (SELECT DISTINCT id FROM ({resolved()}) WHERE id IS NOT NULL), breakdown AS ({BREAKDOWN})
@@ -524,6 +523,7 @@ SQL: dict[str, str] = {
     "resolve_refs": with_tables(resolved(), refs=fx.REFS),
     "suggest": SUGGEST,
     "fuzzy_match": FUZZY,
+    "fuzzy_short": FUZZY_SHORT,
     "cards": CARDS,
     "columns": with_tables(
         f"SELECT id, substr(id, 1, 7) AS short, blocked_by IS NOT NULL AS blocked, {KIND_LABEL} AS kind_label, {ICON} AS icon, "

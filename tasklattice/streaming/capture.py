@@ -42,14 +42,14 @@ def capture_stream(
     return messages.writeStream.option("checkpointLocation", f"{path}/checkpoint").foreachBatch(write)
 
 
-def _captured(spark: SparkSession, path: str, accepted: bool) -> DataFrame:
+def captured_rows(spark: SparkSession, path: str, accepted: bool) -> DataFrame:
     rows = spark.read.option("mergeSchema", "false").parquet(f"{path}/captured")
     return rows.where(F.col("accepted").cast("string") == str(accepted).lower())
 
 
 def captured_tasks(spark: SparkSession, path: str) -> DataFrame:
-    return _captured(spark, path, True).select(*TASK_SCHEMA.names)
+    return captured_rows(spark, path, True).select(*TASK_SCHEMA.names)
 
 
 def quarantine(spark: SparkSession, path: str) -> DataFrame:
-    return _captured(spark, path, False).drop("accepted", "batch")
+    return captured_rows(spark, path, False).drop("accepted", "batch")
