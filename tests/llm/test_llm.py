@@ -188,6 +188,18 @@ def test_packing_round_trip(docs, texts, empty):
     assert packing.pack(packing.cut_pieces(empty)).count() == 0
 
 
+def test_words_encoded_together_keep_their_own_ids():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    whole = Tokenizer.from_file(path)
+    for text in ("It's a1b2, Ñandú ñ <|endoftext|>x y<|endof z|> < <|startoftext|>", "İSTANBUL \u212a h\u0331 H\u0331 a\u0085b\u00a0c \u3000d", " ".join(f"w{k}x" for k in range(300)), ""):
+        packing._young.clear()
+        packing._old.clear()
+        ids = np.frombuffer(packing.encode(text.encode(), path), "<u4")
+        assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_patterns_cover_the_counts_and_are_near_the_bound():
     rng = np.random.default_rng(1)
     counts = np.zeros(64, np.int64)
