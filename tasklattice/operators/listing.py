@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..schema import DEFAULT_LIMIT, KINDS, LISTABLE_STATES, PRIORITIES, STATES
+from ..session import materialise
 from . import ordering as O
 from .hierarchy import progress
 from .joins import left_lookup
@@ -82,12 +83,13 @@ def list_tasks(tasks: DataFrame, options: ListOptions = ListOptions()) -> DataFr
 def list_with_progress(tasks: DataFrame, options: ListOptions = ListOptions()) -> DataFrame:
     """The listing with done and total subtasks of its root tasks.
 
-    A short listing first says which parents to count at all. The order is put
-    back after the join.
+    A short listing first says which parents to count at all; it is written, so
+    the top-k runs once. The order is put back after the join.
     """
     listed = list_tasks(tasks, options)
     counted = tasks
     if options.limit > 0 and not options.all:
+        listed = materialise(listed)
         counted = tasks.join(listed.select(F.col("id").alias("parent")), "parent", "left_semi")
     counts = progress(counted).withColumnRenamed("parent", "id")
     is_root = F.col("parent").isNull()

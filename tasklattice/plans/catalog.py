@@ -16,6 +16,7 @@ from ..operators.replay import replay
 from ..schema import TASK_COLUMNS, TASK_SCHEMA
 from ..session import scratch_path
 from ..sources import exports
+from ..sources.tables import read_tasks, write_tasks
 from ..streaming.capture import capture_stream, captured_rows
 from ..streaming.replay import replay_stream, verdicts
 from . import fixture as fx
@@ -272,8 +273,40 @@ def _export_csv(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _export_markdown(spark: SparkSession, sf: str) -> DataFrame:
-    path = _export("markdown", kind="bug", state="in-progress")(spark, sf)
-    return spark.read.text(path).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    return exports.numbered_lines(spark, _export("markdown", kind="bug", state="in-progress")(spark, sf))
+
+
+def _export_standard(spark: SparkSession, sf: str) -> DataFrame:
+    return exports.numbered_lines(spark, _export("standard", priority="low", state="in-progress")(spark, sf))
+
+
+def _export_chosen(rows: Callable[[DataFrame], DataFrame], fmt: str) -> Query:
+    """An export in the order of its source, newest first."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        path = scratch_path(spark, f"export-{fmt}")
+        exports.export_rows(rows(_tasks(spark, sf)), fmt, path, order="newest")
+        return exports.numbered_lines(spark, path)
+
+    return run
+
+
+def _list_text(spark: SparkSession, sf: str) -> DataFrame:
+    return exports.list_text(_tasks(spark, sf), ListOptions(all=True, show_done=True, show_cancelled=True))
+
+
+def _stored_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    """The table written and read again in two parts."""
+    path = scratch_path(spark, "stored")
+    tasks = _tasks(spark, sf)
+    write_tasks(tasks.where("parent IS NULL"), path)
+    write_tasks(tasks.where("parent IS NOT NULL"), path)
+    return _shown(read_tasks(spark, path))
+
+
+def _parse_heredocs(spark: SparkSession, sf: str) -> DataFrame:
+    parsed = ingest.parse_messages(fx.derive(spark, sf, fx.HEREDOCS), heredoc=True)
+    return parsed.select("doc_id", "title", "description", "parse_error")
 
 
 def _export_oneline(spark: SparkSession, sf: str) -> DataFrame:
@@ -384,6 +417,12 @@ QUERIES: dict[str, Query] = {
     "export_csv": _export_csv,
     "export_markdown": _export_markdown,
     "export_oneline": _export_oneline,
+    "export_standard": _export_standard,
+    "export_inbox": _export_chosen(listing.inbox, "markdown"),
+    "export_search": _export_chosen(lambda t: listing.search(t, "order 1_%CUSTOMER 2"), "oneline"),
+    "list_text": _list_text,
+    "stored_tasks": _stored_tasks,
+    "parse_heredocs": _parse_heredocs,
     "stream_capture": _stream_capture,
     "stream_replay": _stream_replay,
 }

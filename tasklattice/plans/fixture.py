@@ -121,6 +121,14 @@ SELECT doc_id, text,
 FROM {documents}
 """
 
+# Texts with here-document endings, one or two, at their end or inside.
+HEREDOCS = """
+SELECT doc_id, concat(coalesce(text, ''), CASE doc_id % 7 WHEN 0 THEN concat(chr(10), 'EOF < /dev/null') WHEN 1 THEN concat(chr(10), 'END < /dev/null', chr(10), ' ')
+    WHEN 2 THEN concat(chr(10), 'EOL < /dev/null', chr(10), 'DONE < /dev/null') WHEN 3 THEN concat(chr(10), 'EOF < /dev/null', chr(10), 'the end')
+    WHEN 4 THEN ' EOL < /dev/null' ELSE '' END) AS text
+FROM {documents}
+"""
+
 SUBTASK_MESSAGES = """
 SELECT doc_id, text,
   CASE doc_id % 4 WHEN 0 THEN 'bug' WHEN 1 THEN 'FEATURE' WHEN 2 THEN 'Regression' ELSE 'regression' END AS kind,
@@ -220,11 +228,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Hand a table of few files to all cores; one of many files is left as it is.
 
-    For operators that do much work per row. A large table has more files than
+    For operators that do much work per row. A large table is read in more parts than
     the cluster has cores and is not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def derive(spark: SparkSession, sf_dir: str, text: str, busy: bool = False) -> DataFrame:

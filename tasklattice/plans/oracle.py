@@ -455,15 +455,37 @@ CSV_COLUMNS = (
     f"coalesce(parent, '') AS Parent, coalesce(blocked_by, '') AS BlockedBy, {stamp('created')} AS Created, {stamp('updated')} AS Updated"
 )
 EXPORTED = "kind = 'BUG' AND state = 'IN_PROGRESS'"
-MARKDOWN_EXPORT = with_tables(
-    f""", numbered AS (SELECT *, row_number() OVER (ORDER BY {LIST_ORDER}) AS no FROM tasks WHERE {EXPORTED}),
+FOUND = "lower(title) LIKE '%order 1_%customer 2%' OR lower(description) LIKE '%order 1_%customer 2%'"
+
+
+def file_lines(texts: str) -> str:
+    """Numbered lines of (part, no, line) texts written one after another."""
+    return (
+        f"SELECT row_number() OVER (ORDER BY part, no, k) AS no, value FROM (SELECT part, no, unnest(string_split(line, {NL})) AS value, "
+        f"generate_subscripts(string_split(line, {NL}), 1) AS k FROM ({texts}))"
+    )
+
+
+def text_export(line: str, where: str, order: str = LIST_ORDER) -> str:
+    return with_tables(file_lines(f"SELECT 0 AS part, row_number() OVER (ORDER BY {order}) AS no, {line} AS line FROM tasks WHERE {where}"))
+
+
+def markdown_export(where: str, order: str = LIST_ORDER) -> str:
+    return with_tables(
+        f""", numbered AS (SELECT *, row_number() OVER (ORDER BY {order}) AS no FROM tasks WHERE {where}),
 texts AS (
-  SELECT '# Tasks Export' || {NL} || {NL} || 'Total tasks: ' || count(*) || {NL} || {NL}
+  SELECT 1 AS part, 0 AS no, '# Tasks Export' || {NL} || {NL} || 'Total tasks: ' || count(*) || {NL} || {NL}
     || '| ID | Type | State | Priority | Title | Tags | Source | Parent | Blocked By |' || {NL} || '|---|---|---|---|---|---|---|---|---|' AS line FROM numbered
-  UNION ALL SELECT {MARKDOWN_CELLS} FROM numbered
-  UNION ALL SELECT {NL} || '## Task Details' || {NL}
-  UNION ALL SELECT {MARKDOWN_SECTION} FROM numbered)
-SELECT value, count(*) AS n FROM (SELECT unnest(string_split(line, {NL})) AS value FROM texts) GROUP BY value"""
+  UNION ALL SELECT 2, no, {MARKDOWN_CELLS} FROM numbered
+  UNION ALL SELECT 3, 0, {NL} || '## Task Details' || {NL}
+  UNION ALL SELECT 4, no, {MARKDOWN_SECTION} FROM numbered)
+{file_lines("FROM texts")}"""
+    )
+
+
+HEREDOC_BODY = (
+    "CASE " + " ".join(f"WHEN ends_with(description, '{w} < /dev/null') THEN trim(left(description, length(description) - {len(w) + 12}), {WS})" for w in ("EOF", "EOL", "END", "DONE"))
+    + " ELSE description END"
 )
 
 SQL: dict[str, str] = {
@@ -482,9 +504,7 @@ SQL: dict[str, str] = {
     "list_all_with_progress": with_progress("true", "id, state, subtasks_total, subtasks_done"),
     "inbox": listed("state = 'INBOX'", NEWEST),
     "active_count": with_tables(f"SELECT count(*) AS n FROM tasks WHERE {DEFAULT}"),
-    "search_title_body": listed(
-        "lower(title) LIKE '%order 1_%customer 2%' OR lower(description) LIKE '%order 1_%customer 2%'", NEWEST
-    ),
+    "search_title_body": listed(FOUND, NEWEST),
     "search_literal": listed(
         "contains(lower(title), 'priority 2-high') OR contains(lower(description), 'priority 2-high')", NEWEST
     ),
@@ -571,7 +591,15 @@ SQL: dict[str, str] = {
         f"{stamp('updated')} AS updated_at FROM tasks"
     ),
     "export_csv": with_tables(f"SELECT {CSV_COLUMNS} FROM tasks WHERE {DEFAULT} AND contains(lower(tags), 'ui')"),
-    "export_markdown": MARKDOWN_EXPORT,
+    "export_markdown": markdown_export(EXPORTED),
+    "export_standard": text_export(logstyle("0", "0"), "priority = 'low' AND state = 'IN_PROGRESS'"),
+    "export_inbox": markdown_export("state = 'INBOX'", NEWEST),
+    "export_search": text_export(ONELINE, FOUND, NEWEST),
+    "list_text": with_progress("true", f"id, {logstyle('subtasks_done', 'subtasks_total')} AS line"),
+    "stored_tasks": with_tables(f"SELECT {SHOWN} FROM tasks"),
+    "parse_heredocs": with_tables(
+        f"SELECT doc_id, title, {HEREDOC_BODY} AS description, parse_error FROM ({parsed('heredocs')})", heredocs=fx.HEREDOCS
+    ),
     "export_oneline": with_tables(f"SELECT {ONELINE} AS value FROM tasks WHERE priority = 'high'"),
     "stream_capture": CAPTURE,
     "stream_replay": REPLAY,

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import text as X
 from ..operators import ordering as O
-from ..operators.listing import ListOptions, matching
+from ..operators.listing import ListOptions, list_with_progress, matching
+
+# What an export may be sorted by: the order of listings, or that of the inbox and of searches.
+ORDERS = {"list": O.list_order, "newest": O.newest_first}
 
 # The layout of the Markdown export.
 MARKDOWN_TITLE = "# Tasks Export"
@@ -28,6 +31,7 @@ CSV_OPTIONS = {
 }
 
 
+# The names of the columns in the JSON and CSV exports.
 def json_columns(tasks: DataFrame) -> DataFrame:
     return tasks.select(
         "id", "kind", "state", "priority", "title", "description", "tags", "source", "parent", "blocked_by",
@@ -52,18 +56,18 @@ def csv_columns(tasks: DataFrame) -> DataFrame:
     )
 
 
-def export_json(tasks: DataFrame, path: str) -> None:
+def export_json(tasks: DataFrame, path: str, order: str = "list") -> None:
     """One JSON object per line; absent links are left out."""
-    json_columns(tasks).write.option("ignoreNullFields", "true").json(path)
+    json_columns(tasks.orderBy(*ORDERS[order]())).write.option("ignoreNullFields", "true").json(path)
 
 
-def export_csv(tasks: DataFrame, path: str) -> None:
-    csv_columns(tasks).write.options(**CSV_OPTIONS).csv(path)
+def export_csv(tasks: DataFrame, path: str, order: str = "list") -> None:
+    csv_columns(tasks.orderBy(*ORDERS[order]())).write.options(**CSV_OPTIONS).csv(path)
 
 
-def markdown_rows(tasks: DataFrame) -> DataFrame:
-    """The rows of the Markdown table in list order: (no, id, line)."""
-    numbered = O.running_number(tasks, O.list_order(), name="no")
+def markdown_rows(tasks: DataFrame, order: str = "list") -> DataFrame:
+    """The numbered rows of the Markdown table: (no, id, line)."""
+    numbered = O.running_number(tasks, ORDERS[order](), name="no")
     return numbered.select("no", "id", X.markdown_cells("no").alias("line"))
 
 
@@ -72,9 +76,9 @@ def markdown_detail(tasks: DataFrame) -> DataFrame:
     return tasks.select("id", X.markdown_section().alias("line"))
 
 
-def markdown_document(tasks: DataFrame) -> DataFrame:
+def markdown_document(tasks: DataFrame, order: str = "list") -> DataFrame:
     """The whole Markdown export as sorted lines."""
-    numbered = O.running_number(tasks, O.list_order(), name="no")
+    numbered = O.running_number(tasks, ORDERS[order](), name="no")
 
     entry = lambda part, no, line: F.struct(
         F.lit(part).alias("part"), no.cast("long").alias("no"), line.alias("line")
@@ -96,22 +100,27 @@ def markdown_document(tasks: DataFrame) -> DataFrame:
     return frame.unionByName(body).orderBy("entry.part", "entry.no").select("entry.line")
 
 
-def export_markdown(tasks: DataFrame, path: str) -> None:
-    markdown_document(tasks).write.text(path)
+def export_markdown(tasks: DataFrame, path: str, order: str = "list") -> None:
+    markdown_document(tasks, order).write.text(path)
 
 
-def text_lines(tasks: DataFrame, form: str) -> DataFrame:
-    """Tasks in list order in a plain text form: one column, one task per row."""
+def text_lines(tasks: DataFrame, form: str, order: str = "list") -> DataFrame:
+    """Tasks in order in a plain text form: one column, one task per row."""
     if form == "oneline":
         line = X.oneline()
     else:
         blank = F.lit(0)
         line = X.logstyle(blank, blank)
-    return tasks.orderBy(*O.list_order()).select(line.alias("line"))
+    return tasks.orderBy(*ORDERS[order]()).select(line.alias("line"))
+
+
+def list_text(tasks: DataFrame, options: ListOptions = ListOptions()) -> DataFrame:
+    """The listing in log form, in order, with the progress of root tasks: (id, line)."""
+    return list_with_progress(tasks, options).select("id", X.logstyle().alias("line"))
 
 
 def _export_text(form: str):
-    return lambda tasks, path: text_lines(tasks, form).write.text(path)
+    return lambda tasks, path, order: text_lines(tasks, form, order).write.text(path)
 
 
 WRITERS = {
@@ -121,7 +130,15 @@ WRITERS = {
     "standard": _export_text("standard"),
     "oneline": _export_text("oneline"),
 }
-SORTED_BY_WRITER = ("markdown", "standard", "oneline")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a text export in the order of its files: (no, value)."""
+    lines = spark.read.text(path).select(
+        "value", "_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id().alias("_line")
+    )
+    numbered = O.running_number(lines, [F.asc(n) for n in ("file_name", "file_block_start", "_line")], name="no")
+    return numbered.select("no", "value")
 
 
 def export_options(active: bool = False, **filters) -> ListOptions:
@@ -131,10 +148,19 @@ def export_options(active: bool = False, **filters) -> ListOptions:
     )
 
 
-def export_tasks(tasks: DataFrame, fmt: str, path: str, active: bool = False, **filters) -> None:
-    """Filter, put in list order and write. The format name is not case-sensitive."""
+def export_rows(rows: DataFrame, fmt: str, path: str, order: str = "list") -> None:
+    """Write rows that are chosen already, as an inbox or a search's hits, in the given order.
+
+    The format name is not case-sensitive.
+    """
     name = (fmt or "standard").lower()
     if name not in WRITERS:
         raise ValueError(f"unsupported format: {fmt}")
-    rows = matching(tasks, export_options(active, **filters))
-    WRITERS[name](rows if name in SORTED_BY_WRITER else rows.orderBy(*O.list_order()), path)
+    if order not in ORDERS:
+        raise ValueError(f"unknown order: {order}")
+    WRITERS[name](rows, path, order)
+
+
+def export_tasks(tasks: DataFrame, fmt: str, path: str, active: bool = False, order: str = "list", **filters) -> None:
+    """Filter, put in order and write."""
+    export_rows(matching(tasks, export_options(active, **filters)), fmt, path, order)

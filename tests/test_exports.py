@@ -109,3 +109,25 @@ def test_compact_form(three):
     lines = {r.title: r.line for r in three.select("title", X.compact().alias("line")).collect()}
     assert lines["feature"] == f"{sha('feature')[:7]} ▶ feature(medium): feature ⊘"
     assert lines['Say "hi", twice'].endswith('twice #a #b')
+
+
+def test_exports_keep_the_order_of_their_source(spark, make_tasks, tmp_path):
+    tasks = make_tasks(*(task(f"t{n}", priority=("low", "high")[n % 2], state="INBOX", created=n) for n in range(6)))
+    path = str(tmp_path / "newest")
+    exports.export_rows(tasks, "Oneline", path, order="newest")
+    lines = [r.value for r in exports.numbered_lines(spark, path).orderBy("no").collect()]
+    assert [line.rsplit(" ", 1)[1] for line in lines] == ["t5", "t4", "t3", "t2", "t1", "t0"]
+    with pytest.raises(ValueError):
+        exports.export_rows(tasks, "oneline", str(tmp_path / "bad"), order="size")
+
+
+def test_list_text_shows_progress_of_roots_only(make_tasks):
+    tasks = make_tasks(
+        task("root", state="NEW"),
+        task("child", state="NEW", parent="root"),
+        task("leaf", state="DONE", parent="child"),
+        task("done", state="DONE", parent="root"),
+    )
+    lines = {r.id: r.line for r in exports.list_text(tasks).collect()}
+    assert set(lines) == {sha("root"), sha("child")}
+    assert "[1/2]" in lines[sha("root")] and "[" not in lines[sha("child")]
