@@ -59,7 +59,7 @@ def _encode_words(words: list[bytes], path: str) -> None:
         _old.clear()
         tokenizer = _tokenizers[path] = Tokenizer.from_file(path)
     marker = tokenizer.token_to_id(MARKER)
-    alone = [w for w in words if marker is None or b"<" in w or b">" in w]
+    alone = words if marker is None else [w for w in words if b"<" in w or b">" in w]
     if alone:
         for word, found in zip(alone, tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in alone], add_special_tokens=False)):
             _young[word] = np.array(found.ids, "<u4").tobytes()
@@ -68,7 +68,7 @@ def _encode_words(words: list[bytes], path: str) -> None:
         several = words
     for at in range(0, len(several), JOINED_WORDS):
         part = several[at : at + JOINED_WORDS]
-        joined = MARKER.join([w.decode("utf-8", "replace") for w in part])
+        joined = MARKER.encode().join(part).decode("utf-8", "replace")
         ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
         ends = [*np.flatnonzero(ids == marker).tolist(), len(ids)]
         data, start = ids.tobytes(), 0
@@ -85,17 +85,16 @@ def encode(text: bytes, path: str) -> bytes:
     """
     global _young, _old
     words = text.split()
-    missing = []
-    for word in set(words):
-        if word not in _young:
-            ids = _old.get(word)
-            if ids is None or path not in _tokenizers:
-                missing.append(word)
-            else:
-                _young[word] = ids
+    if path not in _tokenizers:
+        _encode_words([], path)
+    missing = set(words).difference(_young)
+    if _old:
+        known = [w for w in missing if w in _old]
+        _young.update((w, _old[w]) for w in known)
+        missing.difference_update(known)
     if missing:
-        _encode_words(missing, path)
-    out = b"".join([_young[w] for w in words])
+        _encode_words(list(missing), path)
+    out = b"".join(map(_young.__getitem__, words))
     if len(_young) > CACHED_WORDS:
         _old, _young = _young, {}
     return out
