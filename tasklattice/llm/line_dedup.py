@@ -175,10 +175,11 @@ def kept_lines(text: bytes, bitmap: bytes | None) -> tuple[int, int, bytes]:
     return len(lines), len(lines) - len(left), b"\n".join(left)
 
 
-def drop_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", spare_emptied: bool = False) -> DataFrame:
     """The documents with the lines that the bitmaps drop left out; all other columns stay.
 
-    A document that loses all its lines has an empty text, a null text stays null.
+    A document that loses all its lines has an empty text, a null text stays null. With
+    ``spare_emptied`` a document that would be left without a word keeps its whole text.
     """
     marked = docs.withColumn("_row", row_key(docs, id_col, text_col)).join(
         bitmaps.select(F.col("row").alias("_row"), F.col("keep_bitmap").alias("_bitmap")).hint("merge"), "_row", "left"
@@ -194,6 +195,8 @@ def drop_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text
                 t if t is None or m is None else kept_lines(t.encode(), m)[2].decode()
                 for t, m in zip(texts, batch.column("_bitmap").to_pylist())
             ]
+            if spare_emptied:
+                new = [t if n is not None and not n.encode().strip(SPACE) else n for t, n in zip(texts, new)]
             arrays = [pa.array(new, pa.string()) if k == place else table.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 

@@ -344,3 +344,13 @@ def test_pipeline_stages_by_brute_force(spark, docs, texts, tmp_path):
     kept = [(k, t) for k, t in kept if benchmark not in t]
     assert rows_of(current, "doc_id", "text") == sorted(kept, key=repr)
     assert corpus_pipeline.run(spark, path).select("doc_id").distinct().count() == len(kept)
+
+
+def test_pipeline_keeps_one_of_many_copies(spark, words):
+    rng = random.Random(21)
+    text = "\n".join(" ".join(rng.choices(words, k=8)) for _ in range(6))
+    own = [(k, f"{' '.join(rng.choices(words, k=12))}\nshared line") for k in range(100, 112)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in [*((k, text) for k in range(1, 13)), *own]], SCHEMA)
+    left = corpus_pipeline.line_dedup(spark, docs, "")
+    assert {(r.text, r.n_chars) for r in left.where("doc_id < 100").collect()} == {(text, len(text))}
+    assert rows_of(corpus_pipeline.jaccard_join(spark, left, ""), "doc_id", "text") == sorted([(1, text), *((k, t.split("\n")[0]) for k, t in own)], key=repr)
