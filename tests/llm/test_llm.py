@@ -10,6 +10,7 @@ import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tasklattice.llm import embedding_join, html_text, jaccard_join, language_id, line_dedup, maxent_lm, packing, secret_scan, token_counts
 from tasklattice.llm.common import LOWER, components, shingle_sets
@@ -231,6 +232,19 @@ def test_open_document_at_the_end_of_a_file(spark, tmp_path):
         assert rows_of(found, "document", "start", "n_tokens", "closed") == [(0, 0, 2, True), (1, 3, 0, True), (2, 4, 1, False)]
 
 
+def test_token_file_that_spark_refuses_to_read_whole(spark, tmp_path):
+    (tmp_path / "a b.bin").write_bytes(np.array([*range(100, 200), 9, 5, 9], "<u2").tobytes())
+    (tmp_path / "c.bin").write_bytes(np.array([9, 9], "<u2").tobytes())
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "50")
+    try:
+        assert token_counts._blocks(spark, str(tmp_path), 9, 2, 10).groupBy(F.spark_partition_id()).count().count() > 1
+        for block in (7, 1000):
+            found = token_counts.scan_token_files(spark, str(tmp_path), separator=9, block_tokens=block)
+            assert rows_of(found, "document", "start", "n_tokens", "closed") == sorted([(0, 0, 100, True), (1, 101, 1, True), (0, 0, 0, True), (1, 1, 0, True)], key=repr)
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
 def test_embedding_join(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(30, 12))
