@@ -9,7 +9,8 @@ are left are checked exactly on sorted arrays.
 
 Stars first: every set is checked with the set it shares most tiles with, and what
 links is one component. Then rounds over neighbours in the tiles join what they can,
-and at last every tile gives all its pairs of sets of different components. So a large
+and at last every tile gives all its pairs of sets of different components; a large
+tile is cut into blocks, and a task holds two blocks at a time. So a large
 group of near copies costs its size, not its square, and no link that joins two
 components is left out.
 """
@@ -39,6 +40,8 @@ STAR = 2000
 WINDOWS, PARTNERS = (1, 8), 4
 # Bits of the filter that tells which sets will be checked; false hits only cost time.
 FILTER_BITS = 1 << 22
+# Rows of a run, and sets of a tile, from which they are dealt to several tasks; the buckets that look for such runs.
+HOT_RUN, BLOCK_SETS, RUN_BUCKETS = 1 << 14, 1 << 10, 1 << 16
 
 
 def _set_id(runs: np.ndarray) -> int:
@@ -133,8 +136,8 @@ def _prefixes(common: np.ndarray, percent: int, width: int):
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.ndarray]]:
-    """The columns, cut so that rows of equal ``key``, which stand together, are never cut apart."""
+def _groups(batches: Iterator[pa.RecordBatch], key: str, limit: int | None = None) -> Iterator[dict[str, np.ndarray]]:
+    """The columns, cut so that rows of equal ``key``, which stand together, are not cut apart before they are ``limit``."""
     held: list[dict] = []
     for batch in batches:
         if not batch.num_rows:
@@ -147,10 +150,24 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, n
             yield {n: np.concatenate([*(h[n] for h in held), first[n]]) for n in cols}
             held = []
         held.append({n: a[cut:] for n, a in cols.items()})
+        if limit and sum(len(h[key]) for h in held) >= limit:
+            yield {n: np.concatenate([h[n] for h in held]) for n in cols}
+            held = []
     if held:
         yield {n: np.concatenate([h[n] for h in held]) for n in held[0]}
 
 
+def _centres(members: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """The first of each size band, for members sorted by size."""
+    centre = np.empty(len(members), np.int64)
+    at = 0
+    while at < len(members):
+        to = int(np.searchsorted(n, int(n[at]) * 100 // percent, side="right"))
+        centre[at:to] = members[at]
+        at = to
+    return centre
+
+
 def _tiles(percent: int):
     """Rows sorted by (run, n, sid) to tiles of two sets or more, with the smallest of each size band as centre."""
 
@@ -172,12 +189,7 @@ def _tiles(percent: int):
                 if tile in seen:
                     continue
                 seen.add(tile)
-                centre = np.empty(length, np.int64)
-                at = 0
-                while at < length:
-                    to = int(np.searchsorted(n, int(n[at]) * 100 // percent, side="right"))
-                    centre[at:to] = members[at]
-                    at = to
+                centre = _centres(members, n, percent)
                 for part, values in zip(out, (np.full(length, tile), members, n, centre)):
                     part.append(values)
             if out[0]:
@@ -186,15 +198,134 @@ def _tiles(percent: int):
     return run
 
 
-def _tile_pairs(percent: int, window: int | None = None):
+def _hot_centres(percent: int):
+    """Rows (tile, n, sid) of the smallest set of each size, sorted, to the centre of each size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in _groups(batches, "tile"):
+            if not len(cols["tile"]):
+                continue
+            starts = np.flatnonzero(np.diff(cols["tile"], prepend=cols["tile"][0] - 1) != 0)
+            centres = [_centres(m, n, percent) for m, n in zip(np.split(cols["sid"], starts[1:]), np.split(cols["n"], starts[1:]))]
+            yield pa.RecordBatch.from_arrays([pa.array(cols["tile"]), pa.array(cols["n"]), pa.array(np.concatenate(centres))], names=["tile", "n", "centre"])
+
+    return run
+
+
+def _all_tiles(heads: DataFrame, percent: int, hot_run: int) -> DataFrame:
+    """(tile, sid, n, centre) of the written heads; the rows of a run of ``hot_run`` or more never meet in one task."""
+    bucket = F.col("run").bitwiseAND(RUN_BUCKETS - 1)
+    full = materialise(heads.groupBy(bucket.alias("bucket")).count().where(F.col("count") >= hot_run).select("bucket"))
+    schema = "tile long, sid long, n int, centre long"
+    hot = None
+    if full.head(1):
+        hot = materialise(heads.join(F.broadcast(full), bucket == F.col("bucket"), "left_semi").groupBy("run").count().where(F.col("count") >= hot_run).select("run"))
+        hot = hot if hot.head(1) else None
+    cold = heads.join(hot, "run", "left_anti") if hot else heads
+    cold = cold.repartition("run").sortWithinPartitions("run", "n", "sid").mapInArrow(_tiles(percent), schema)
+    if not hot:
+        return materialise(cold.dropDuplicates(["tile", "sid"]))
+    # Runs with equal members are one tile: told by sums over the members, combined before the shuffle.
+    members = materialise(heads.join(hot, "run", "left_semi").dropDuplicates(["run", "sid"]))
+    code = F.xxhash64("sid")
+    tile = F.xxhash64(F.count("*"), F.bit_xor(code), F.bit_xor(F.xxhash64(code, F.lit(1))))
+    kept = members.groupBy("run").agg(tile.alias("tile"), F.count("*").alias("size")).where("size > 1").groupBy("tile").agg(F.min("run").alias("run"))
+    named = materialise(members.join(materialise(kept), "run").select("tile", "sid", "n"))
+    least = named.groupBy("tile", "n").agg(F.min("sid").alias("sid")).select("tile", "n", "sid")
+    centres = least.repartition("tile").sortWithinPartitions("tile", "n").mapInArrow(_hot_centres(percent), "tile long, n int, centre long")
+    dealt = named.join(materialise(centres), ["tile", "n"]).select("tile", "sid", "n", "centre")
+    tiles = materialise(cold.union(dealt).dropDuplicates(["tile", "sid"]))
+    release(members, named)
+    return tiles
+
+
+def _cut_blocks(limit: int):
+    """Rows sorted by (tile, label, n) with the number of their block: at most ``limit`` rows of one tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, filled, block = None, 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            out = []
+            for now in batch.column("tile").to_pylist():
+                if now != tile or filled == limit:
+                    tile, filled, block = now, 0, block + 1
+                filled += 1
+                out.append(block)
+            numbers = (batch.column("part")[0].as_py() << 32) + np.array(out, np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("tile", "sid", "n", "bits", "label")), pa.array(numbers)], names=["tile", "sid", "n", "bits", "label", "block"])
+
+    return run
+
+
+def _block_pairs(percent: int):
+    """Rows sorted by (key, first, second, side, n), one block against one: the pairs that ``_tile_pairs`` would find."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in _groups(batches, "key"):
+            if not len(cols["key"]):
+                continue
+            new = (np.diff(cols["first"], prepend=cols["first"][0] - 1) != 0) | (np.diff(cols["second"], prepend=cols["second"][0]) != 0)
+            starts = np.flatnonzero(new)
+            for start, end in zip(starts.tolist(), np.append(starts[1:], len(new)).tolist()):
+                alone = cols["first"][start] == cols["second"][start]
+                middle = start if alone else start + int(np.searchsorted(cols["side"][start:end], 1))
+                n, labels, sids = (cols[c][middle:end] for c in ("n", "label", "sid"))
+                words = [np.frombuffer(b, np.uint64) for b in cols["bits"][middle:end]]
+                lengths = np.array([len(w) for w in words])
+                stacks: dict[int, np.ndarray] = {}
+                for k in range(start, end if alone else middle):
+                    size = int(cols["n"][k])
+                    low = k - start + 1 if alone else int(np.searchsorted(n, -(-size * percent // 100), side="left"))
+                    others = np.arange(low, int(np.searchsorted(n, size * 100 // percent, side="right")))
+                    others = others[labels[others] != cols["label"][k]]
+                    if not len(others):
+                        continue
+                    mine = np.frombuffer(cols["bits"][k], np.uint64)
+                    width = int(min(len(mine), lengths[others].min()))
+                    if width not in stacks:
+                        stacks[width] = np.stack([_fold(w, width) if len(w) >= width else np.zeros(width, np.uint64) for w in words])
+                    differ = np.bitwise_count(stacks[width][others] ^ _fold(mine, width)).sum(axis=1).astype(np.int64)
+                    total = n[others].astype(np.int64) + size
+                    found = sids[others[(100 + percent) * ((total - differ) // 2) >= percent * total]]
+                    if len(found):
+                        me = np.full(len(found), cols["sid"][k])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(me, found)), pa.array(np.maximum(me, found)), pa.array(np.ones(len(found), np.int64))], names=["a", "b", "shared"])
+
+    return run
+
+
+def _blocked(marked: DataFrame, percent: int, limit: int) -> DataFrame:
+    """All pairs of different components of tiles of any size: blocks of ``limit`` sets, block against block."""
+    order = ["tile", "label", "n", "sid"]
+    placed = materialise(marked).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    blocks = materialise(placed.mapInArrow(_cut_blocks(limit), "tile long, sid long, n int, bits binary, label long, block long"))
+    edges = blocks.groupBy("tile", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("least"), F.max("label").alias("most"))
+    edges = materialise(edges)
+    first, second = edges.alias("f"), edges.alias("s")
+    # Two blocks of the same component have nothing to check; nor have those of sizes too far apart.
+    meet = first.join(second, F.expr("f.tile = s.tile and f.block <= s.block")).where(
+        f"(f.least <> s.least or f.most <> s.most or f.least <> f.most) and f.high * 100L >= s.low * {percent}L and s.high * 100L >= f.low * {percent}L"
+    )
+    meet = materialise(meet.select(F.col("f.block").alias("first"), F.col("s.block").alias("second")))
+    sides = meet.select(F.col("first").alias("block"), "first", "second", F.lit(0).alias("side")).union(
+        meet.where("first <> second").select(F.col("second").alias("block"), "first", "second", F.lit(1).alias("side"))
+    )
+    rows = blocks.join(materialise(sides), "block").select(F.xxhash64("first", "second").alias("key"), "first", "second", "side", "sid", "n", "bits", "label")
+    rows = rows.repartition("first", "second").sortWithinPartitions("key", "first", "second", "side", "n")
+    return rows.mapInArrow(_block_pairs(percent), "a long, b long, shared long")
+
+
+def _tile_pairs(percent: int, window: int | None = None, limit: int | None = None):
     """Rows sorted by (tile, n) to the pairs of different components whose bound allows a link.
 
-    With a ``window`` a set is paired with so many that follow it in the tile only.
-    ``shared`` counts the tiles that hold the pair.
+    With a ``window`` a set is paired with so many that follow it in the tile only, or in
+    its stretch of ``limit`` rows. ``shared`` counts the tiles that hold the pair.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols in _groups(batches, "tile"):
+        for cols in _groups(batches, "tile", limit):
             tiles, sids, sizes, labels = cols["tile"], cols["sid"], cols["n"], cols["label"]
             if not len(tiles):
                 continue
@@ -329,8 +460,9 @@ def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     often = often.groupBy(F.col("x.runs").alias("run")).agg(F.sum("x.often").alias("n")).where(F.col("n") >= OFTEN)
     common = np.sort(np.array([r.run for r in often.orderBy(F.desc("n"), "run").limit(MOST_COMMON).collect()], np.int64).view(np.uint64))
     heads = rows.select("text").mapInArrow(_prefixes(common, percent, width), "run long, sid long, n int")
-    heads = heads.repartition("run").sortWithinPartitions("run", "n", "sid")
-    tiles = materialise(heads.mapInArrow(_tiles(percent), "tile long, sid long, n int, centre long").dropDuplicates(["tile", "sid"]))
+    heads = materialise(heads)
+    tiles = _all_tiles(heads, percent, HOT_RUN)
+    release(heads)
     best = tiles.where("sid <> centre").groupBy("sid", "centre").count().groupBy("sid").agg(F.max_by("centre", F.struct("count", "centre")).alias("a"))
     maps = materialise(summary.where("bits is not null").groupBy("sid").agg(F.first("bits").alias("bits"), F.first("n").alias("n")))
     stars = _verify(materialise(_bounded(best.select("a", F.col("sid").alias("b")), maps, percent)), rows, percent, width)
@@ -340,11 +472,20 @@ def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         labels = components(links).withColumnRenamed("node", "sid")
         label = F.coalesce("component", "sid")
         # A tile of one component has nothing left to check, and its bitmaps need not travel.
-        several = tiles.join(labels, "sid", "left").groupBy("tile").agg(F.min(label).alias("low"), F.max(label).alias("high")).where("low <> high").select("tile")
-        open_tiles = tiles.join(materialise(several), "tile", "left_semi")
-        marked = open_tiles.join(maps.select("sid", "bits"), "sid").join(labels, "sid", "left").select("tile", "sid", "n", "bits", label.alias("label"))
-        placed = marked.repartition("tile").sortWithinPartitions("tile", "n", "sid")
-        found = placed.mapInArrow(_tile_pairs(percent, window), "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+        several = tiles.join(labels, "sid", "left").groupBy("tile").agg(F.min(label).alias("low"), F.max(label).alias("high"), F.count("*").alias("size")).where("low <> high")
+        several = materialise(several.select("tile", (F.col("size") > BLOCK_SETS).alias("large")))
+        open_tiles = tiles.join(several, "tile")
+        marked = open_tiles.join(maps.select("sid", "bits"), "sid").join(labels, "sid", "left").select("tile", "sid", "n", "bits", label.alias("label"), "large")
+        placed = marked.where("not large").drop("large").repartition("tile").sortWithinPartitions("tile", "n", "sid")
+        found = placed.mapInArrow(_tile_pairs(percent, window), "a long, b long, shared long")
+        if several.where("large").head(1):
+            large = marked.where("large").drop("large")
+            if window is None:
+                found = found.union(_blocked(large, percent, BLOCK_SETS))
+            else:
+                large = materialise(large).repartitionByRange("tile", "n", "sid").sortWithinPartitions("tile", "n", "sid")
+                found = found.union(large.mapInArrow(_tile_pairs(percent, window, BLOCK_SETS), "a long, b long, shared long"))
+        found = found.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
         if window is not None:
             closest = Window.partitionBy("a").orderBy(F.desc("shared"), "b")
             found = found.withColumn("place", F.row_number().over(closest)).where(F.col("place") <= PARTNERS)

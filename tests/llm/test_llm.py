@@ -78,6 +78,25 @@ def test_jaccard_join_equals_brute_force(docs, texts, empty):
     assert {r.doc_id for r in kept.collect()} - {None} == {k for k, _, c in groups if k == c}
 
 
+def test_hot_runs_and_tiles_are_dealt_in_blocks(spark, docs, texts, monkeypatch):
+    rng = random.Random(31)
+    common = [f"c{k}" for k in range(40)]
+    # All share runs, but only some pairs overlap by four fifths.
+    group = [" ".join(common + [f"o{k % 5}x{j}" for j in range(rng.randint(1, 25))] + [f"z{k}"]) for k in range(40)]
+    expected = sorted(brute_groups([*texts, *group]), key=repr)
+    more = spark.createDataFrame(list(enumerate([*texts, *group])), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(jaccard_join, "HOT_RUN", 8)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 6)
+    assert rows_of(jaccard_join.near_duplicates(more), "doc_id", "n_shingles", "component_id") == expected
+    # One tile of 40 sets, none linked yet: blocks give all its pairs, two blocks at a time.
+    rows = [(1, k, 30 + k // 4, bytes(8), k // 3) for k in range(40)]
+    marked = spark.createDataFrame(rows, "tile long, sid long, n int, bits binary, label long")
+    found = rows_of(jaccard_join._blocked(marked, 80, 6), "a", "b")
+    assert found == sorted({(a, b) for _, a, n, _, x in rows for _, b, m, _, y in rows if a < b and x != y and 80 * m <= 100 * n}, key=repr)
+    column = pa.table({"tile": [1] * 30, "n": range(30)}).to_batches(max_chunksize=3)
+    assert max(c["tile"].size for c in jaccard_join._groups(iter(column), "tile", 6)) == 6
+
+
 def test_keep_one_keeps_one_of_repeated_rows(spark):
     text = "a b c d e f g"
     docs = spark.createDataFrame([(1, text), (1, text), (2, text), (3, "")] * 2, "doc_id long, text string")
