@@ -24,6 +24,8 @@ from tasklattice.session import materialise
 SPACE = b" \t\n\v\f\r"
 MIN_DOCS = 10
 MIN_CHARS = 1
+# What stands for a null id.
+NO_ID = -(1 << 63) + 1
 LINE_SCHEMA = "row long, doc long, high long, low long, pos int, n_lines int"
 HIT_SCHEMA = "row long, pos int, n_lines int, part int, edge boolean, high long, low long, part_docs long, first boolean"
 
@@ -145,9 +147,11 @@ def keep_bitmaps(
     """
     if keep not in ("none", "first"):
         raise ValueError("keep is 'none' or 'first'")
+    # No null gets to numpy: it would make the ids floating-point numbers, which are neither exact nor equal to themselves.
+    known = docs[id_col].cast("long") if dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint") else F.xxhash64(docs[id_col])
     rows = docs.select(
         row_key(docs, id_col, text_col).alias("row"),
-        (docs[id_col].cast("long") if dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint") else F.xxhash64(docs[id_col])).alias("doc"),
+        F.coalesce(known, F.lit(NO_ID)).alias("doc"),
         text_column(docs, text_col).alias("text"),
     )
     lines = materialise(rows.mapInArrow(_hash_lines(min_chars), LINE_SCHEMA))

@@ -134,6 +134,14 @@ def test_line_dedup(spark, empty):
     assert line_dedup.keep_bitmaps(empty).count() == 0
 
 
+def test_line_dedup_counts_rows_of_a_null_id_as_one_document(spark):
+    large = 1 << 60
+    data = [(None, "\n".join(["again"] * 12)), (None, "again"), *((large + k, "near ids") for k in range(10))]
+    docs = spark.createDataFrame(data, "doc_id long, text string").coalesce(1)
+    left = line_dedup.drop_lines(docs, line_dedup.keep_bitmaps(docs))
+    assert rows_of(left, "doc_id", "text") == sorted([*data[:2], *((large + k, "") for k in range(10))], key=repr)
+
+
 def test_line_dedup_of_a_line_over_many_partitions(spark):
     docs = spark.range(3000).selectExpr("id as doc_id", "concat('every document', chr(10), id) as text").repartition(12)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
