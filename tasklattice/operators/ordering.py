@@ -52,24 +52,50 @@ def with_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> Dat
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
 
 
+def numbered(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """``row_number()`` over all rows, with one shuffle of them.
+
+    Rows are range-partitioned and sorted, and each is written with its position
+    in its partition. Partitions hold ascending ranges, so a row's number is its
+    position plus the rows of all partitions before: a broadcast of one row per partition.
+    """
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The id holds the partition above 33 bits of position.
+    placed = materialise(ranges.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("_at", 33)
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = (
+        placed.groupBy(part.alias("_part"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    )
+    position = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return (
+        placed.withColumn("_part", part)
+        .join(F.broadcast(before), "_part")
+        .withColumn(name, F.col("_before") + position + 1)
+        .select(*df.columns, name)
+    )
+
+
 def running_number(
     df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (), name: str = "rank"
 ) -> DataFrame:
     """``row_number()`` within ``keys``, with no group in one task. Keys are not null.
 
-    Rows are range-partitioned by keys and order and written with the number of
-    their partition. Inside a partition they are numbered by a window; a group
+    Without keys see ``numbered``. With keys, rows are range-partitioned by keys and
+    order and written with the number of their partition. Inside a partition they are numbered by a window; a group
     that began in an earlier partition goes on from the rows it has there. So a
     group that holds a third of all rows, or all of them, is spread by its order
     like any other, whatever its times and ids look like. Only counts per
     partition are summed across a group.
     """
+    if not keys:
+        return numbered(df, order, name)
     keys = list(keys)
     ranges = df.repartitionByRange(*(F.asc(key) for key in keys), *order)
     placed = materialise(ranges.withColumn("_part", F.spark_partition_id()))
-    earlier = (
-        Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # Only the groups that cross a border: at most one per partition.
     carried = materialise(
         placed.groupBy("_part", *keys)
