@@ -9,6 +9,7 @@ from tasklattice.llm.jaccard_join import OP5_SQL, op5_jaccard_join
 from tasklattice.llm.language_id import op7_language_id
 from tasklattice.llm.line_dedup import OP8_SQL, op8_line_dedup
 from tasklattice.llm.maxent_lm import op4_maxent_lm
+from tasklattice.llm.merkle_manifest import OP12_SQL, op12_merkle_manifest
 from tasklattice.llm.packing import op6_packing
 from tasklattice.llm.secret_scan import op9_secret_scan
 from tasklattice.llm.token_counts import op2_token_counts
@@ -26,7 +27,13 @@ QUERIES = {
         op8_line_dedup,
         op9_secret_scan,
         op10_html_text,
+        op12_merkle_manifest,
     )
 }
 
-SQL = {"op3_embedding_join": OP3_SQL, "op5_jaccard_join": OP5_SQL, "op8_line_dedup": OP8_SQL}
+SQL = {
+    "op3_embedding_join": OP3_SQL,
+    "op5_jaccard_join": OP5_SQL,
+    "op8_line_dedup": OP8_SQL,
+    "op12_merkle_manifest": OP12_SQL,
+}
