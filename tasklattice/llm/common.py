@@ -78,17 +78,18 @@ def _powers(base: np.uint64, count: int) -> np.ndarray:
     return table[:count]
 
 
-def hashed_words(texts: list[bytes], table: bytes = LOWER) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all lower-cased words of the texts, and where each text's words begin.
+def located_words(texts: list[bytes], table: bytes = LOWER) -> tuple[np.ndarray, ...]:
+    """The folded bytes of all texts, where each word begins and ends in them, its 64-bit hash, and where each text's words begin.
 
     Words are runs of anything but ASCII white space, and only A-Z are folded.
-    The second array has one entry more than there are texts. ``table`` may map
+    The last array has one entry more than there are texts. ``table`` may map
     further bytes, as to white space.
     """
     joined = b" ".join(texts).translate(table)
     data = np.frombuffer(joined, np.uint8)
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+        none = np.zeros(0, np.int64)
+        return data, none, none, np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     inside = ~_SPACES[data]
     change = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     first, last = change[::2], change[1::2]
@@ -96,7 +97,12 @@ def hashed_words(texts: list[bytes], table: bytes = LOWER) -> tuple[np.ndarray,
     np.cumsum(_BYTE_CODES[data] * _powers(_BASE, len(data)), out=total[1:])
     words = mix((total[last] - total[first]) * _powers(_INVERSE, len(data))[first] + (last - first).astype(np.uint64))
     begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    return words, np.searchsorted(first, begins).astype(np.int64)
+    return data, first, last, words, np.searchsorted(first, begins).astype(np.int64)
+
+
+def hashed_words(texts: list[bytes], table: bytes = LOWER) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, and where each text's words begin; see ``located_words``."""
+    return located_words(texts, table)[3:]
 
 
 def shingle_sets(texts: list[bytes], width: int = SHINGLE_WORDS) -> list[np.ndarray]:
