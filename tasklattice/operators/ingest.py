@@ -97,13 +97,16 @@ def capture(
     raw: str = "text",
     author: str | None = None,
     heredoc: bool = False,
+    refused: Column | None = None,
 ) -> DataFrame:
     """Messages (raw text, kind, and any of priority, source, tags, author) as tasks with ``error``.
 
     Rows without an error are ready to append; the others are the quarantine.
+    ``refused`` is an error that comes before all others.
     """
     drafts = parse_messages(messages.withColumn("kind", F.upper("kind")), raw, heredoc)
-    return _finish(drafts, at, nonce, author, F.col("parse_error"))
+    early = F.col("parse_error") if refused is None else F.coalesce(refused, "parse_error")
+    return _finish(drafts, at, nonce, author, early)
 
 
 def capture_subtasks(

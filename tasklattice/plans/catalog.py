@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions import columns as C
 from ..functions import text as X
@@ -14,11 +15,13 @@ from ..operators import hierarchy, ingest, lifecycle, listing, maintenance, matc
 from ..operators.listing import ListOptions
 from ..operators.replay import replay
 from ..schema import TASK_COLUMNS, TASK_SCHEMA
-from ..session import scratch_path
+from ..session import materialise, release, scratch_path
 from ..sources import exports
 from ..sources.tables import read_tasks, write_tasks
+from ..streaming import keyed_replay
 from ..streaming.capture import capture_stream, captured_rows
 from ..streaming.replay import replay_stream, verdicts
+from ..streaming.state import state_partitions
 from . import fixture as fx
 
 AT = "2024-01-15 10:30:00"
@@ -338,6 +341,35 @@ def _stream_replay(spark: SparkSession, sf: str) -> DataFrame:
     return verdicts(spark, path).drop("batch")
 
 
+def _deliver(rows: DataFrame, count: int, path: str, start: Callable[[DataFrame], DataStreamWriter]) -> None:
+    """Write one delivery after the other; a stream takes each in a batch, restarted from its checkpoint."""
+    spark = rows.sparkSession
+    rows = materialise(rows)
+    for number in range(count):
+        rows.where(F.col("delivery") == number).drop("delivery").write.mode("append").parquet(f"{path}/feed")
+        feed = spark.readStream.schema(rows.drop("delivery").schema).parquet(f"{path}/feed")
+        with state_partitions(spark):
+            start(feed).trigger(availableNow=True).start().awaitTermination()
+    release(rows)
+
+
+def _stream_capture_late(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "stream-late")
+    feed = fx.derive(spark, sf, fx.FEED).withColumn("at", F.timestamp_seconds("at_second")).drop("at_second")
+    span = f"{fx.REDELIVERY} seconds"
+    _deliver(feed, fx.DELIVERIES, path, lambda f: capture_stream(f, path, "doc_id", event_time="at", redelivery=span, author=AUTHOR))
+    rows = captured_rows(spark, path, True).unionByName(captured_rows(spark, path, False))
+    return _shown(rows, "doc_id", "kind", "priority", "title", "description", "created", "source", "tags", "error")
+
+
+def _stream_replay_keyed(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "stream-keyed")
+    states = keyed_replay.initial_states(_all_in_inbox(spark, sf).select("id", "parent", "state"))
+    log = fx.derive(spark, sf, fx.LOG_FEED).select("seq", "id", "command", "delivery")
+    _deliver(log, fx.LOG_DELIVERIES, path, lambda f: keyed_replay.keyed_replay_stream(f, states, path))
+    return keyed_replay.keyed_verdicts(spark, path)
+
+
 QUERIES: dict[str, Query] = {
     "list_default": _top(ListOptions()),
     "list_all": _all(ListOptions(all=True, show_done=True, show_cancelled=True)),
@@ -425,4 +457,6 @@ QUERIES: dict[str, Query] = {
     "parse_heredocs": _parse_heredocs,
     "stream_capture": _stream_capture,
     "stream_replay": _stream_replay,
+    "stream_capture_late": _stream_capture_late,
+    "stream_replay_keyed": _stream_replay_keyed,
 }

@@ -67,6 +67,13 @@ SELECT event_id AS seq, ts AS at,
 FROM {events}
 """
 
+# The log in six deliveries.
+LOG_DELIVERIES = 6
+LOG_FEED = f"""
+SELECT l.*, CAST(floor(seq * {LOG_DELIVERIES}.0 / n) AS INT) AS delivery
+FROM ({LOG}) l, (SELECT max(event_id) + 1 AS n FROM {{events}}) s
+"""
+
 # The same log with some commands that have lost their place.
 LOG_WITH_GAPS = LOG.replace("SELECT event_id AS seq", "SELECT CASE WHEN event_id % 11 <> 0 THEN event_id END AS seq")
 
@@ -129,6 +136,20 @@ SELECT doc_id, concat(coalesce(text, ''), CASE doc_id % 7 WHEN 0 THEN concat(chr
 FROM {documents}
 """
 
+# A feed of messages in deliveries, an hour of messages each. Some come again in the same
+# delivery or the next one, some come three deliveries late, a few have lost their time.
+DELIVERIES = 9
+FEED = f"""
+SELECT doc_id, text, kind, priority, source, tags, CASE WHEN doc_id % 53 <> 17 THEN at_second END AS at_second,
+  hour + CASE WHEN doc_id % 11 = 3 THEN 3 ELSE 0 END + CASE WHEN copy = 1 THEN 1 ELSE 0 END AS delivery
+FROM (
+  SELECT m.*, 1705312800 + CAST(floor(doc_id * 21600.0 / n) AS BIGINT) AS at_second, CAST(floor(doc_id * 5.0 / n) AS INT) AS hour
+  FROM ({MESSAGES}) m, (SELECT max(doc_id) + 1 AS n FROM {{documents}}) s
+) d JOIN (SELECT 0 AS copy UNION ALL SELECT 1 UNION ALL SELECT 2) c
+  ON copy = 0 OR copy = 1 AND doc_id % 7 = 2 OR copy = 2 AND doc_id % 7 = 4
+"""
+REDELIVERY = 3600
+
 SUBTASK_MESSAGES = """
 SELECT doc_id, text,
   CASE doc_id % 4 WHEN 0 THEN 'bug' WHEN 1 THEN 'FEATURE' WHEN 2 THEN 'Regression' ELSE 'regression' END AS kind,

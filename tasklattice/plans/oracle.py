@@ -212,6 +212,17 @@ CAPTURE = with_tables(
     f"SELECT doc_id, {MADE}, coalesce(parse_error, {VALID_ERROR}) AS error FROM ({DRAFTS})", messages=fx.MESSAGES
 )
 
+CAPTURE_LATE = with_tables(
+    f""", deliveries AS (SELECT delivery, max(at_second) - {fx.REDELIVERY} AS mark FROM feed GROUP BY delivery),
+marked AS (SELECT f.*, coalesce((SELECT max(mark) FROM deliveries d WHERE d.delivery < f.delivery), 0) AS watermark FROM feed f),
+told AS (SELECT *, coalesce(at_second < watermark, true) AS late FROM marked),
+messages AS (SELECT *, row_number() OVER (PARTITION BY doc_id, late ORDER BY delivery) AS arrival FROM told)
+SELECT doc_id, kind, priority, title, description, strftime(make_timestamp(at_second * 1000000), '%Y-%m-%d %H:%M:%S') AS created, source, tags,
+  coalesce(CASE WHEN late THEN 'came later than the watermark' END, parse_error, {VALID_ERROR}) AS error
+FROM ({DRAFTS}) WHERE late OR arrival = 1""",
+    feed=fx.FEED,
+)
+
 CAPTURE_SUBTASKS = with_tables(
     f""", resolved AS ({resolved('messages', 'parent_ref')}),
 drafts AS (SELECT p.* REPLACE (CASE WHEN kind IN ('bug', 'feature', 'regression') THEN upper(kind) ELSE kind END AS kind,
@@ -603,4 +614,6 @@ SQL: dict[str, str] = {
     "export_oneline": with_tables(f"SELECT {ONELINE} AS value FROM tasks WHERE priority = 'high'"),
     "stream_capture": CAPTURE,
     "stream_replay": REPLAY,
+    "stream_capture_late": CAPTURE_LATE,
+    "stream_replay_keyed": REPLAY,
 }
