@@ -21,6 +21,7 @@ from ..schema import (
 from ..session import materialise
 from .ingest import validation_error
 from .joins import left_lookup
+from .links import on_cycles, reached, single_links
 from .lifecycle import moment
 
 LINKS = ("parent", "blocked_by")
@@ -66,7 +67,11 @@ def _dangling(rows: DataFrame, link: str, ids: DataFrame) -> DataFrame:
 
 
 def audit(tasks: DataFrame) -> DataFrame:
-    """Every broken table rule: (id, rule, value). One row per broken rule and task row."""
+    """Every broken table rule: (id, rule, value). One row per broken rule and task row.
+
+    Every id on a cycle of parents, or of blockers, is reported once; an id on several
+    rows is followed along its smallest link.
+    """
 
     def missing(name: str) -> Column:
         return F.when(F.col(name).isNull(), F.struct(F.lit(f"{name} is missing").alias("rule"), F.lit("").alias("value")))
@@ -99,6 +104,8 @@ def audit(tasks: DataFrame) -> DataFrame:
                 "id", F.lit(f"{link} does not exist").alias("rule"), F.col(link).alias("value")
             )
         )
+        cycles = on_cycles(single_links(tasks, link))
+        found = found.unionByName(cycles.select("id", F.lit(f"{link} forms a cycle").alias("rule"), F.col("to").alias("value")))
     return found
 
 
@@ -194,26 +201,28 @@ def upsert_fields(tasks: DataFrame, changes: DataFrame, at: datetime | str, orde
 def delete_tasks(tasks: DataFrame, ids: DataFrame) -> Change:
     """Delete tasks that no remaining task names as parent or blocker.
 
-    A refused row stays, and so keeps its own parent and blocker. The loop
-    follows those links, one step per pass, over refused rows only.
+    A refused row stays, and so keeps its own parent and blocker. Those links are
+    followed among the rows asked for, one kind at a time and each to its end
+    by doubling, until neither kind leads to a further row.
     """
     edges = tasks.select("id", *LINKS)
     asked = ids.select("id").distinct()
     doomed = materialise(edges.join(asked, "id", "left_semi"))
-
-    def named_by(rows: DataFrame) -> DataFrame:
-        links = F.array_compact(F.array(*LINKS))
-        return rows.select(F.explode(links).alias("id")).distinct()
-
     staying = edges.join(asked, "id", "left_anti")
-    kept = None
-    while True:
-        caught = materialise(doomed.join(named_by(staying), "id", "left_semi"))
-        if caught.isEmpty():
-            break
-        kept = caught.select("id") if kept is None else kept.unionByName(caught.select("id"))
-        doomed = materialise(doomed.join(caught.select("id"), "id", "left_anti"))
-        staying = caught
+    named = staying.select(F.explode(F.array_compact(F.array(*LINKS))).alias("id")).distinct()
+    kept = materialise(doomed.select("id").join(named, "id", "left_semi"))
+    inside = {}
+    for link in LINKS:
+        target = doomed.select(F.col("id").alias("to"))
+        inside[link] = materialise(single_links(doomed, link).join(target, "to", "left_semi").select("id", "to"))
+    idle, turn = 0, 0
+    while idle < len(LINKS):
+        more, count = reached(kept, inside[LINKS[turn % len(LINKS)]])
+        turn += 1
+        if count:
+            kept = materialise(kept.unionByName(more))
+        # A kind that was followed to its end has nothing more to add by itself.
+        idle = 1 if count else idle + 1
+    doomed = doomed.join(kept, "id", "left_anti")
     after = tasks.join(doomed.select("id"), "id", "left_anti")
-    refused = kept if kept is not None else doomed.select("id").where(F.lit(False))
-    return Change(after, refused.withColumn("reason", F.lit("still referenced")))
+    return Change(after, kept.withColumn("reason", F.lit("still referenced")))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..schema import ID_LENGTH, MIN_PREFIX_LENGTH
-from ..session import materialise
+from ..session import materialise, release
 from . import ordering as O
 from .joins import is_small
 from .listing import ListOptions, matching
@@ -46,33 +46,62 @@ def _heads(ids: DataFrame, prefixes: DataFrame, name: str) -> DataFrame:
     )
 
 
+def _first_two(prefixes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(_prefix, hits, prefix_id): how many ids start with each prefix, 2 meaning more than one, and the first.
+
+    The ids that start with a prefix follow it in byte order without a gap. So both
+    sides are sorted together, last first, by ranges; inside a range the two ids met last
+    are the ones next to a prefix. Where a range has not met two yet, those of the
+    ranges before go on: one row per range, which the driver passes along.
+    """
+    # Of equal keys the ids come first, as a prefix may be a whole id.
+    order = [F.desc("key"), F.desc_nulls_last("met")]
+    rows = ids.select(F.lower("id").alias("key"), F.col("id").alias("met")).unionByName(
+        prefixes.select(F.col("_prefix").alias("key"), F.lit(None).cast("string").alias("met"))
+    )
+    ranges = materialise(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    place = Window.partitionBy("part").orderBy(*order)
+    before = place.rowsBetween(Window.unboundedPreceding, -1)
+    until = place.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pair = F.when(F.col("met").isNotNull(), F.struct(F.col("met").alias("one"), F.col("other").alias("two")))
+    walked = ranges.withColumn("other", F.last("met", True).over(before)).withColumns(
+        {"near": F.last(pair, True).over(until), "ends": F.lead("key").over(place).isNull()}
+    )
+    found = materialise(walked.where(F.col("met").isNull() | F.col("ends")).select("part", "key", "met", "near", "ends"))
+    release(ranges)
+
+    carried, held = [], [None, None]
+    for part, near in found.where("ends").orderBy("part").select("part", "near").collect():
+        carried.append((part, *held))
+        if near:
+            held = [near.one, near.two or held[0]]
+    passed = ids.sparkSession.createDataFrame(carried, "part int, one string, two string")
+    one = F.coalesce("near.one", "one")
+    two = F.when(F.col("near").isNull(), F.col("two")).otherwise(F.coalesce("near.two", "one"))
+    fits = lambda hit: F.coalesce(F.startswith(F.lower(hit), F.col("key")), F.lit(False)).cast("int")
+    return (
+        found.where("met IS NULL")
+        .join(F.broadcast(passed), "part")
+        .select(F.col("key").alias("_prefix"), (fits(one) + fits(two)).alias("hits"), one.alias("prefix_id"))
+    )
+
+
 def resolve(refs: DataFrame, tasks: DataFrame) -> DataFrame:
     """Each distinct ref with the task it names: (ref, id, status).
 
     A full id wins. Otherwise 4 to 39 characters count as a prefix, in any
-    letter case, and must fit one task only. Prefixes are compared by equality,
-    one length at a time, and counted before any shuffle, so a prefix shared by
-    a third of all ids costs no more than others.
+    letter case, and must fit one task only. Ids and prefixes are merged by
+    ranges, so the work is two sorts of ids whatever lengths the prefixes have, and a
+    prefix shared by a third of all ids costs no more than others.
     """
     wanted = refs.select("ref").where(F.col("ref").isNotNull()).distinct()
-    ids = tasks.select("id")
+    ids = tasks.select("id").where(F.col("id").isNotNull())
     exact = wanted.join(ids.withColumn("ref", F.col("id")), "ref").groupBy("ref").agg(
         F.min("id").alias("exact_id")
     )
     width = F.octet_length("ref")
-    prefixes = materialise(
-        wanted.where((width >= MIN_PREFIX_LENGTH) & (width < ID_LENGTH))
-        .select(F.lower("ref").alias("_prefix"))
-        .distinct()
-    )
-    counted = lambda heads: heads.groupBy("_prefix").agg(
-        F.count(F.lit(1)).alias("hits"), F.min("id").alias("prefix_id")
-    )
-    heads = _heads(ids, prefixes, "_prefix")
-    if is_small(prefixes):
-        hits = counted(heads.join(F.broadcast(prefixes), "_prefix"))
-    else:
-        hits = counted(heads).join(prefixes, "_prefix")
+    prefixes = wanted.where((width >= MIN_PREFIX_LENGTH) & (width < ID_LENGTH)).select(F.lower("ref").alias("_prefix")).distinct()
+    hits = _first_two(prefixes, ids)
     found = F.coalesce("exact_id", F.when(F.col("hits") == 1, F.col("prefix_id")))
     return (
         wanted.join(exact, "ref", "left")

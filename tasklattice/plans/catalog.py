@@ -429,6 +429,7 @@ QUERIES: dict[str, Query] = {
     "capture": _capture,
     "capture_subtasks": _capture_subtasks,
     "audit": _audit,
+    "audit_cycles": lambda s, d: maintenance.audit(fx.derive(s, d, fx.CYCLIC_TASKS)),
     "upgrade_snapshot": _upgrade,
     "append_tasks": _append,
     "append_refused": _append_refused,

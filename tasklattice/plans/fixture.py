@@ -44,6 +44,20 @@ SELECT CASE WHEN k % 13 = 0 THEN sha1(concat('task-', CAST(k + 1 AS STRING)))
 FROM (SELECT *, o_orderkey AS k FROM {orders}) o
 """
 
+# Per thousand tasks: a ring of 500 parents, a task that is its own parent, two that are each
+# other's, a chain of a hundred that leads to them, and one that ends. Blockers: rings of three.
+CYCLIC_TASKS = """
+SELECT sha1(concat('task-', CAST(k AS STRING))) AS id,
+  CASE WHEN m < 500 THEN sha1(concat('task-', CAST(k - m + (m + 1) % 500 AS STRING)))
+       WHEN m = 500 THEN sha1(concat('task-', CAST(k AS STRING)))
+       WHEN m = 501 THEN sha1(concat('task-', CAST(k + 1 AS STRING)))
+       WHEN m <> 700 THEN sha1(concat('task-', CAST(k - 1 AS STRING))) END AS parent,
+  'high' AS priority, 'NEW' AS state, 'BUG' AS kind, 'A title' AS title, 'A customer' AS author,
+  CASE m % 5 WHEN 0 THEN sha1(concat('task-', CAST(k + 1 AS STRING))) WHEN 1 THEN sha1(concat('task-', CAST(k + 1 AS STRING)))
+       WHEN 2 THEN sha1(concat('task-', CAST(k - 2 AS STRING))) WHEN 3 THEN sha1(concat('task-', CAST(k - 1 AS STRING))) END AS blocked_by
+FROM (SELECT o_orderkey AS k, o_orderkey % 1000 AS m FROM {orders}) o
+"""
+
 # A table of an older layout: four states, no author, source, blocked_by or tags.
 OLD_TASKS = """
 SELECT sha1(concat('task-', CAST(k AS STRING))) AS id,

@@ -235,7 +235,18 @@ FROM drafts""",
     messages=fx.SUBTASK_MESSAGES,
 )
 
-AUDIT = f"""WITH t AS ({fx.plain(fx.DIRTY_TASKS)})
+def cycle_links(link: str) -> str:
+    """The links of one kind, and every pair of a start and what it comes to."""
+    return f"""{link}_links AS (SELECT id, min({link}) AS target FROM t WHERE id IS NOT NULL AND {link} IS NOT NULL GROUP BY id),
+{link}_walk(start, at) AS (SELECT id, target FROM {link}_links UNION SELECT w.start, l.target FROM {link}_walk w JOIN {link}_links l ON l.id = w.at)"""
+
+
+def audit(text: str) -> str:
+    cycles = " ".join(
+        f"UNION ALL SELECT id, '{link} forms a cycle', target FROM {link}_links WHERE id IN (SELECT start FROM {link}_walk WHERE at = start)"
+        for link in ("parent", "blocked_by")
+    )
+    return f"""WITH RECURSIVE t AS ({fx.plain(text)}), {cycle_links('parent')}, {cycle_links('blocked_by')}
 SELECT id, 'kind is missing' AS rule, '' AS value FROM t WHERE kind IS NULL
 UNION ALL SELECT id, 'title is missing', '' FROM t WHERE title IS NULL
 UNION ALL SELECT id, 'author is missing', '' FROM t WHERE author IS NULL
@@ -244,7 +255,8 @@ UNION ALL SELECT id, 'state is unknown', state FROM t WHERE state NOT IN ('INBOX
 UNION ALL SELECT id, 'kind is unknown', kind FROM t WHERE kind NOT IN ('BUG', 'FEATURE', 'REGRESSION')
 UNION ALL SELECT id, 'id is repeated', CAST(count(*) AS VARCHAR) FROM t GROUP BY id HAVING count(*) > 1
 UNION ALL SELECT id, 'parent does not exist', parent FROM t WHERE parent IS NOT NULL AND parent NOT IN (SELECT id FROM t)
-UNION ALL SELECT id, 'blocked_by does not exist', blocked_by FROM t WHERE blocked_by IS NOT NULL AND blocked_by NOT IN (SELECT id FROM t)"""
+UNION ALL SELECT id, 'blocked_by does not exist', blocked_by FROM t WHERE blocked_by IS NOT NULL AND blocked_by NOT IN (SELECT id FROM t) {cycles}"""
+
 
 UPGRADE = f"""SELECT id, parent, priority, state, kind, title, coalesce(description, '') AS description,
   'Unknown <unknown@example.com>' AS author, {stamp('created')} AS created, {stamp('updated')} AS updated, '' AS source,
@@ -284,7 +296,7 @@ judged AS (SELECT *, coalesce(error,
 SELECT id, CASE WHEN reason IS NOT NULL THEN n END AS n, coalesce(reason, 'added') AS outcome FROM judged""",
     family=fx.FAMILY_ROWS,
 )
-AUDIT_UPGRADED = "SELECT '' AS id, '' AS rule, '' AS value WHERE false"
+AUDIT_UPGRADED = audit(f"SELECT *, 'Unknown <unknown@example.com>' AS author, CAST(NULL AS STRING) AS blocked_by FROM ({fx.OLD_TASKS})")
 UPSERT = with_tables(
     f""", changes AS ({judged_rows('edits')}),
 last AS (SELECT * FROM changes c WHERE problem IS NULL AND n = (SELECT max(d.n) FROM changes d WHERE d.id = c.id AND d.problem IS NULL)),
@@ -580,7 +592,8 @@ SQL: dict[str, str] = {
     "validate_tasks": with_tables(f"SELECT doc_id, {VALID_ERROR} AS error FROM ({DRAFTS})", messages=fx.MESSAGES),
     "capture": CAPTURE,
     "capture_subtasks": CAPTURE_SUBTASKS,
-    "audit": AUDIT,
+    "audit": audit(fx.DIRTY_TASKS),
+    "audit_cycles": audit(fx.CYCLIC_TASKS),
     "upgrade_snapshot": UPGRADE,
     "append_tasks": APPEND,
     "append_refused": APPEND_REFUSED,
