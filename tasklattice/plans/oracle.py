@@ -238,12 +238,12 @@ FROM drafts""",
 def cycle_links(link: str) -> str:
     """The links of one kind, and every pair of a start and what it comes to."""
     return f"""{link}_links AS (SELECT id, min({link}) AS target FROM t WHERE id IS NOT NULL AND {link} IS NOT NULL GROUP BY id),
-{link}_walk(start, at) AS (SELECT id, target FROM {link}_links UNION SELECT w.start, l.target FROM {link}_walk w JOIN {link}_links l ON l.id = w.at)"""
+{link}_walk(origin, place) AS (SELECT id, target FROM {link}_links UNION SELECT w.origin, l.target FROM {link}_walk w JOIN {link}_links l ON l.id = w.place)"""
 
 
 def audit(text: str) -> str:
     cycles = " ".join(
-        f"UNION ALL SELECT id, '{link} forms a cycle', target FROM {link}_links WHERE id IN (SELECT start FROM {link}_walk WHERE at = start)"
+        f"UNION ALL SELECT id, '{link} forms a cycle', target FROM {link}_links WHERE id IN (SELECT origin FROM {link}_walk WHERE place = origin)"
         for link in ("parent", "blocked_by")
     )
     return f"""WITH RECURSIVE t AS ({fx.plain(text)}), {cycle_links('parent')}, {cycle_links('blocked_by')}
