@@ -11,13 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _KEY = "_lookup_key"
-# Up to this many short rows are sent to every executor.
-BROADCAST_ROWS = 100_000
-
-
-def is_small(df: DataFrame) -> bool:
-    """Whether a written table of short rows may be broadcast."""
-    return df.count() <= BROADCAST_ROWS
 
 
 def left_lookup(rows: DataFrame, extra: DataFrame, key: str, spread: str) -> DataFrame:

@@ -16,8 +16,8 @@ from ..functions import columns as C
 from ..schema import ID_LENGTH, MIN_PREFIX_LENGTH
 from ..session import materialise, release
 from . import ordering as O
-from .joins import is_small
 from .listing import ListOptions, matching
+from .textindex import passing_index, search_index
 
 MAX_SUGGESTIONS = 3
 # Starts of ids up to this length are few, so only the first ids of each are compared.
@@ -197,10 +197,7 @@ def _lower_refs(refs: DataFrame) -> DataFrame:
 def _prefix_hits(lookups: DataFrame, candidates: DataFrame) -> DataFrame:
     """The first few tasks whose id starts with the lookup (low_ref)."""
     heads = _heads(candidates.select("id", "title", "place"), lookups, "low_ref")
-    first = lambda rows: _first_hits(rows, ["low_ref"], [F.col("place")])
-    if is_small(lookups):
-        return first(heads.join(F.broadcast(lookups), "low_ref"))
-    return first(heads).join(lookups, "low_ref")
+    return _first_hits(heads.join(lookups, "low_ref"), ["low_ref"], [F.col("place")])
 
 
 def _with_refs(hits: DataFrame, refs: DataFrame) -> DataFrame:
@@ -355,32 +352,72 @@ def fuzzy_match(refs: DataFrame, tasks: DataFrame) -> DataFrame:
     return _with_refs(hits, refs)
 
 
-def search_many(tasks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every (q, id) where the task's title or description holds the query, wildcards included.
+# Grams of titles, and how many of them two edits can touch.
+TITLE_GRAM = 3
+TOUCHED = TITLE_GRAM * MAX_EDITS
+# Titles of up to this length have too few grams for the edits to leave one among the rarest.
+SHORT_TITLE = TITLE_GRAM + TOUCHED - 1
+
+
+def _left_over(text: Column) -> Column:
+    """All texts left when up to two characters are dropped."""
+    size = F.length(text)
+    one = F.when(size >= 1, _without_one(text)).otherwise(F.array().cast("array<string>"))
+    two = F.when(size >= 2, _without_two(text)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(text), one, two))
+
+
+def _title_grams(texts: DataFrame, text: str) -> DataFrame:
+    """(text, at, gram) for every place in the texts."""
+    cut = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{TITLE_GRAM}}}))"), F.lit(1))
+    return texts.select(text, F.posexplode(cut).alias("at", "gram"))
+
+
+def _rarest_grams(grams: DataFrame, text: str, counts: DataFrame) -> DataFrame:
+    """The rarest grams of each text with their places, one more than two edits can touch."""
+    rarity = F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram"), F.col("at"))
+    chosen = F.slice(F.array_sort(F.collect_list(rarity)), 1, TOUCHED + 1)
+    few = grams.join(counts, "gram", "left").groupBy(text).agg(chosen.alias("few"))
+    return few.select(text, F.explode("few").alias("one")).select(text, "one.gram", "one.at")
 
-    Texts are cut into stretches of the anchor lengths in use and joined with the
-    anchors by equality, with only the id alongside; the texts come back for the
-    pairs that remain. A query of wildcards alone has the empty anchor, which
-    every text holds.
+
+def fuzzy_titles(refs: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Up to three tasks per ref whose titles are within two edits of it: (ref, pos, id, title, distance).
+
+    Nearest first, then in list order; closed tasks are left out, letter case does not count. Equal
+    titles are compared once. Two edits touch six grams of a title at most, so of the seven rarest
+    grams of the ref and of the title, rated by the same counts, one is common to both, moved by two places at
+    most. What shares one must share all but six of its different grams, and then the edits are
+    counted. Short titles meet by what is left of them without two characters.
     """
-    wanted = queries.select("q", F.lower("q").alias("low_q")).where(F.col("q").isNotNull()).distinct()
-    literals = F.filter(F.split("low_q", "[%_]"), lambda piece: piece != "")
-    anchored = _anchored(wanted, "q", F.when(F.size(literals) > 0, literals).otherwise(F.array(F.lit(""))))
-    texts = tasks.select("id", F.lower("title").alias("low_title"), F.lower("description").alias("low_body"))
-    pairs = (
-        _stretches(texts, ["low_title", "low_body"], anchored)
-        .select("id", "anchor")
-        .join(anchored, "anchor")
-        .select("q", "low_q", "id")
-    )
-    pattern = F.concat(F.lit("%"), F.replace("low_q", F.lit("\\"), F.lit("\\\\")), F.lit("%"))
+    size = F.length("low_ref")
+    lookups = materialise(_lower_refs(refs))
+    named = materialise(_first_hits(_candidates(tasks).select("id", "title", "low_title", "place"), ["low_title"], [F.col("place")]).drop("pos"))
+    titles = materialise(named.select("low_title").distinct())
+
+    long_title, long_ref = F.length("low_title") > SHORT_TITLE, size > SHORT_TITLE
+    title_grams = materialise(_title_grams(titles.where(long_title), "low_title"))
+    counts = materialise(title_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
+    few_titles = _rarest_grams(title_grams, "low_title", counts)
+    few_refs = _rarest_grams(_title_grams(lookups.where(long_ref), "low_ref"), "low_ref", counts)
+    met = materialise(few_titles).join(materialise(few_refs.withColumnRenamed("at", "ref_at")), "gram")
+    near = (F.abs(F.col("at") - F.col("ref_at")) <= MAX_EDITS) & (F.abs(F.length("low_title") - size) <= MAX_EDITS)
+    pairs = met.where(near).select("low_ref", "low_title").distinct()
+    grams = lambda text: F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{TITLE_GRAM}}}))"), F.lit(1)))
+    shared = F.size(F.array_intersect(grams("low_ref"), grams("low_title")))
+    pairs = pairs.where(shared >= F.size(grams("low_ref")) - TOUCHED)
+
+    # One of a pair is short, the other at most two characters longer.
+    left_ref = lookups.where(size <= SHORT_TITLE + MAX_EDITS).select("low_ref", F.explode(_left_over(F.col("low_ref"))).alias("left"))
+    left_title = titles.where(F.length("low_title") <= SHORT_TITLE + MAX_EDITS).select("low_title", F.explode(_left_over(F.col("low_title"))).alias("left"))
+    short = materialise(left_ref).join(materialise(left_title), "left").where(~(long_title & long_ref))
+    distance = F.levenshtein("low_ref", "low_title", MAX_EDITS)
+    judged = pairs.unionByName(short.select("low_ref", "low_title").distinct()).withColumn("distance", distance).where(F.col("distance") >= 0)
+    hits = materialise(judged).join(named, "low_title")
+    first = _first_hits(hits, ["low_ref"], [F.col("distance"), F.col("place")])
+    return _with_refs(first.select("low_ref", "pos", "id", "title", "distance"), refs)
 
-    def holds(text: str) -> Column:
-        # A pattern is compiled anew for every pair, so it comes last.
-        pieces = F.split("low_q", "[%_]")
-        return F.when(F.size(pieces) == 1, F.contains(text, "low_q")).when(
-            F.forall(pieces, lambda piece: F.contains(F.col(text), piece)), F.like(text, pattern)
-        )
 
-    hit = F.coalesce(holds("low_title"), F.lit(False)) | F.coalesce(holds("low_body"), F.lit(False))
-    return pairs.join(texts, "id").where(hit).select("q", "id")
+def search_many(tasks: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every (q, id) where the task's title or description holds the query, wildcards included."""
+    return search_index(passing_index(tasks, "id", ["title", "description"]), queries)

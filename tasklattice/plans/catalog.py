@@ -11,7 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from ..functions import columns as C
 from ..functions import text as X
 from ..operators import cards as cards_
-from ..operators import hierarchy, ingest, lifecycle, listing, maintenance, matching, ordering, summary
+from ..operators import hierarchy, ingest, lifecycle, listing, maintenance, matching, ordering, summary, textindex
 from ..operators.listing import ListOptions
 from ..operators.replay import replay
 from ..schema import TASK_COLUMNS, TASK_SCHEMA
@@ -233,6 +233,15 @@ def _unblock_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return lifecycle.apply_unblocks(_tasks(spark, sf, busy=True), requests, AT).verdicts
 
 
+def _search_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Searches over whole documents, by an index that is written and read again."""
+    path = scratch_path(spark, "text-index")
+    documents = fx.table(spark, sf, "documents")
+    textindex.write_index(documents, path, "doc_id", ["text"])
+    index = textindex.read_index(spark, path, documents, "doc_id", ["text"])
+    return textindex.search_index(index, fx.derive(spark, sf, fx.TEXT_SEARCHES)).withColumnRenamed("id", "doc_id")
+
+
 def _all_in_inbox(spark: SparkSession, sf: str) -> DataFrame:
     return _tasks(spark, sf, busy=True).withColumn("state", F.lit("INBOX"))
 
@@ -389,6 +398,7 @@ QUERIES: dict[str, Query] = {
     "search_title_body": lambda s, d: _numbered(listing.search(_tasks(s, d), "order 1_%CUSTOMER 2"), "newest"),
     "search_literal": lambda s, d: _numbered(listing.search(_tasks(s, d), "Priority 2-HIGH"), "newest"),
     "search_many": _search_many,
+    "search_documents": _search_documents,
     "summary_counts": _over_tasks(summary.summary_counts),
     "summary_counts_active": _over_tasks(lambda t: summary.summary_counts(t, active_only=True)),
     "summary_totals": _over_tasks(summary.summary_totals),
@@ -415,6 +425,7 @@ QUERIES: dict[str, Query] = {
     "suggest": _with_refs(matching.suggest, fx.NEAR_REFS),
     "fuzzy_match": _with_refs(matching.fuzzy_match, fx.TYPO_REFS),
     "fuzzy_short": _with_refs(matching.fuzzy_match, fx.SHORT_REFS),
+    "fuzzy_titles": lambda s, d: matching.fuzzy_titles(fx.derive(s, d, fx.TYPO_TITLES), fx.derive(s, d, fx.TITLED)),
     "cards": lambda s, d: cards_.cards(_tasks(s, d, busy=True), fx.derive(s, d, fx.REFS)),
     "columns": _columns,
     "oneline": _line(X.oneline),

@@ -117,6 +117,29 @@ SELECT CASE k % 6 WHEN 0 THEN concat(substr(h, 1, 2), 'z', substr(h, 4, 5))
 FROM (SELECT c_custkey AS k, sha1(concat('task-', CAST(c_custkey * 7 + 3 AS STRING))) AS h FROM {customer}) c
 """
 
+# Tasks with titles of 6 to some 80 letters, many of them equal.
+TITLED = f"""
+SELECT * FROM (SELECT id, state, priority, created, CASE length(title) % 5 WHEN 0 THEN concat(title, '. ', description) WHEN 1 THEN substr(title, 1, 8 + length(description) % 9)
+    WHEN 2 THEN concat('Review of ', author) WHEN 3 THEN concat('Fix', substr(title, 6, 6)) ELSE title END AS title
+  FROM ({TASKS}) t) named
+"""
+
+# Titles with typing errors: none, one, two and more; in short and long ones.
+TYPO_TITLES = f"""
+SELECT CASE k % 8 WHEN 0 THEN upper(title) WHEN 1 THEN concat(substr(title, 1, 4), substr(title, 6)) WHEN 2 THEN concat(substr(title, 1, 2), 'xy', substr(title, 5))
+    WHEN 3 THEN concat('z', title, '!') WHEN 4 THEN concat(substr(title, 2, 4), substr(title, 7)) WHEN 5 THEN concat(substr(title, 1, 3), 'ab', substr(title, 4), 'c')
+    WHEN 6 THEN concat(substr(title, 1, 5), 'w', substr(title, 7)) ELSE concat(substr(title, 1, length(title) - 2), 'q') END AS ref
+FROM (SELECT c_custkey AS k, title FROM ({TITLED}) t JOIN {{customer}} c ON t.id = sha1(concat('task-', CAST(c_custkey * 7 + 3 AS STRING)))) c
+"""
+
+# Stretches of the documents themselves, one per document: plain ones, with wildcards, in upper case, of nothing but short pieces.
+TEXT_SEARCHES = """
+SELECT CASE k % 6 WHEN 0 THEN substr(text, 20, 12) WHEN 1 THEN concat(substr(text, 5, 6), '%', substr(text, 60, 5)) WHEN 2 THEN upper(substr(text, 30, 9))
+    WHEN 3 THEN concat(substr(text, 11, 4), '_', substr(text, 16, 4)) WHEN 4 THEN concat(substr(text, 40, 2), '%', substr(text, 80, 2), '_', substr(text, 90, 1), CAST(k AS STRING))
+    ELSE concat(substr(text, 8, 20), CASE WHEN k % 12 = 5 THEN 'none' ELSE '' END) END AS q
+FROM (SELECT doc_id AS k, text FROM {documents}) d
+"""
+
 # Refs of one to five characters, and some longer than any id.
 SHORT_REFS = """
 SELECT CASE k % 8 WHEN 0 THEN substr(h, 1, 1 + k % 5) WHEN 1 THEN concat('z', substr(h, 2, 1)) WHEN 2 THEN concat(substr(h, 1, 2), 'z')

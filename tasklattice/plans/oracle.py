@@ -170,6 +170,15 @@ SELECT ref, pos, CASE class WHEN 0 THEN 'prefix' WHEN 1 THEN 'substring' ELSE 'd
 FUZZY = with_tables(FUZZY_TEXT, refs=fx.TYPO_REFS)
 FUZZY_SHORT = with_tables(FUZZY_TEXT, refs=fx.SHORT_REFS)
 
+FUZZY_TITLES = f"""WITH tasks AS ({fx.plain(fx.TITLED)}), refs AS ({fx.plain(fx.TYPO_TITLES)}),
+cand AS (SELECT id, title, lower(title) AS low, row_number() OVER (ORDER BY {LIST_ORDER}) AS place FROM tasks WHERE state NOT IN ('DONE', 'CANCELLED')),
+near AS (SELECT q.ref, c.id, c.title, c.place, levenshtein(lower(q.ref), c.low) AS d FROM (SELECT DISTINCT ref FROM refs WHERE ref <> '') q
+  JOIN cand c ON abs(length(c.low) - length(lower(q.ref))) <= 2 WHERE levenshtein(lower(q.ref), c.low) <= 2)
+SELECT ref, pos, id, title, CAST(d AS INTEGER) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY d, place) AS pos FROM near) WHERE pos <= 3"""
+
+SEARCH_DOCUMENTS = f"""SELECT s.q, d.doc_id FROM (SELECT DISTINCT q FROM ({fx.plain(fx.TEXT_SEARCHES)}) WHERE q IS NOT NULL) s
+JOIN documents d ON lower(d.text) LIKE '%' || lower(s.q) || '%'"""
+
 CARDS = with_tables(
     f""", shown AS (SELECT DISTINCT id FROM ({resolved()}) WHERE id IS NOT NULL), breakdown AS ({BREAKDOWN})
 SELECT id, 1 AS part, 1::BIGINT AS no, {logstyle('n_done', 'total')} AS line
@@ -567,6 +576,8 @@ SQL: dict[str, str] = {
     "suggest": SUGGEST,
     "fuzzy_match": FUZZY,
     "fuzzy_short": FUZZY_SHORT,
+    "fuzzy_titles": FUZZY_TITLES,
+    "search_documents": SEARCH_DOCUMENTS,
     "cards": CARDS,
     "columns": with_tables(
         f"SELECT id, substr(id, 1, 7) AS short, blocked_by IS NOT NULL AS blocked, {KIND_LABEL} AS kind_label, {ICON} AS icon, "

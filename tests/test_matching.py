@@ -7,7 +7,7 @@ import pytest
 from conftest import sha, task
 from pyspark.sql import functions as F
 
-from tasklattice.operators import joins, matching
+from tasklattice.operators import matching, textindex
 
 
 def ref_table(spark, refs):
@@ -63,19 +63,13 @@ REFS = [
 ]
 
 
-@pytest.fixture(params=[100_000, 0], ids=["few lookups", "many lookups"])
-def lookups(request, monkeypatch):
-    """Lookups below and above the size that may be broadcast."""
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", request.param)
-
-
-def test_resolve(spark, tasks, rows, lookups):
+def test_resolve(spark, tasks, rows):
     got = {r.ref: (r.id, r.status) for r in matching.resolve(ref_table(spark, REFS * 2), tasks).collect()}
     assert got == {ref: resolve_one(ref, rows) for ref in set(REFS)}
     assert got["task"][1] == "AMBIGUOUS"
 
 
-def test_suggest(spark, tasks, rows, lookups):
+def test_suggest(spark, tasks, rows):
     refs = REFS + ["order", "CRASH", "leak 1", "00007", "a_b", "50%", "x\\y", sha(200)[5:11], sha(201)[20:23]]
     expected = set()
     for ref in set(refs):
@@ -140,6 +134,53 @@ def test_search_many(spark, tasks, rows):
     assert len(got) == len(expected)
 
 
+def test_fuzzy_titles(spark, make_tasks):
+    """Titles of 1 to 80 letters, equal ones, and refs with up to three typing errors."""
+    rng = random.Random(5)
+    letters = "abcd éß"
+    rows = []
+    for i in range(160):
+        title = "".join(rng.choice(letters) for _ in range(rng.choice([1, 2, 3, 5, 8, 9, 10, 11, 15, 40, 80])))
+        if i % 5 == 0 and rows:
+            title = rng.choice(rows)["title"]
+        rows.append(task(i, title=title, state=rng.choice(["NEW", "DONE", "INBOX"]), created=rng.randrange(5)))
+    rows += [task(f"same {i}", title="The same Title", created=i) for i in range(30)]
+    refs = ["the same titel", "", "a", "zz", "q" * 90]
+    for _ in range(150):
+        text = rng.choice(rows)["title"]
+        for _ in range(rng.randrange(4)):
+            at, op = rng.randrange(len(text) + 1), rng.randrange(3)
+            text = text[:at] + ["", "z", text[at : at + 1] + "q"][op] + text[at + 1 :]
+        refs.append(text.upper() if rng.random() < 0.2 else text)
+    expected = set()
+    for ref in set(refs) - {""}:
+        near = [(d, list_key(r), r) for r in open_in_order(rows) if abs(len(r["title"]) - len(ref)) <= 3 and (d := distance(ref.lower(), r["title"].lower())) <= 2]
+        for pos, (d, _, r) in enumerate(sorted(near, key=lambda hit: hit[:2])[:3], 1):
+            expected.add((ref, pos, r["id"], r["title"], d))
+    got = [tuple(r) for r in matching.fuzzy_titles(ref_table(spark, refs * 2), make_tasks(*rows)).collect()]
+    assert set(got) == expected and len(got) == len(expected)
+
+
+def test_stored_index(spark, tmp_path):
+    """Long texts, null ones, repeated rows; queries that cross lines, hold quotes of patterns, or are nearly empty."""
+    rng = random.Random(8)
+    words = ["alpha", "Beta\n", "x\\Ey", "50%", "é", "ab", "."]
+    texts = [(i, " ".join(rng.choices(words, k=rng.choice([1, 3, 40])))) for i in range(60)] + [(60, None), (61, ""), (62, "ab " * 40_000 + "end")]
+    rows = spark.createDataFrame(texts, "n int, body string")
+    textindex.write_index(rows, f"{tmp_path}/index", "n", ["body"])
+    index = textindex.read_index(spark, f"{tmp_path}/index", rows, "n", ["body"])
+    queries = ["alpha beta", "beta\n", "x\\e_", "x\\Ey", "a%a", "b_ta%é", "é", "_", "%", "", "lpha%50", "none", "b end", "a_ end", ".", "%.%ab", "ab ab ab%end", "___________"]
+    expected = set()
+    for q in queries:
+        shape = "".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in q.lower())
+        expected |= {(q, n) for n, text in texts if text is not None and re.search(shape, text.lower(), re.S)}
+    got = [tuple(r) for r in textindex.search_index(index, spark.createDataFrame([(q,) for q in [*queries, None, "é"]], "q string")).collect()]
+    assert set(got) == expected and len(got) == len(expected)
+    # Files hold ranges of grams, so a lookup reads few of them.
+    plan = index.postings.where("gram = 'alp'")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(gram), EqualTo(gram,alp)]" in plan
+
+
 def test_no_nested_loops(spark, tasks):
     """Every lookup joins by equality and stays in the JVM."""
     refs = ref_table(spark, ["abcd", "order 1"])
@@ -147,6 +188,7 @@ def test_no_nested_loops(spark, tasks):
         matching.resolve(refs, tasks),
         matching.suggest(refs, tasks),
         matching.fuzzy_match(refs, tasks),
+        matching.fuzzy_titles(refs, tasks),
         matching.search_many(tasks, refs.select(F.col("ref").alias("q"))),
     ):
         plan = result._jdf.queryExecution().executedPlan().toString()
