@@ -12,6 +12,7 @@ from ..schema import DEFAULT_PRIORITY, DEFAULT_STATE, KINDS, PRIORITIES, STATES,
 from ..session import materialise
 from .joins import left_lookup
 from .lifecycle import moment
+from .links import leading_to, on_cycles, single_links
 from .matching import resolve
 
 # Shell here-document endings that may be left at the end of a body.
@@ -19,6 +20,7 @@ HEREDOC_TAILS = ("EOF < /dev/null", "EOL < /dev/null", "END < /dev/null", "DONE
 
 EMPTY_TITLE = "no title line"
 NO_PARENT = "parent_ref fits no single task"
+NO_PARENT_ROW = "parent_key names no row"
 
 
 def parse_messages(messages: DataFrame, raw: str = "text", heredoc: bool = False) -> DataFrame:
@@ -136,6 +138,56 @@ def capture_subtasks(
     return _finish(drafts, at, nonce, author, F.coalesce(bad_kind, orphan, F.col("parse_error")))
 
 
+def capture_family(
+    messages: DataFrame,
+    tasks: DataFrame,
+    at: datetime | str | Column,
+    nonce: str,
+    raw: str = "text",
+    author: str | None = None,
+) -> DataFrame:
+    """Messages whose parents may come in the same batch, as tasks with ``error``.
+
+    ``parent_ref`` names an existing task, ``parent_key`` the ``nonce`` of another row, before
+    or after it; a row with neither is a task of its own, with a kind in any letter case. A row
+    whose parent row is refused is refused as well, and so is every row of a cycle.
+    Refusals go down by doubling, in rounds that grow with the logarithm of a family's depth.
+    Rows of one key share their fate.
+    """
+    below = F.col("parent_ref").isNotNull() | F.col("parent_key").isNotNull()
+    single_case = F.col("kind").isin(*KINDS, *(k.lower() for k in KINDS))
+    kind = F.when(~below | single_case, F.upper("kind")).otherwise(F.col("kind"))
+    refs = messages.where(F.col("parent_ref").isNotNull())
+    found = materialise(resolve(refs.select(F.col("parent_ref").alias("ref")), tasks))
+    parents = found.select(F.col("ref").alias("parent_ref"), F.col("id").alias("parent"))
+    drafts = left_lookup(messages.drop("parent").withColumn("kind", kind), parents, "parent_ref", nonce)
+    drafts = parse_messages(drafts, raw)
+    bad_kind = F.when(
+        below & ~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False)),
+        F.concat(F.lit("kind not allowed: "), F.coalesce("kind", F.lit(""))),
+    )
+    orphan = F.when(F.col("parent_ref").isNotNull() & F.col("parent").isNull(), NO_PARENT)
+    made = materialise(_finish(drafts, at, nonce, author, F.coalesce(bad_kind, orphan, F.col("parse_error"))))
+
+    key = F.col(nonce).cast("string")
+    links = single_links(messages.select(key.alias("id"), F.col("parent_key").cast("string").alias("link")), "link")
+    keys = made.where(F.col(nonce).isNotNull()).select(key.alias("id"), F.col("id").alias("made"), "error")
+    lost = links.join(keys.select(F.col("id").alias("to")), "to", "left_anti").select("id", F.lit(NO_PARENT_ROW).alias("why"))
+    rounds = on_cycles(links).select("id", F.lit("its parents form a cycle").alias("why"))
+    own = keys.where(F.col("error").isNotNull()).select("id", F.col("error").alias("why"))
+    refused = materialise(own.unionByName(lost).unionByName(rounds))
+    heirs = leading_to(refused.select("id").distinct(), links).select("id", F.lit("the parent was refused").alias("why"))
+    inherited = materialise(lost.unionByName(rounds).unionByName(heirs).groupBy(F.col("id").alias("_key")).agg(F.max("why").alias("_why")))
+    above = keys.groupBy(F.col("id").alias("to")).agg(F.min("made").alias("_made"))
+    placed = materialise(links.join(above, "to").select(F.col("id").alias("_key"), "_made"))
+
+    result = left_lookup(made.withColumn("_key", key), inherited, "_key", "id")
+    result = left_lookup(result, placed, "_key", "id")
+    return result.withColumns(
+        {"parent": F.coalesce("parent", "_made"), "error": F.coalesce("error", "_why")}
+    ).drop("_key", "_why", "_made")
+
+
 def _finish(drafts: DataFrame, at, nonce: str, author: str | None, early: Column) -> DataFrame:
     """Whole tasks with the first error met on the way."""
     drafts = drafts.withColumn("_early", early)

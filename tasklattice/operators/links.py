@@ -63,3 +63,20 @@ def reached(seeds: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
         count += added
         hops = _doubled(hops)
     return (reduce(DataFrame.unionByName, found) if found else new), count
+
+
+def leading_to(marked: DataFrame, links: DataFrame) -> DataFrame:
+    """The ids (id) whose links (id, to) lead to a marked id, sooner or later; none of them marked.
+
+    After k rounds all ids less than 2^k steps away are found; a round that adds none is the last.
+    """
+    found: list[DataFrame] = []
+    hops = links
+    while True:
+        known = reduce(DataFrame.unionByName, found, marked.select("id"))
+        ahead = known.select(F.col("id").alias("to"))
+        new = materialise(hops.join(ahead, "to", "left_semi").select("id").join(known, "id", "left_anti").distinct())
+        if new.isEmpty():
+            return reduce(DataFrame.unionByName, found) if found else new
+        found.append(new)
+        hops = _doubled(hops)

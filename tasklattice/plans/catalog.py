@@ -158,6 +158,12 @@ def _capture_subtasks(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(captured, "doc_id", "id", "parent", "priority", "state", "kind", "source", "tags", "error")
 
 
+def _capture_family(spark: SparkSession, sf: str) -> DataFrame:
+    messages = fx.derive(spark, sf, fx.FAMILY_MESSAGES)
+    captured = ingest.capture_family(messages, _tasks(spark, sf), AT, "doc_id", author=AUTHOR)
+    return _shown(captured, "doc_id", "id", "parent", "priority", "state", "kind", "error")
+
+
 def _audit(spark: SparkSession, sf: str) -> DataFrame:
     return maintenance.audit(fx.derive(spark, sf, fx.DIRTY_TASKS))
 
@@ -439,6 +445,7 @@ QUERIES: dict[str, Query] = {
     "validate_tasks": _validate_tasks,
     "capture": _capture,
     "capture_subtasks": _capture_subtasks,
+    "capture_family": _capture_family,
     "audit": _audit,
     "audit_cycles": lambda s, d: maintenance.audit(fx.derive(s, d, fx.CYCLIC_TASKS)),
     "upgrade_snapshot": _upgrade,

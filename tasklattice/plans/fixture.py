@@ -196,6 +196,16 @@ SELECT doc_id, text,
 FROM (SELECT *, sha1(concat('task-', CAST(doc_id * 10 AS STRING))) AS h FROM {documents}) d
 """
 
+# Messages of families: chains six deep, a parent that comes later, rings of four, keys of no row, existing parents.
+FAMILY_MESSAGES = """
+SELECT doc_id, text, CASE WHEN doc_id % 31 = 4 THEN 'chore' ELSE CASE doc_id % 3 WHEN 0 THEN 'bug' WHEN 1 THEN 'FEATURE' ELSE 'Regression' END END AS kind,
+  CASE doc_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'low' END AS priority,
+  CASE WHEN doc_id % 10 BETWEEN 1 AND 6 THEN doc_id - 1 WHEN doc_id % 10 = 7 THEN doc_id + 1 WHEN doc_id % 20 = 9 THEN -1 - doc_id
+    WHEN doc_id % 50 = 20 THEN doc_id + 3 END AS parent_key,
+  CASE WHEN doc_id % 20 = 19 THEN CASE WHEN doc_id % 60 = 19 THEN 'none' ELSE substr(sha1(concat('task-', CAST(doc_id * 10 AS STRING))), 1, 12) END END AS parent_ref
+FROM {documents}
+"""
+
 # New rows: existing ids, repeated ids, broken links and invalid fields among good ones.
 NEW_ROWS = """
 SELECT k AS n,

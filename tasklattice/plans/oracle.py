@@ -244,6 +244,28 @@ FROM drafts""",
     messages=fx.SUBTASK_MESSAGES,
 )
 
+CAPTURE_FAMILY = with_tables(
+    f""", resolved AS ({resolved('messages', 'parent_ref')}),
+drafts AS (SELECT p.* REPLACE (CASE WHEN parent_key IS NULL AND parent_ref IS NULL OR kind IN ('bug', 'feature', 'regression') THEN upper(kind) ELSE kind END AS kind,
+    coalesce(priority, 'medium') AS priority), 'INBOX' AS state, r.id AS parent
+  FROM ({parsed('messages')}) p LEFT JOIN resolved r ON r.ref = p.parent_ref),
+own AS (SELECT *, {NEW_ID} AS id,
+  coalesce(CASE WHEN (parent_key IS NOT NULL OR parent_ref IS NOT NULL) AND kind NOT IN ('BUG', 'FEATURE', 'REGRESSION') THEN 'kind not allowed: ' || kind END,
+    CASE WHEN parent_ref IS NOT NULL AND parent IS NULL THEN 'parent_ref fits no single task' END, parse_error, {VALID_ERROR}) AS error FROM drafts),
+up(doc_id, above) AS (SELECT doc_id, parent_key FROM own WHERE parent_key IS NOT NULL
+  UNION SELECT u.doc_id, o.parent_key FROM up u JOIN own o ON o.doc_id = u.above WHERE o.parent_key IS NOT NULL),
+cause AS (SELECT doc_id, error IS NOT NULL OR (parent_key IS NOT NULL AND parent_key NOT IN (SELECT doc_id FROM own))
+  OR doc_id IN (SELECT doc_id FROM up WHERE above = doc_id) AS bad FROM own)
+SELECT o.doc_id, o.id, coalesce(o.parent, p.id) AS parent, o.priority, o.state, o.kind,
+  coalesce(o.error, CASE WHEN o.parent_key IS NOT NULL AND p.doc_id IS NULL THEN 'parent_key names no row' END,
+    CASE WHEN o.doc_id IN (SELECT doc_id FROM up WHERE above = doc_id) THEN 'its parents form a cycle' END,
+    CASE WHEN o.doc_id IN (SELECT u.doc_id FROM up u JOIN cause c ON c.doc_id = u.above WHERE c.bad) THEN 'the parent was refused' END) AS error
+FROM own o LEFT JOIN own p ON p.doc_id = o.parent_key""",
+    recursive=True,
+    messages=fx.FAMILY_MESSAGES,
+)
+
+
 def cycle_links(link: str) -> str:
     """The links of one kind, and every pair of a start and what it comes to."""
     return f"""{link}_links AS (SELECT id, min({link}) AS target FROM t WHERE id IS NOT NULL AND {link} IS NOT NULL GROUP BY id),
@@ -603,6 +625,7 @@ SQL: dict[str, str] = {
     "validate_tasks": with_tables(f"SELECT doc_id, {VALID_ERROR} AS error FROM ({DRAFTS})", messages=fx.MESSAGES),
     "capture": CAPTURE,
     "capture_subtasks": CAPTURE_SUBTASKS,
+    "capture_family": CAPTURE_FAMILY,
     "audit": audit(fx.DIRTY_TASKS),
     "audit_cycles": audit(fx.CYCLIC_TASKS),
     "upgrade_snapshot": UPGRADE,

@@ -208,3 +208,22 @@ def test_stream_capture_restarts_without_loss_or_doubles(spark, tmp_path):
     drain()
     rows = captured_tasks(spark, out).collect()
     assert sorted(r.title for r in rows) == ["A", "B", "C"] and {r.created for r in rows} == {START}
+
+
+def test_capture_family(spark, make_tasks):
+    """A chain of 500 rows, each below the one before; refusals go down, cycles and lost keys are named."""
+    rows = [(f"k{n}", f"T{n}\nbody", "bug", f"k{n - 1}" if n else None, None) for n in range(500)]
+    rows += [("bad", "no body", "bug", None, None), ("b1", "B\nbody", "bug", "bad", None), ("b2", "B\nbody", "Bug", "b1", None), ("b3", "B\nbody", "bug", "b1", None)]
+    rows += [("x", "X\nbody", "bug", "y", None), ("y", "Y\nbody", "bug", "x", None), ("z", "Z\nbody", "bug", "y", None)]
+    rows += [("lost", "L\nbody", "bug", "nobody", None), ("old", "O\nbody", "feature", None, sha("p")), ("none", "N\nbody", "bug", None, "zzzz"), ("root", "R\nbody", "Bug", None, None)]
+    messages = spark.createDataFrame(rows, "n string, text string, kind string, parent_key string, parent_ref string")
+    got = {r.n: r for r in ingest.capture_family(messages, make_tasks(task("p")), AT, "n").collect()}
+    assert len(got) == len(rows)
+    assert all(got[f"k{n}"].error is None and got[f"k{n}"].parent == (got[f"k{n - 1}"].id if n else None) for n in range(500))
+    assert {n: got[n].error for n in ("bad", "b1", "b2", "b3", "x", "y", "z", "lost", "none")} == {
+        "bad": "description is blank", "b1": "the parent was refused", "b2": "kind not allowed: Bug", "b3": "the parent was refused",
+        "x": "its parents form a cycle", "y": "its parents form a cycle", "z": "the parent was refused", "lost": "parent_key names no row",
+        "none": "parent_ref fits no single task",
+    }
+    assert (got["old"].parent, got["old"].error, got["root"].error, got["root"].kind) == (sha("p"), None, None, "BUG")
+    assert ingest.capture_family(messages.limit(0), make_tasks(task("p")), AT, "n").count() == 0
