@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from tasklattice.llm.common import steps
 
+# Possessive, so that a part that does not fit is not tried again piece by piece.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))(?![\w-])", re.I)
@@ -27,12 +28,12 @@ SPACE = " \t\n\r\f"
 # Names of the HTML standard, by their role in the layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style title template noscript iframe noembed noframes datalist select object video audio canvas svg math".split())
+UNSEEN = frozenset("head script style title template noscript iframe noembed noframes datalist object video audio canvas".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu blockquote pre table figure fieldset form details".split())
 BLOCKS = PARAGRAPHS | frozenset(
-    "html body div section article aside header footer nav main address li dt dd hr center dir summary figcaption legend caption search hgroup".split()
+    "html body div section article aside header footer nav main address li dt dd hr center dir summary figcaption legend caption search hgroup option optgroup".split()
 )
-CLOSES_P = BLOCKS - frozenset("html body caption legend".split()) | {"xmp", "listing", "plaintext"}
+CLOSES_P = BLOCKS - frozenset("html body caption legend option optgroup".split()) | {"xmp", "listing", "plaintext"}
 TABLE_PARTS = frozenset("caption colgroup thead tbody tfoot tr td th".split())
 # Start tags that end an open element, and the elements that keep them from looking further out.
 ENDS = {
@@ -69,7 +70,9 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
     """Balanced ("open", name, attributes), ("text", text, "") and ("close", name, "") events."""
     stack: list[str] = []
     at, size = 0, len(page)
-    match = TOKEN.search(page, 0)
+    # No tag ends behind the last of these; a tag that begins before it ends, so no search runs to the end in vain.
+    last = page.rfind(">") + 1
+    match = TOKEN.search(page, 0, last)
     count: dict[str, int] = {}
 
     def close_to(depth: int) -> Iterator[tuple[str, str, str]]:
@@ -101,6 +104,9 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
                 yield from close_to(stack.index("head"))
             yield "text", page[at : match.start()], ""
         at = match.end()
+        if page.startswith("<!--", match.start()) and not page.endswith("-->", match.start() + 4, at):
+            # A comment without an end takes all that follows.
+            at = size
         ending, name, attributes = (match[1], match[2], match[3]) if match[2] else (match[4], match[5], match[6])
         if name:
             name = name.lower()
@@ -135,13 +141,14 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
                 elif not (name in ("html", "body") and count.get(name)):
                     yield push(name, attributes)
                     if name in RAW:
-                        end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
-                        yield "text", page[at : end.start()], ""
+                        end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at, last)
+                        yield "text", page[at : end.start() if end else size], ""
                         yield from close_to(len(stack) - 1)
-                        at = end.end()
-        match = TOKEN.search(page, at)
-    if at < size:
-        yield "text", page[at:], ""
+                        at = end.end() if end else size
+        match = TOKEN.search(page, at, last) if at < last else None
+    comment = page.find("<!--", at)
+    if at < (comment if comment >= 0 else size):
+        yield "text", page[at : comment if comment >= 0 else size], ""
     yield from close_to(0)
 
 
@@ -239,6 +246,12 @@ def _span(attributes: dict[str, str], name: str) -> int:
     return min(1000, max(1, int(value))) if value.isascii() and value.isdigit() else 1
 
 
+def _number(attributes: dict[str, str], name: str, otherwise: int) -> int:
+    """A list's number as written, of any size and sign."""
+    value = re.match(r"[ \t\n\r\f]*([+-]?[0-9]{1,18})", attributes.get(name, ""))
+    return int(value[1]) if value else otherwise
+
+
 def render(page: str | None) -> str:
     """All visible text of a page, laid out; a null or empty page gives an empty text."""
     flow, outer = _Flow(), []
@@ -273,11 +286,11 @@ def render(page: str | None) -> str:
                 flow.text("---")
                 flow.end()
             elif name in ("ul", "ol", "menu", "dir"):
-                lists.append([name == "ol", _span(attributes, "start") if attributes.get("start", "") != "0" else 0])
+                lists.append([name == "ol", _number(attributes, "start", 1)])
             elif name == "li":
                 marker = "- "
                 if lists and lists[-1][0]:
-                    number = _span(attributes, "value") if "value" in attributes else lists[-1][1]
+                    number = _number(attributes, "value", lists[-1][1])
                     lists[-1][1] = number + 1
                     marker = f"{number}. "
                 flow.indent.append(" " * len(marker))
@@ -330,7 +343,12 @@ def _render_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract(pages: DataFrame, key_cols: tuple[str, ...] = ("page_id", "url"), html_col: str = "html") -> DataFrame:
-    """The key columns with ``text``, one row per page; malformed pages are rendered as far as they go."""
+    """The key columns with ``text``, one row per page; malformed pages are rendered as far as they go.
+
+    Visible is what a browser shows by itself, the options of a selection and the words of formulas and drawings
+    included. A null or empty page has an empty text, repeated rows are rendered each, an empty table has no rows. There
+    are no ties to break. Long pages are read once from front to back. Other columns, whatever their names, are not read.
+    """
     rows = pages.select(*(pages[c] for c in key_cols), F.coalesce(pages[html_col].cast("string"), F.lit("")).alias("_html"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(_render_all, f"{schema}, text string")
