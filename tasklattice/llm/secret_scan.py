@@ -1,10 +1,13 @@
 """Secret scans: known shapes, and strings that pass a battery of randomness tests.
 
 A candidate is a long run of key characters. For the encoding its characters suggest
-(hex, base 32, letters, letters and digits, base 64) three tests ask if it could be
-uniformly random: chi-squared over the alphabet, runs above and below the middle, and
-serial correlation. A fourth number, the chance that ordinary text of that length
-looks as even, is held against a false-discovery rate over all candidates of similar length.
+(digits, hex, base 32, letters, letters and digits, base 64 and their mixture) three tests ask
+if it could be uniformly random: chi-squared over the alphabet, runs above and below the
+middle, and serial correlation; together they fail it below ``ALPHA``. What passes is asked the
+other way round: how likely would ordinary text of the corpus, at that length, have so even
+a chi-squared, and so many runs of digits and of letters? Twice the smaller chance
+is the candidate's; one that failed the battery has chance 1. All candidates of similar length are
+held against one false-discovery rate, those that failed included.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "random")
 ENCODINGS = (
+    ("digits", "0123456789"),
     ("hex", "0123456789abcdef"),
     ("HEX", "0123456789ABCDEF"),
     ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
@@ -40,11 +44,12 @@ ENCODINGS = (
     ("alnum", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+    ("mixed", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 )
 
-MIN_LENGTH = 16
+MIN_LENGTH = 12
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % MIN_LENGTH)
-# A test of the battery fails below this probability; discoveries may be false at this rate.
+# The battery fails a candidate below this probability; discoveries may be false at this rate.
 ALPHA = 0.001
 FALSE_RATE = 0.01
 # Steps of the histogram of -log10(p), and its end.
@@ -65,36 +70,64 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans, key=lambda s: (s[1], s[0]))
 
 
+# Digits and letters: what runs are made of. Signs part ordinary words, and capitals begin them, so neither counts.
+_CLASS = np.array([1 if 48 <= c <= 57 else 2 if chr(c).isascii() and chr(c).isalpha() else 0 for c in range(256)], np.int8)
+
+
+_KEY = np.zeros(256, bool)
+_KEY[[c for c in range(256) if CANDIDATE.match(chr(c) * MIN_LENGTH)]] = True
+
+
+def _outside(data: np.ndarray) -> np.ndarray:
+    """Which bytes are in no candidate: what ordinary text is like shall not depend on the keys in it."""
+    inside = _KEY[data]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    some = ends - starts >= MIN_LENGTH
+    depth = np.zeros(len(data) + 1, np.int8)
+    depth[starts[some]] = 1
+    depth[ends[some]] = -1
+    return np.cumsum(depth[:-1], dtype=np.int8) == 0
+
+
+def _changes(kinds: np.ndarray) -> tuple[int, int]:
+    """Places between two digits or letters, and how many of these are between one of either kind."""
+    inside = (kinds[1:] > 0) & (kinds[:-1] > 0)
+    return int(inside.sum()), int((inside & (kinds[1:] != kinds[:-1])).sum())
+
+
 def _normal_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
+def _many(changes: int, places: int, rate: float) -> float:
+    """A bound on the chance of so many changes at so many places, each a change at the given rate (Chernoff)."""
+    share = changes / places
+    if share <= rate:
+        return 1.0
+    other = (1 - share) * math.log((1 - share) / (1 - rate)) if share < 1 else 0.0
+    return math.exp(-places * (share * math.log(share / rate) + other))
+
+
 class Battery:
-    """The tests, for one table of how often each byte occurs in the corpus."""
+    """The tests, for one table of how often each byte occurs in the corpus, and its changes between digits and letters."""
 
-    def __init__(self, byte_counts: np.ndarray):
+    def __init__(self, byte_counts: np.ndarray, places: int, changes: int):
         self.parts = []
         for _, letters in ENCODINGS:
             share = byte_counts[[ord(c) for c in letters]] + 0.5
             share = share / share.sum()
-            place = {c: k for k, c in enumerate(letters)}
+            place = np.zeros(256, np.int64)
+            place[[ord(c) for c in letters]] = np.arange(len(letters))
             self.parts.append((frozenset(letters), place, len(letters), float((share**2).sum()), float((share**3).sum())))
+        self.rate = (changes + 0.5) / (places + 1)
 
-    def judge(self, token: str) -> float | None:
-        """The chance that ordinary text looks as even, or None if a test says it isn't random."""
-        symbols = frozenset(token)
-        if token.isdigit():
-            return None
-        found = next((p for p in self.parts if symbols <= p[0]), None)
-        if found is None:
-            return None
-        _, place, size, s2, s3 = found
-        n = len(token)
-        values = np.fromiter((place[c] for c in token), np.int64, n)
+    def uniform(self, values: np.ndarray, size: int) -> float:
+        """The chance that a uniformly random string fails one of the three tests as badly."""
+        n = len(values)
         same = int((np.bincount(values, minlength=size) ** 2).sum())
-        chi = size * same / n - n
         free = size - 1
-        uniform = _normal_tail(((max(chi, 0) / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free)))
+        chi = _normal_tail(((max(size * same / n - n, 0) / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free)))
         high = values * 2 >= size
         ones = int(high.sum())
         zeros = n - ones
@@ -104,32 +137,50 @@ class Battery:
         runs_p = 2 * _normal_tail(abs(runs - mean) / math.sqrt(spread)) if spread > 0 else 0.0
         centred = values - values.mean()
         square = float((centred**2).sum())
-        serial_p = 2 * _normal_tail(abs(float((centred[1:] * centred[:-1]).sum()) / square) * math.sqrt(n)) if square else 0.0
-        if min(uniform, runs_p, serial_p) < ALPHA / 3:
-            return None
-        # Pairs of equal letters in text of this length: mean and variance.
+        serial = 2 * _normal_tail(abs(float((centred[1:] * centred[:-1]).sum()) / square) * math.sqrt(n)) if square else 0.0
+        return min(1.0, 3 * min(chi, runs_p, serial))
+
+    def judge(self, token: str) -> float:
+        """The chance that ordinary text looks as random; 1 for what fails the battery."""
+        symbols = frozenset(token)
+        _, place, size, s2, s3 = next(p for p in self.parts if symbols <= p[0])
+        codes = np.frombuffer(token.encode(), np.uint8)
+        values, n = place[codes], len(codes)
+        if self.uniform(values, size) < ALPHA:
+            return 1.0
+        places, changes = _changes(_CLASS[codes])
+        runs = _many(changes, places, self.rate) if places else 1.0
+        # The chi-squared counts pairs of equal letters; in ordinary text of this length their mean and variance are these.
+        same = int((np.bincount(values, minlength=size) ** 2).sum())
         pairs = n * (n - 1) / 2
         mean = pairs * s2
         variance = pairs * (s2 - s2**2) + pairs * 2 * (n - 2) * (s3 - s2**2)
-        if variance <= 0:
-            return None
-        return _normal_tail((mean - (same - n) / 2) / math.sqrt(variance))
+        even = _normal_tail((mean - (same - n) / 2) / math.sqrt(variance)) if variance > 0 else 1.0
+        return min(1.0, 2 * min(runs, even))
+
+
+# Rows of the counts that stand for no byte: places between two digits or letters outside of candidates, and changes there.
+PLACES, CHANGES = 256, 257
 
 
 def _count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(256, np.int64)
+    total = np.zeros(258, np.int64)
     for batch in steps(batches):
-        total += np.bincount(np.frombuffer(b"".join(batch.column("text").to_pylist()), np.uint8), minlength=256)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], names=["byte", "n"])
+        data = np.frombuffer(b" ".join(batch.column("text").to_pylist()), np.uint8)
+        total[:256] += np.bincount(data, minlength=256)
+        places, changes = _changes(np.where(_outside(data), _CLASS[data], 0))
+        total[PLACES] += places
+        total[CHANGES] += changes
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(258)), pa.array(total)], names=["byte", "n"])
 
 
 def length_band(length: int) -> int:
     return length.bit_length()
 
 
-def _scan(byte_counts: np.ndarray):
+def _scan(counts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        battery = Battery(byte_counts)
+        battery = Battery(counts[:256], int(counts[PLACES]), int(counts[CHANGES]))
         for batch in steps(batches):
             bases, randoms = [], []
             for raw in batch.column("text").to_pylist():
@@ -140,10 +191,8 @@ def _scan(byte_counts: np.ndarray):
                     start, end = match.span()
                     if any(b[1] < end and start < b[2] for b in base):
                         continue
-                    chance = battery.judge(match[0])
-                    if chance is not None:
-                        level = min(MOST_DECADES, -math.log10(max(chance, 1e-300))) * BINS_PER_DECADE
-                        found.append({"start": start, "end": end, "band": length_band(end - start), "level": int(level)})
+                    level = min(MOST_DECADES, -math.log10(max(battery.judge(match[0]), 1e-300))) * BINS_PER_DECADE
+                    found.append({"start": start, "end": end, "band": length_band(end - start), "level": int(level)})
                 bases.append([{"kind": k, "start": s, "end": e} for k, s, e in base])
                 randoms.append(found)
             yield pa.RecordBatch.from_arrays(
@@ -168,7 +217,8 @@ def discovery_levels(histogram: dict[int, dict[int, int]], tested: dict[int, int
         above = 0
         for level in sorted(levels, reverse=True):
             above += levels[level]
-            if 10 ** (-level / BINS_PER_DECADE) <= rate * above / max(tested[band], above):
+            # At level 0 stands what failed the battery.
+            if level and 10 ** (-level / BINS_PER_DECADE) <= rate * above / max(tested[band], above):
                 out[band] = level
     return out
 
@@ -198,12 +248,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate:
 
     ``spans`` lists kind:start:end, code points, end exclusive, by start. Random strings
     that overlap a known shape are not listed again. A null or empty text has none.
-    Each row is scanned by itself; repeated rows give equal rows. Only a histogram of
-    fixed size and 256 byte counts pass through the driver.
+    Each row is scanned by itself; repeated rows give equal rows, an empty table none. Spans that
+    begin together stand in the order of their kinds. Texts are read whole; other columns,
+    whatever their names, are not. Only a histogram of
+    fixed size and the counts of bytes pass through the driver.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("doc_id"), text_column(docs, text_col).alias("text"))
-    counts = np.zeros(256)
+    counts = np.zeros(258)
     for row in rows.select("text").mapInArrow(_count_bytes, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
         counts[row.byte] = row.n
     found = materialise(rows.mapInArrow(_scan(counts), FOUND_SCHEMA.format(kind)))
