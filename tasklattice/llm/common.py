@@ -37,6 +37,14 @@ def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return F.xxhash64(docs[id_col].cast("string"), F.lit("\0"), F.coalesce(docs[text_col], F.lit("")))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_rest(column: Column, modulus: int) -> Column:
     """crc32 of an id written as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tasklattice.llm.common import LOWER, hashed_words, mix, steps
+from tasklattice.llm.common import LOWER, free_name, hashed_words, mix, steps
+from tasklattice.session import materialise
 
 SEED_WORDS = 5
 COVERAGE = 0.5
@@ -99,45 +100,56 @@ def tile(document: np.ndarray, item: np.ndarray, least: int = SEED_WORDS) -> lis
 
 
 class Items:
-    """A block of benchmark items with an index of their seeds."""
+    """A block of benchmark items with an index of their seeds.
+
+    A seed has ``SEED_WORDS`` words, in a shorter item all its words. Seeds of each width have an index of their own.
+    """
 
     def __init__(self, keys: list, texts: list[bytes]):
         words, edges = hashed_words(texts, _TABLE)
         self.keys = keys
         self.words = [words[a:b] for a, b in zip(edges[:-1], edges[1:])]
-        seeds = [fingerprints(w, SEED_WORDS) for w in self.words]
-        codes = np.concatenate([*seeds, np.zeros(0, np.uint64)])
-        order = np.argsort(codes, kind="stable")
-        self.codes = codes[order]
-        self.owner = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])[order]
-        self.place = np.concatenate([*(np.arange(len(s)) for s in seeds), np.zeros(0, np.int64)]).astype(np.int64)[order]
+        widths = [min(SEED_WORDS, len(w)) for w in self.words]
+        self.indexes = {}
+        for width in sorted(set(widths) - {0}):
+            mine = [k for k, w in enumerate(widths) if w == width]
+            seeds = [fingerprints(self.words[k], width) for k in mine]
+            codes = np.concatenate(seeds)
+            order = np.argsort(codes, kind="stable")
+            owner = np.repeat(np.array(mine), [len(s) for s in seeds])[order]
+            self.indexes[width] = codes[order], owner, np.concatenate([np.arange(len(s)) for s in seeds])[order]
 
     def matches(self, texts: list[bytes], coverage: float) -> list[tuple]:
         """(text index, item key, item words, marked words, tiles, longest tile) of pairs with enough coverage."""
-        if not len(self.codes):
-            return []
         words, edges = hashed_words(texts, _TABLE)
-        codes = fingerprints(words, SEED_WORDS)
-        at = np.searchsorted(self.codes, codes)
-        at[at == len(self.codes)] = 0
-        hits = np.flatnonzero(self.codes[at] == codes)
+        out = []
+        for width, index in self.indexes.items():
+            out += self._matches(words, edges, coverage, width, *index)
+        return out
+
+    def _matches(self, words: np.ndarray, edges: np.ndarray, coverage: float, width: int, known: np.ndarray, owners: np.ndarray, starts: np.ndarray) -> list[tuple]:
+        codes = fingerprints(words, width)
+        at = np.searchsorted(known, codes)
+        at[at == len(known)] = 0
+        hits = np.flatnonzero(known[at] == codes)
         owner = np.searchsorted(edges, hits, "right") - 1
-        hits, owner = hits[hits + SEED_WORDS <= edges[owner + 1]], owner[hits + SEED_WORDS <= edges[owner + 1]]
+        whole = hits + width <= edges[owner + 1]
+        hits, owner = hits[whole], owner[whole]
         out = []
         for text in np.unique(owner).tolist():
             found = np.unique(codes[hits[owner == text]])
-            start, end = np.searchsorted(self.codes, found, "left"), np.searchsorted(self.codes, found, "right")
+            start, end = np.searchsorted(known, found, "left"), np.searchsorted(known, found, "right")
             index = np.concatenate([np.arange(a, b) for a, b in zip(start.tolist(), end.tolist())])
-            items, places = self.owner[index], self.place[index]
+            items, places = owners[index], starts[index]
             for item in np.unique(items).tolist():
                 mine = self.words[item]
                 # No tile reaches beyond the words of the seeds that were found.
                 seen = np.zeros(len(mine), bool)
-                for k in range(SEED_WORDS):
+                for k in range(width):
                     seen[places[items == item] + k] = True
                 if seen.sum() < coverage * len(mine):
                     continue
-                tiles = tile(words[edges[text] : edges[text + 1]], mine)
+                tiles = tile(words[edges[text] : edges[text + 1]], mine, width)
                 marked = sum(t[2] for t in tiles)
                 if marked >= coverage * len(mine):
                     out.append((text, self.keys[item], len(mine), marked, len(tiles), max(t[2] for t in tiles)))
@@ -161,9 +173,11 @@ def contaminated(
     """Pairs whose item is covered to ``coverage`` or more.
 
     (doc_id, item_id, item_tokens, covered_tokens, n_tiles, longest_tile, coverage).
-    Words are lower-cased and split at white space and ASCII punctuation. Items of fewer
-    than five words, as null and empty ones, match nothing. Each row is judged by
-    itself; repeated rows give repeated pairs; empty tables give an empty result.
+    Words are lower-cased and split at white space and ASCII punctuation. An item of fewer
+    than five words must stand in the document whole; one without words, as null and empty ones, matches nothing.
+    Of equally long runs the first in the item is marked first, at its first place in the document. Each row is judged by
+    itself; repeated rows give repeated pairs; empty tables give an empty result. Other columns, whatever
+    their names, are not read. Blocks of the benchmark are taken one after the other, each a pass over the documents.
     """
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("doc_id"), F.lower(F.coalesce(docs[text_col].cast("string"), F.lit(""))).cast("binary").alias("text"))
@@ -185,11 +199,12 @@ def contaminated(
 
         return run
 
-    out = None
+    out = docs.sparkSession.createDataFrame([], schema)
     for items in _blocks(benchmark, item_id, item_text):
-        part = rows.mapInArrow(judge(docs.sparkSession.sparkContext.broadcast(items)), schema)
-        out = part if out is None else out.union(part)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+        out = out.union(materialise(rows.mapInArrow(judge(shared), schema)))
+        shared.destroy()
+    return out
 
 
 def _arrow(kind):
@@ -199,23 +214,32 @@ def _arrow(kind):
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that cover no item; decided in place, without a shuffle."""
+    """The rows of ``docs``, all columns, that cover no item; decided in place, without a shuffle.
+
+    Repeated rows are judged alike; other columns may have any names.
+    """
     names = docs.columns
-    out = docs
+    lowered = free_name(docs, "lowered")
+    out, shared = docs, None
 
     def keep(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = shared.value
-            for batch in steps(batches, "_lowered"):
-                bad = {m[0] for m in items.matches(batch.column("_lowered").to_pylist(), coverage)}
+            for batch in steps(batches, lowered):
+                bad = {m[0] for m in items.matches(batch.column(lowered).to_pylist(), coverage)}
                 mask = pa.array([k not in bad for k in range(batch.num_rows)])
                 yield batch.select(names).filter(mask)
 
         return run
 
     for items in _blocks(benchmark, item_id, item_text):
-        lowered = F.lower(F.coalesce(out[text_col].cast("string"), F.lit(""))).cast("binary")
-        out = out.withColumn("_lowered", lowered).mapInArrow(keep(docs.sparkSession.sparkContext.broadcast(items)), docs.schema)
+        if shared is not None:
+            # One block is in the tasks' memory at a time.
+            out = materialise(out)
+            shared.destroy()
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+        text = F.lower(F.coalesce(out[text_col].cast("string"), F.lit(""))).cast("binary")
+        out = out.withColumn(lowered, text).mapInArrow(keep(shared), docs.schema)
     return out
 
 

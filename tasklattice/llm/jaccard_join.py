@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tasklattice.llm.common import SHINGLE_WORDS, components, row_key, shingle_sets, steps, text_column
+from tasklattice.llm.common import SHINGLE_WORDS, components, free_name, row_key, shingle_sets, steps, text_column
 from tasklattice.session import materialise, release
 
 PERCENT = 80
@@ -520,17 +520,19 @@ def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = SHINGLE_WORDS) -> DataFrame:
     """The documents with one of each near-duplicate group, the smallest id; all columns stay.
 
-    Of repeated rows of equal id and text one stays. Documents without a word all stay.
+    Of repeated rows of equal id and text one stays. Documents without a word all stay. Other
+    columns may have any names.
     """
-    keyed = docs.withColumn("_row", row_key(docs, id_col, text_col))
-    ids = keyed.select(F.struct(F.col(id_col).alias("id"), F.col("_row").alias("row")).alias("doc_id"), F.col(text_col).alias("text"))
+    row = free_name(docs, "row")
+    keyed = docs.withColumn(row, row_key(docs, id_col, text_col))
+    ids = keyed.select(F.struct(F.col(id_col).alias("id"), F.col(row).alias("row")).alias("doc_id"), F.col(text_col).alias("text"))
     judged = materialise(near_duplicates(ids, "doc_id", "text", percent, width))
     # The rows that go are fewer than those that stay; Spark broadcasts them if their table is small.
-    losers = materialise(judged.where("doc_id.row <> component_id.row").select(F.col("doc_id.row").alias("_row")).distinct())
-    left = keyed.join(losers, "_row", "left_anti")
+    losers = materialise(judged.where("doc_id.row <> component_id.row").select(F.col("doc_id.row").alias(row)).distinct())
+    left = keyed.join(losers, row, "left_anti")
     if judged.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("n_shingles").alias("words")).where("n > 1 and words > 0").head(1):
         empty = F.length(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", "")) == 0
-        left = left.where(empty).union(left.where(~empty).dropDuplicates(["_row"]))
+        left = left.where(empty).union(left.where(~empty).dropDuplicates([row]))
     return left.select(*docs.columns)
 
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tasklattice.llm.common import LOWER, row_key, steps, text_column
+from tasklattice.llm.common import LOWER, free_name, row_key, steps, text_column
 from tasklattice.session import materialise
 
 SPACE = b" \t\n\v\f\r"
@@ -179,17 +179,19 @@ def kept_lines(text: bytes, bitmap: bytes | None) -> tuple[int, int, bytes]:
     return len(lines), len(lines) - len(left), b"\n".join(left)
 
 
-def drop_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", spare_emptied: bool = False) -> DataFrame:
-    """The documents with the lines that the bitmaps drop left out; all other columns stay.
+def drop_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False) -> DataFrame:
+    """The documents with the lines that the bitmaps drop left out; all other columns stay, whatever their names.
 
     A document that loses all its lines has an empty text, a null text stays null. With
-    ``spare_emptied`` a document that would be left without a word keeps its whole text.
+    ``drop_emptied`` a document that had a word and is left without one goes. Repeated rows are
+    treated alike; an empty table stays empty.
     """
-    marked = docs.withColumn("_row", row_key(docs, id_col, text_col)).join(
-        bitmaps.select(F.col("row").alias("_row"), F.col("keep_bitmap").alias("_bitmap")).hint("merge"), "_row", "left"
-    )
     names = docs.columns
     place = names.index(text_col)
+    row, bitmap = free_name(docs, "row"), free_name(docs, "bitmap")
+    marked = docs.withColumn(row, row_key(docs, id_col, text_col)).join(
+        bitmaps.select(F.col("row").alias(row), F.col("keep_bitmap").alias(bitmap)).hint("merge"), row, "left"
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,12 +199,14 @@ def drop_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text
             texts = batch.column(text_col).to_pylist()
             new = [
                 t if t is None or m is None else kept_lines(t.encode(), m)[2].decode()
-                for t, m in zip(texts, batch.column("_bitmap").to_pylist())
+                for t, m in zip(texts, batch.column(bitmap).to_pylist())
             ]
-            if spare_emptied:
-                new = [t if n is not None and not n.encode().strip(SPACE) else n for t, n in zip(texts, new)]
             arrays = [pa.array(new, pa.string()) if k == place else table.column(k) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            out = pa.RecordBatch.from_arrays(arrays, names=names)
+            if drop_emptied:
+                blank = lambda text: text is None or not text.encode().strip(SPACE)
+                out = out.filter(pa.array([not blank(n) or blank(t) for t, n in zip(texts, new)], pa.bool_()))
+            yield out
 
     return marked.mapInArrow(run, docs.schema)
 

@@ -12,15 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tasklattice.llm.common import steps, text_column
 from tasklattice.llm.packing import default_tokenizer, encode
 from tasklattice.session import materialise, scratch_path
 
-# The vocabulary's own end-of-text id; no text encodes to it but its own name.
-SEPARATOR = 49407
+# Beyond the vocabulary, so that no text holds it, and within two bytes.
+SEPARATOR = 65535
 WIDTH = 2
 BLOCK_TOKENS = 1 << 20
 FILE_DOCUMENTS = 5000
@@ -40,7 +40,9 @@ def _token_rows(path: str, separator: int, width: int):
             rows = []
             for text in batch.column("text").to_pylist():
                 ids = np.frombuffer(encode(text, path), "<u4")
-                rows.append(ids[ids != separator].astype(kind).tobytes())
+                if len(ids) and int(ids.max()) >= separator:
+                    raise ValueError(f"id {ids.max()} is not below the separator {separator}")
+                rows.append(ids.astype(kind).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["value"])
 
     return run
@@ -52,7 +54,8 @@ def write_token_files(
     """Write the documents' tokens as flat files of at most ``file_documents`` documents each.
 
     Spark's text writer puts the separator's bytes after each row. A null or empty text is a
-    separator alone; a separator id inside a text is left out.
+    separator alone. All ids must be below the separator, so none is mistaken for it. Repeated rows
+    are documents of their own; an empty table gives no documents. Other columns are not read.
     """
     rows = docs.select(text_column(docs, text_col).alias("text")).mapInArrow(_token_rows(path or default_tokenizer(), separator, width), "value binary")
     end = separator.to_bytes(width, "little").decode("latin-1")
@@ -60,6 +63,24 @@ def write_token_files(
     writer.option("lineSep", end).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", file_documents).text(target)
 
 
+def document_places(docs: DataFrame, id_col: str = "doc_id", file_documents: int = FILE_DOCUMENTS) -> DataFrame:
+    """(file, document, id): where ``write_token_files`` puts each document of the same scan.
+
+    A task writes its rows in order, so a row's place follows from its partition and its position there.
+    ``docs`` is a plain scan of files, which Spark cuts alike whenever it reads them, whatever the columns.
+    """
+    at = F.monotonically_increasing_id()
+    placed = docs.select(docs[id_col].alias("id"), at.alias("at"))
+    position = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    file = F.format_string("%05d-%03d", F.shiftright("at", 33), F.floor(position / file_documents))
+    return placed.select(file.alias("file"), (position % file_documents).alias("document"), "id")
+
+
+def file_number(path: str = "path") -> Column:
+    """The task and file number in Spark's names of files, which also hold a random part."""
+    return F.regexp_replace(path, r"^.*/part-(\d+)-.*-c(\d+)\.txt$", "$1-$2")
+
+
 def _open(path: str):
     """The file system of a path as Spark names it, and the path in it."""
     from urllib.parse import quote
@@ -186,6 +207,6 @@ def op2_token_counts(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = scratch_path(spark, "tokens")
     write_token_files(docs, folder)
-    found = scan_token_files(spark, folder)
-    # Spark's names of files hold a random part; the task and file numbers stay.
-    return found.select(F.regexp_replace("path", r"^.*/part-(\d+)-.*-c(\d+)\.txt$", "$1-$2").alias("file"), "document", "start", "n_tokens")
+    found = scan_token_files(spark, folder).withColumn("file", file_number())
+    named = found.join(document_places(docs).withColumnRenamed("id", "doc_id"), ["file", "document"])
+    return named.select("doc_id", "file", "document", "start", "n_tokens")

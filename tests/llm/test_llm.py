@@ -190,7 +190,7 @@ def test_decontamination(spark, words, empty):
     filler = " ".join(rng.choices(words, k=50))
     data = [(1, f"{filler} {items[1].upper()}, {filler}"), (2, " ".join(parts[15:]) + " || " + " ".join(parts[:15])), (3, filler), (4, " ".join(parts[:10])), (5, None), (6, "short one"), (7, "")]
     docs = spark.createDataFrame(data, "doc_id long, text string").selectExpr("*", "1 as item_id", "doc_id as coverage")
-    assert rows_of(contaminated(docs, benchmark), "doc_id", "item_id") == [(1, 1), (2, 0)]
+    assert rows_of(contaminated(docs, benchmark), "doc_id", "item_id") == [(1, 1), (2, 0), (6, 9)]
     left = clean_documents(docs, benchmark)
     assert left.columns == docs.columns and rows_of(left, "doc_id") == [(3,), (4,), (5,), (6,), (7,)]
     assert contaminated(empty, benchmark).count() == 0
@@ -252,6 +252,22 @@ def test_token_files(spark, docs, texts, empty, tmp_path):
     token_counts.write_token_files(empty, str(tmp_path / "none"))
 
 
+def test_token_counts_of_each_document(spark, texts, tmp_path):
+    """Also of a text that says the vocabulary's own separator."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    rows = [*enumerate([*texts, "hello <|endoftext|> world", None, ""]), (None, "no id")]
+    stored = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], SCHEMA).withColumns({n: F.lit("x") for n in ("file", "document", "path", "value", "at")})
+    stored.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    found = token_counts.op2_token_counts(spark, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.n_tokens) for r in found), key=repr) == sorted(((k, len(tokenizer.encode(t or "", add_special_tokens=False).ids)) for k, t in rows), key=repr)
+    places = token_counts.document_places(spark.read.parquet(f"{tmp_path}/documents.parquet"), file_documents=7)
+    assert places.groupBy("file").count().agg(F.max("count")).first()[0] == 7
+    with pytest.raises(Exception, match="separator"):
+        token_counts.write_token_files(stored, f"{tmp_path}/tokens", separator=100)
+
+
 def test_open_document_at_the_end_of_a_file(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(np.array([5, 6, 9, 9, 7], "<u4").tobytes())
     for block in (1, 2, 100):
@@ -379,7 +395,16 @@ def test_pipeline_stages_by_brute_force(spark, docs, texts, tmp_path):
         assert current.columns == columns, name
     languages = [(k, t) for k, t in enumerate(texts) if t and any(c.isalpha() for c in t)]
     common = Counter(key for _, t in languages for key in {line.strip().lower() for line in t.split("\n")} if key)
-    lines = [(k, "\n".join(x for x in t.split("\n") if not x.strip() or common[x.strip().lower()] < 10)) for k, t in languages]
+    lines, seen = [], set()
+    for k, t in languages:
+        left = []
+        for line in t.split("\n"):
+            key = line.strip().lower()
+            if not key or common[key] < 10 or key not in seen:
+                left.append(line)
+            seen.add(key)
+        if "".join(left).strip():
+            lines.append((k, "\n".join(left)))
     groups = brute_groups([t for _, t in lines])
     kept = [lines[k] for k, _, c in groups if k == c]
     kept = [(k, t) for k, t in kept if benchmark not in t]
@@ -388,10 +413,29 @@ def test_pipeline_stages_by_brute_force(spark, docs, texts, tmp_path):
 
 
 def test_pipeline_keeps_one_of_many_copies(spark, words):
+    """Of lines that many documents share the first stays, so no text is lost; copies left without a word go."""
     rng = random.Random(21)
     text = "\n".join(" ".join(rng.choices(words, k=8)) for _ in range(6))
-    own = [(k, f"{' '.join(rng.choices(words, k=12))}\nshared line") for k in range(100, 112)]
-    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in [*((k, text) for k in range(1, 13)), *own]], SCHEMA)
+    own = [" ".join(rng.choices(words, k=12)) for _ in range(12)]
+    near = [f"{line}\n{text.upper()}" for line in own]
+    rows = [*((k, text) for k in range(1, 13)), *enumerate(near, 100), (200, ""), (201, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], SCHEMA)
     left = corpus_pipeline.line_dedup(spark, docs, "")
-    assert {(r.text, r.n_chars) for r in left.where("doc_id < 100").collect()} == {(text, len(text))}
-    assert rows_of(corpus_pipeline.jaccard_join(spark, left, ""), "doc_id", "text") == sorted([(1, text), *((k, t.split("\n")[0]) for k, t in own)], key=repr)
+    expected = [(1, text, len(text)), *((k, line, len(line)) for k, line in enumerate(own, 100)), (200, "", 0), (201, None, None)]
+    assert rows_of(left, "doc_id", "text", "n_chars") == sorted(expected, key=repr)
+
+
+def test_clashing_names_in_stages(spark, words):
+    rng = random.Random(4)
+    texts = ["\n".join(" ".join(rng.choices(words, k=9)) for _ in range(3)) + "\ncommon line" for _ in range(12)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate([*texts, texts[0]])], SCHEMA)
+    extra = {name: F.lit(f"my {name}") for name in ("row", "_row", "bitmap", "_bitmap", "lowered", "_lowered", "keep_bitmap", "id", "node", "label")}
+    clash = docs.withColumns(extra)
+    found = line_dedup.drop_lines(clash, line_dedup.keep_bitmaps(clash))
+    kept = jaccard_join.keep_one(found)
+    clean = clean_documents(kept, spark.createDataFrame([(1, texts[3])], "item_id long, text string"))
+    assert clean.columns == clash.columns
+    rows = clean.collect()
+    assert sorted(r.doc_id for r in rows) == [k for k in range(12) if k != 3]
+    assert all(r[name] == f"my {name}" for r in rows for name in extra)
+    assert all("common line" not in r.text for r in rows)
