@@ -25,11 +25,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten or more of them share.
+    """Documents without repeated lines: of lines that ten or more of them share the first one stays.
 
-    A document that has no other lines, as each of ten copies, stays whole: the next stage keeps one of its group.
+    So no line is lost from the corpus. Copies that are left without a word go.
     """
-    left = drop_lines(docs, materialise(keep_bitmaps(docs)), spare_emptied=True)
+    left = drop_lines(docs, materialise(keep_bitmaps(docs, keep="first")), drop_emptied=True)
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 
