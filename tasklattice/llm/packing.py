@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -70,36 +71,41 @@ def _encode_words(words: list[bytes], path: str) -> None:
         part = several[at : at + JOINED_WORDS]
         joined = MARKER.encode().join(part).decode("utf-8", "replace")
         ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-        ends = [*np.flatnonzero(ids == marker).tolist(), len(ids)]
-        data, start = ids.tobytes(), 0
-        for word, end in zip(part, ends, strict=True):
-            _young[word] = data[4 * start : 4 * end]
-            start = end + 1
+        marks = 4 * np.flatnonzero(ids == marker)
+        data = ids.tobytes()
+        starts, ends = [0, *(marks + 4).tolist()], [*marks.tolist(), len(data)]
+        _young.update(zip(part, [data[a:b] for a, b in zip(starts, ends)], strict=True))
 
 
-def encode(text: bytes, path: str) -> bytes:
-    """The ids of a text, four bytes each, little-endian.
+def encode_all(texts: list[bytes], path: str) -> list[bytes]:
+    """The ids of each text, four bytes each, little-endian.
 
-    The vocabulary drops white space and no id spans it, so the text is cut at ASCII
+    The vocabulary drops white space and no id spans it, so texts are cut at ASCII
     white space and the ids of words met before are looked up.
     """
     global _young, _old
-    words = text.split()
+    split = [text.split() for text in texts]
     if path not in _tokenizers:
         _encode_words([], path)
-    missing = set(words).difference(_young)
+    missing = set(chain.from_iterable(split)).difference(_young)
     if _old:
-        known = [w for w in missing if w in _old]
+        known = missing.intersection(_old)
         _young.update((w, _old[w]) for w in known)
         missing.difference_update(known)
     if missing:
         _encode_words(list(missing), path)
-    out = b"".join(map(_young.__getitem__, words))
+    look_up = _young.__getitem__
+    out = [b"".join(map(look_up, words)) for words in split]
     if len(_young) > CACHED_WORDS:
         _old, _young = _young, {}
     return out
 
 
+def encode(text: bytes, path: str) -> bytes:
+    """The ids of one text."""
+    return encode_all([text], path)[0]
+
+
 def _cut(path: str, length: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
     step = 4 * length
@@ -110,8 +116,8 @@ def _cut(path: str, length: int, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         for batch in steps(batches):
             index, starts, lengths, crcs, totals = [], [], [], [], []
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                ids = encode(text, path) + end
+            for row, found in enumerate(encode_all(batch.column("text").to_pylist(), path)):
+                ids = found + end
                 for start in range(0, len(ids), step):
                     piece = ids[start : start + step]
                     index.append(row)

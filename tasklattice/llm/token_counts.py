@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tasklattice.llm.common import steps, text_column
-from tasklattice.llm.packing import default_tokenizer, encode
+from tasklattice.llm.packing import default_tokenizer, encode_all
 from tasklattice.session import materialise, scratch_path
 
 # Beyond the vocabulary, so that no text holds it, and within two bytes.
@@ -38,8 +38,8 @@ def _token_rows(path: str, separator: int, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         for batch in steps(batches):
             rows = []
-            for text in batch.column("text").to_pylist():
-                ids = np.frombuffer(encode(text, path), "<u4")
+            for found in encode_all(batch.column("text").to_pylist(), path):
+                ids = np.frombuffer(found, "<u4")
                 if len(ids) and int(ids.max()) >= separator:
                     raise ValueError(f"id {ids.max()} is not below the separator {separator}")
                 rows.append(ids.astype(kind).tobytes())
