@@ -16,7 +16,7 @@ from ..operators.listing import ListOptions
 from ..operators.replay import replay
 from ..schema import TASK_COLUMNS, TASK_SCHEMA
 from ..session import materialise, release, scratch_path
-from ..sources import exports
+from ..sources import buckets, exports
 from ..sources.tables import read_tasks, write_tasks
 from ..streaming import keyed_replay
 from ..streaming.capture import capture_stream, captured_rows
@@ -202,6 +202,27 @@ def _upsert(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(maintenance.upsert_fields(_tasks(spark, sf), changes, AT, "n").tasks)
 
 
+def _stored_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Changes of fields in a table stored by buckets, written back and read again."""
+    path = scratch_path(spark, "buckets")
+    buckets.write_buckets(_tasks(spark, sf), path)
+    changes = fx.derive(spark, sf, fx.FIELD_CHANGES)
+    after = maintenance.upsert_fields(buckets.read_buckets(spark, path), changes, AT, "n").tasks
+    buckets.write_back(spark, path, after.join(changes.select("id").distinct(), "id", "left_semi"))
+    return _shown(buckets.read_buckets(spark, path))
+
+
+def _stored_deletions(spark: SparkSession, sf: str) -> DataFrame:
+    """Deletions from a table stored by buckets."""
+    path = scratch_path(spark, "buckets")
+    buckets.write_buckets(_tasks(spark, sf), path)
+    stored = buckets.read_buckets(spark, path)
+    change = maintenance.delete_tasks(stored, fx.derive(spark, sf, fx.DELETIONS))
+    gone = stored.select("id").join(change.tasks.select("id"), "id", "left_anti")
+    buckets.write_back(spark, path, stored.limit(0), gone)
+    return _shown(buckets.read_buckets(spark, path))
+
+
 def _delete(spark: SparkSession, sf: str) -> DataFrame:
     change = maintenance.delete_tasks(_tasks(spark, sf), fx.derive(spark, sf, fx.DELETIONS))
     return change.tasks.select("id", F.lit("kept").alias("outcome")).unionByName(
@@ -454,6 +475,8 @@ QUERIES: dict[str, Query] = {
     "append_family": _append_family,
     "audit_upgraded": _audit_upgraded,
     "upsert_fields": _upsert,
+    "stored_changes": _stored_changes,
+    "stored_deletions": _stored_deletions,
     "delete_tasks": _delete,
     "transition_verdicts": _transition_verdicts,
     "apply_transitions": _transitions,

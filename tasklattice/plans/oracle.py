@@ -339,15 +339,16 @@ merged AS (SELECT id, parent, priority, state, kind, title, description, author,
 SELECT {SHOWN} FROM merged""",
     edits=fx.FIELD_CHANGES,
 )
-DELETE = with_tables(
-    """, doomed AS (SELECT DISTINCT id FROM asked WHERE id IN (SELECT id FROM tasks)),
+KEPT = """, doomed AS (SELECT DISTINCT id FROM asked WHERE id IN (SELECT id FROM tasks)),
 kept(id) AS (
   SELECT id FROM tasks WHERE id NOT IN (SELECT id FROM doomed)
-  UNION SELECT x.id FROM kept JOIN tasks t ON t.id = kept.id JOIN tasks x ON x.id = t.parent OR x.id = t.blocked_by)
-SELECT id, 'kept' AS outcome FROM kept UNION ALL SELECT id, 'refused' FROM kept WHERE id IN (SELECT id FROM doomed)""",
+  UNION SELECT x.id FROM kept JOIN tasks t ON t.id = kept.id JOIN tasks x ON x.id = t.parent OR x.id = t.blocked_by)"""
+DELETE = with_tables(
+    f"{KEPT} SELECT id, 'kept' AS outcome FROM kept UNION ALL SELECT id, 'refused' FROM kept WHERE id IN (SELECT id FROM doomed)",
     recursive=True,
     asked=fx.DELETIONS,
 )
+DELETED_TABLE = with_tables(f"{KEPT} SELECT {SHOWN} FROM tasks WHERE id IN (FROM kept)", recursive=True, asked=fx.DELETIONS)
 
 RULES = """(VALUES ('accept', 'INBOX', 'NEW'), ('reject', 'INBOX', 'INVALID'), ('in-progress', 'NEW', 'IN_PROGRESS'),
   ('in-progress', 'DONE', 'IN_PROGRESS'), ('in-progress', 'CANCELLED', 'IN_PROGRESS'), ('done', 'NEW', 'DONE'),
@@ -634,6 +635,8 @@ SQL: dict[str, str] = {
     "append_family": APPEND_FAMILY,
     "audit_upgraded": AUDIT_UPGRADED,
     "upsert_fields": UPSERT,
+    "stored_changes": UPSERT,
+    "stored_deletions": DELETED_TABLE,
     "delete_tasks": DELETE,
     "transition_verdicts": VERDICTS,
     "apply_transitions": APPLIED,
