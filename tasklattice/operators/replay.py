@@ -195,7 +195,7 @@ def _rounds(tasks: DataFrame, log: DataFrame) -> tuple[DataFrame | None, int]:
     waiting = materialise(
         tasks.select("id", "parent").join(told, "id", "left_semi").join(parents_of(tasks), "id", "left_semi")
     )
-    settled, count = None, 0
+    spark, path, count = tasks.sparkSession, scratch_path(tasks.sparkSession, "replay-rounds"), 0
     while not waiting.isEmpty():
         held = waiting.where(F.col("parent").isNotNull()).select(F.col("parent").alias("id")).distinct()
         marked = materialise(waiting.join(held.withColumn("held", F.lit(True)), "id", "left"))
@@ -203,10 +203,22 @@ def _rounds(tasks: DataFrame, log: DataFrame) -> tuple[DataFrame | None, int]:
         if ready.isEmpty():
             raise ValueError("parent links form a cycle")
         count += 1
-        placed = ready.select("id", F.lit(count).alias("round"))
-        settled = placed if settled is None else settled.unionByName(placed)
+        ready.select("id").write.parquet(f"{path}/round={count}")
         waiting = marked.where("held").select("id", "parent")
-    return settled, count
+    return (spark.read.schema("id string, round int").parquet(path) if count else None), count
+
+
+def _open_at_start(nodes: DataFrame, waiting: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For all waiting parents at once, by their round: how many children are open from the start
+    (id, n, round), and when others come to be (id, seq, delta, round)."""
+    held = nodes.where(F.col("parent").isNotNull() & open_child()).select(F.col("parent").alias("id"), "born")
+    path = scratch_path(nodes.sparkSession, "replay-open")
+    first = held.where("born IS NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n")).join(waiting, "id")
+    first.write.partitionBy("round").parquet(f"{path}/first")
+    later = held.where("born IS NOT NULL").join(waiting, "id")
+    later.select("id", F.col("born").alias("seq"), F.lit(1).alias("delta"), "round").write.partitionBy("round").parquet(f"{path}/later")
+    read = lambda name, schema: nodes.sparkSession.read.schema(f"{schema}, round int").parquet(f"{path}/{name}")
+    return read("first", "id string, n long"), read("later", "id string, seq long, delta int")
 
 
 def _with_guard(rows: DataFrame, flips: DataFrame, opened: DataFrame) -> DataFrame:
@@ -302,20 +314,16 @@ def replay(tasks: DataFrame, log: DataFrame, hot_commands: int = HOT_COMMANDS) -
     strays = work.where(F.col("round") == STRAY).withColumns(
         {"from_state": F.lit(None).cast("string"), "children_ok": F.lit(True)}
     )
+    if last_round:
+        opened, births = _open_at_start(nodes, waiting)
     for number in range(last_round + 1):
         rows = work.where(F.col("round") == number).drop("round")
         if number == 0:
             rows = rows.withColumn("children_ok", F.lit(True))
         else:
-            ready = waiting.where(F.col("round") == number).select("id")
-            held = nodes.where(F.col("parent").isNotNull() & open_child()).select(F.col("parent").alias("id"), "born")
-            opened = held.where("born IS NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-            births = (
-                held.where("born IS NOT NULL")
-                .join(ready, "id", "left_semi")
-                .select("id", F.col("born").alias("seq"), F.lit(1).alias("delta"))
-            )
-            rows = _with_guard(rows, _flips(recorded(), number).unionByName(births), opened)
+            mine = F.col("round") == number
+            flips = _flips(recorded(), number).unionByName(births.where(mine).drop("round"))
+            rows = _with_guard(rows, flips, opened.where(mine).drop("round"))
         finished = _run(rows, hot_span).withColumn("round", F.lit(number))
         record(finished if number else finished.unionByName(strays.select(*finished.columns)))
 
