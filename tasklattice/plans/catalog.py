@@ -269,6 +269,26 @@ def _search_documents(spark: SparkSession, sf: str) -> DataFrame:
     return textindex.search_index(index, fx.derive(spark, sf, fx.TEXT_SEARCHES)).withColumnRenamed("id", "doc_id")
 
 
+# Spellings of filter values: accepted ones in any letter case, with a hyphen or an underscore, and refused ones.
+SPELLINGS = (
+    ("state", "in-progress"), ("state", "IN_PROGRESS"), ("state", "In-Progress"), ("state", "done"), ("state", "Cancelled"), ("state", "inbox"), ("state", "open"),
+    ("priority", "HIGH"), ("priority", "Low"), ("priority", "urgent"), ("kind", "bug"), ("kind", "Regression"), ("kind", "chore"),
+)
+
+
+def _filter_spellings(spark: SparkSession, sf: str) -> DataFrame:
+    """How many tasks a filter value selects, or why it is refused; all counted in one pass."""
+    rows = []
+    for name, spelling in SPELLINGS:
+        try:
+            value = getattr(ListOptions(**{name: spelling}), name)
+            found, error = F.count_if(F.col(name) == value), F.lit("")
+        except ValueError as refusal:
+            found, error = F.lit(0).cast("long"), F.lit(str(refusal))
+        rows.append(F.struct(F.lit(name).alias("filter"), F.lit(spelling).alias("spelling"), found.alias("n"), error.alias("error")))
+    return _tasks(spark, sf).agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+
+
 def _all_in_inbox(spark: SparkSession, sf: str) -> DataFrame:
     return _tasks(spark, sf, busy=True).withColumn("state", F.lit("INBOX"))
 
@@ -415,6 +435,7 @@ QUERIES: dict[str, Query] = {
     "list_by_kind": _top(ListOptions(kind="bug", show_done=True, limit=50)),
     "list_by_tag": _top(ListOptions(tag="UI", limit=100)),
     "list_by_exact_tag": _top(ListOptions(tag="ui", tag_match="exact", limit=100)),
+    "filter_spellings": _filter_spellings,
     "list_blocked": _all(ListOptions(blocked=True, limit=0)),
     "list_done": lambda s, d: _numbered(listing.matching(_tasks(s, d), ListOptions(state="DONE", all=True))),
     "list_cancelled": lambda s, d: _numbered(listing.list_cancelled(_tasks(s, d))),

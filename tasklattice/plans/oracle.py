@@ -543,7 +543,22 @@ HEREDOC_BODY = (
     + " ELSE description END"
 )
 
+FILTER_SPELLINGS = with_tables(
+    """, said(filter, spelling, value, error) AS (VALUES
+  ('state', 'in-progress', 'IN_PROGRESS', NULL), ('state', 'IN_PROGRESS', 'IN_PROGRESS', NULL), ('state', 'In-Progress', 'IN_PROGRESS', NULL),
+  ('state', 'done', 'DONE', NULL), ('state', 'Cancelled', 'CANCELLED', NULL),
+  ('state', 'inbox', NULL, 'invalid state: inbox (must be one of NEW, IN_PROGRESS, DONE, CANCELLED)'),
+  ('state', 'open', NULL, 'invalid state: open (must be one of NEW, IN_PROGRESS, DONE, CANCELLED)'),
+  ('priority', 'HIGH', 'high', NULL), ('priority', 'Low', 'low', NULL),
+  ('priority', 'urgent', NULL, 'invalid priority: urgent (must be one of high, medium, low)'),
+  ('kind', 'bug', 'BUG', NULL), ('kind', 'Regression', 'REGRESSION', NULL),
+  ('kind', 'chore', NULL, 'invalid kind: chore (must be one of BUG, FEATURE, REGRESSION)'))
+SELECT s.filter, s.spelling, coalesce(s.error, '') AS error, count(t.id) AS n
+FROM said s LEFT JOIN tasks t ON CASE s.filter WHEN 'state' THEN t.state WHEN 'priority' THEN t.priority ELSE t.kind END = s.value GROUP BY ALL"""
+)
+
 SQL: dict[str, str] = {
+    "filter_spellings": FILTER_SPELLINGS,
     "list_default": listed(DEFAULT, limit=20),
     "list_all": listed("true"),
     "list_open": listed(OPEN),
