@@ -293,6 +293,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def feed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the test tables as a stream; a table is one file or a folder of them.
+
+    A stream refuses the plain path of a file, but takes a pattern that fits the file or the folder.
+    """
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Hand a table of few files to all cores; one of many files is left as it is.
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
 from datetime import timedelta
 
+import pyarrow.parquet as pq
 import pytest
 from conftest import START
 from pyspark.sql import functions as F
 from test_replay import make_case, model
 
+from tasklattice.plans import fixture as fx
 from tasklattice.streaming import keyed_replay as kr
 from tasklattice.streaming.capture import arrivals, capture_stream, captured_tasks, quarantine
 from tasklattice.streaming.state import state_partitions
@@ -98,3 +101,20 @@ def test_late_messages_are_in_the_quarantine(spark, tmp_path):
         run(spark, capture_stream(feed, out, "n", event_time="at"))
     assert [r.title for r in captured_tasks(spark, out).collect()] == ["A"]
     assert [(r.n, r.error) for r in quarantine(spark, out).collect()] == [(2, "came later than the watermark")]
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_a_feed_of_a_file_and_of_a_folder(spark, tmp_path, parts):
+    """A table is streamed whole in either layout, and no other table beside it."""
+    table = str(tmp_path / "documents.parquet")
+    spark.range(20).repartition(3).write.parquet(table)
+    if parts == 1:
+        single = spark.read.parquet(table).toArrow()
+        table = str(tmp_path / "one" / "documents.parquet")
+        (tmp_path / "one").mkdir()
+        pq.write_table(single, table)
+    folder = os.path.dirname(table)
+    spark.range(7).write.parquet(f"{folder}/events.parquet")
+    writer = fx.feed(spark, folder, "documents").writeStream.format("parquet").option("path", f"{folder}/out")
+    run(spark, writer.option("checkpointLocation", f"{folder}/checkpoint"))
+    assert sorted(r.id for r in spark.read.parquet(f"{folder}/out").collect()) == list(range(20))
