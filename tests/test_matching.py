@@ -134,6 +134,17 @@ def test_search_many(spark, tasks, rows):
     assert len(got) == len(expected)
 
 
+def test_search_many_writes_no_postings(spark, tasks, monkeypatch):
+    """What is written grows with the queries, not with the texts or with what they share."""
+    written = []
+    for module in (matching, textindex):
+        plain = module.materialise
+        monkeypatch.setattr(module, "materialise", lambda df, plain=plain: (table := plain(df), written.append(table.count()))[0])
+    queries = spark.createDataFrame([("order%1",), ("menu 1",), ("k m",)], "q string")
+    assert matching.search_many(tasks, queries).count() > 0
+    assert max(written) <= 3
+
+
 def test_fuzzy_titles(spark, make_tasks):
     """Titles of 1 to 80 letters, equal ones, and refs with up to three typing errors."""
     rng = random.Random(5)
