@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..session import materialise, release
 
+HASH = F.xxhash64
+
 
 def single_links(rows: DataFrame, link: str) -> DataFrame:
     """(id, to) for every id with a link, written; an id on several rows has its smallest link."""
@@ -22,6 +24,14 @@ def _doubled(hops: DataFrame) -> DataFrame:
     return materialise(hops.join(further, "to").select("id", F.col("next").alias("to")))
 
 
+def _hashed(links: DataFrame) -> DataFrame | None:
+    """The links by 64-bit hashes of their ids, written; None if two of the ids have one hash, as a second hash tells."""
+    ids = links.select("id").unionByName(links.select(F.col("to").alias("id")))
+    other = F.xxhash64(F.lit(1), F.col("id"))
+    shared = ids.groupBy(HASH("id").alias("hash")).agg(F.min(other).alias("low"), F.max(other).alias("high")).where("low <> high")
+    return materialise(links.select(HASH("id").alias("id"), HASH("to").alias("to"))) if shared.isEmpty() else None
+
+
 def on_cycles(links: DataFrame) -> DataFrame:
     """The links (id, to) whose ids stand on a cycle; ``links`` come from ``single_links``.
 
@@ -30,18 +40,24 @@ def on_cycles(links: DataFrame) -> DataFrame:
     arrive are fewer and fewer, until all of them stand on a cycle: then a step only
     moves them about, and a round finds as many. Rounds grow with the logarithm of the
     longest chain outside of cycles, whatever the cycles' lengths.
+
+    The rounds move hashes of the ids, which are shorter; if two ids share a hash, they move the ids.
     """
-    measure = lambda hops: tuple(hops.agg(F.count(F.lit(1)), F.count_distinct("to")).first())
-    hops, size = links, measure(links)
-    while size[0]:
+    short = _hashed(links)
+    hops = links if short is None else short
+    arrivals = lambda hops: hops.agg(F.count_distinct("to")).first()[0]
+    size = hops.count()
+    while size:
         longer = _doubled(hops)
+        before, size = size, longer.count()
+        done = size == before and arrivals(longer) == arrivals(hops)
         if hops is not links:
             release(hops)
-        before, hops, size = size, longer, measure(longer)
-        if size == before:
+        hops = longer
+        if done:
             break
-    arrived = hops.select(F.col("to").alias("id")).distinct()
-    return links.join(arrived, "id", "left_semi")
+    arrived = hops.select(F.col("to").alias("_arrived")).distinct()
+    return links.join(arrived, (F.col("id") if short is None else HASH("id")) == F.col("_arrived"), "left_semi")
 
 
 def reached(seeds: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:

@@ -4,6 +4,7 @@ import random
 
 import pytest
 from conftest import sha, task
+from pyspark.sql import functions as F
 
 from tasklattice.operators import links, maintenance
 
@@ -42,6 +43,19 @@ def test_cycles_and_closures_of_random_links(spark, seed):
     assert sorted(got) == sorted(wanted) and count == len(got)
 
 
+def test_rounds_move_hashes_unless_two_ids_share_one(spark, monkeypatch):
+    """Rounds write longs in place of ids; with a hash of few values they write the ids, and find the same."""
+    table = links.single_links(spark.createDataFrame([(f"n{i}", f"n{max(i - 1, i // 10 * 10) if i % 10 else i + 9}") for i in range(40)], PAIRS), "link")
+    plain, kinds = links.materialise, []
+    monkeypatch.setattr(links, "materialise", lambda df: kinds.append(dict(df.dtypes)["to"]) or plain(df))
+    found = [sorted(map(tuple, links.on_cycles(table).collect()))]
+    assert len(found[0]) == 40 and set(kinds) == {"bigint"}
+    kinds.clear()
+    monkeypatch.setattr(links, "HASH", lambda column: F.crc32(F.col(column) if isinstance(column, str) else column) % 7)
+    found.append(sorted(map(tuple, links.on_cycles(table).collect())))
+    assert found[0] == found[1] and set(kinds) == {"string"}
+
+
 def test_an_id_on_several_rows_has_its_smallest_link(spark):
     rows = spark.createDataFrame([("a", "b"), ("a", "a"), ("b", "a"), ("b", "a")], PAIRS)
     assert [tuple(r) for r in links.on_cycles(links.single_links(rows, "link")).collect()] == [("a", "a")]
