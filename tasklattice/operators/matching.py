@@ -356,11 +356,10 @@ def fuzzy_match(refs: DataFrame, tasks: DataFrame) -> DataFrame:
     return _with_refs(hits, refs)
 
 
-# Grams of titles, and how many of them two edits can touch.
-TITLE_GRAM = 3
-TOUCHED = TITLE_GRAM * MAX_EDITS
-# Titles of up to this length have too few grams for the edits to leave one among the rarest.
-SHORT_TITLE = TITLE_GRAM + TOUCHED - 1
+# Up to this length a title is matched by what is left of it without two characters.
+SHORT_TITLE = 14
+# Longer ones are cut behind so many characters: the shortest length of a class of titles, and its cut.
+CUTS = ((97, 48), (69, 34), (46, 23), (31, 15), (21, 10), (0, 7))
 
 
 def _left_over(text: Column) -> Column:
@@ -371,45 +370,57 @@ def _left_over(text: Column) -> Column:
     return F.array_distinct(F.concat(F.array(text), one, two))
 
 
-def _title_grams(texts: DataFrame, text: str) -> DataFrame:
-    """(text, at, gram) for every place in the texts."""
-    cut = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{TITLE_GRAM}}}))"), F.lit(1))
-    return texts.select(text, F.posexplode(cut).alias("at", "gram"))
+def _cut(length: Column) -> Column:
+    return C.cases(((length >= least, at) for least, at in CUTS), CUTS[-1][1])
 
 
-def _rarest_grams(grams: DataFrame, text: str, counts: DataFrame) -> DataFrame:
-    """The rarest grams of each text with their places, one more than two edits can touch."""
-    rarity = F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram"), F.col("at"))
-    chosen = F.slice(F.array_sort(F.collect_list(rarity)), 1, TOUCHED + 1)
-    few = grams.join(counts, "gram", "left").groupBy(text).agg(chosen.alias("few"))
-    return few.select(text, F.explode("few").alias("one")).select(text, "one.gram", "one.at")
+def _cut_keys(text: Column, at: Column, side: int, slack: int) -> Column:
+    """Hashes of the start of a text without one character each, and of the rest, cut up to ``slack`` places away."""
+    start = F.transform(_without_one(F.substring(text, F.lit(1), at)), lambda left: F.xxhash64(F.lit(side), at, left))
+    rest = [F.xxhash64(F.lit(side + 1), at, F.substring(text, at + 1 + shift, F.length(text))) for shift in range(-slack, slack + 1)]
+    return F.array_distinct(F.concat(start, F.array(*rest)))
+
+
+def _long_pairs(lookups: DataFrame, titles: DataFrame) -> DataFrame:
+    """(low_ref, low_title): all pairs within two edits, and others, of texts too long to leave out two characters.
+
+    Cut a ref in two: of two edits one at most is before the cut, or none behind it. So its start and
+    the title's are alike without one character each, or the rest is the same. The same holds of both
+    read backwards, and a ref takes the way that leads to fewer titles.
+    """
+    size, backwards = F.length("low_title"), 2
+    places = F.array_distinct(F.array(_cut(size - MAX_EDITS), _cut(size + MAX_EDITS)))
+    keys_of = lambda at: F.concat(_cut_keys(F.col("low_title"), at, 0, MAX_EDITS), _cut_keys(F.reverse("low_title"), at, backwards, MAX_EDITS))
+    every = F.flatten(F.transform(places, keys_of))
+    title_keys = titles.select(F.xxhash64("low_title").alias("title"), F.explode(every).alias("key"))
+    at = _cut(F.length("low_ref"))
+    way = lambda side, text: F.struct(F.lit(side).alias("side"), _cut_keys(text, at, side, 0).alias("keys"))
+    ways = F.array(way(0, F.col("low_ref")), way(backwards, F.reverse("low_ref")))
+    by_way = lookups.select(F.xxhash64("low_ref").alias("ref"), F.explode(ways).alias("way"))
+    ref_keys = materialise(by_way.select("ref", "way.side", F.explode("way.keys").alias("key")))
+
+    met = materialise(title_keys.join(ref_keys.select("key").distinct(), "key", "left_semi"))
+    counts = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    costs = ref_keys.join(counts, "key", "left").groupBy("ref", "side").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    taken = materialise(costs.groupBy("ref").agg(F.min_by("side", F.struct("n", "side")).alias("side")))
+    pairs = materialise(ref_keys.join(taken, ["ref", "side"])).join(met, "key").select("ref", "title").distinct()
+    named = materialise(pairs).join(lookups.withColumn("ref", F.xxhash64("low_ref")), "ref")
+    return named.join(titles.withColumn("title", F.xxhash64("low_title")), "title").select("low_ref", "low_title")
 
 
 def fuzzy_titles(refs: DataFrame, tasks: DataFrame) -> DataFrame:
     """Up to three tasks per ref whose titles are within two edits of it: (ref, pos, id, title, distance).
 
     Nearest first, then in list order; closed tasks are left out, letter case does not count. Equal
-    titles are compared once. Two edits touch six grams of a title at most, so of the seven rarest
-    grams of the ref and of the title, rated by the same counts, one is common to both, moved by two places at
-    most. What shares one must share all but six of its different grams, and then the edits are
-    counted. Short titles meet by what is left of them without two characters.
+    titles are compared once. Short titles meet by what is left of them without two characters, longer
+    ones by the parts before and behind a cut (see ``_long_pairs``).
     """
     size = F.length("low_ref")
     lookups = materialise(_lower_refs(refs))
     named = materialise(_first_hits(_candidates(tasks).select("id", "title", "low_title", "place"), ["low_title"], [F.col("place")]).drop("pos"))
     titles = materialise(named.select("low_title").distinct())
-
     long_title, long_ref = F.length("low_title") > SHORT_TITLE, size > SHORT_TITLE
-    title_grams = materialise(_title_grams(titles.where(long_title), "low_title"))
-    counts = materialise(title_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
-    few_titles = _rarest_grams(title_grams, "low_title", counts)
-    few_refs = _rarest_grams(_title_grams(lookups.where(long_ref), "low_ref"), "low_ref", counts)
-    met = materialise(few_titles).join(materialise(few_refs.withColumnRenamed("at", "ref_at")), "gram")
-    near = (F.abs(F.col("at") - F.col("ref_at")) <= MAX_EDITS) & (F.abs(F.length("low_title") - size) <= MAX_EDITS)
-    pairs = met.where(near).select("low_ref", "low_title").distinct()
-    grams = lambda text: F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{TITLE_GRAM}}}))"), F.lit(1)))
-    shared = F.size(F.array_intersect(grams("low_ref"), grams("low_title")))
-    pairs = pairs.where(shared >= F.size(grams("low_ref")) - TOUCHED)
+    pairs = _long_pairs(lookups.where(long_ref), titles.where(long_title))
 
     # One of a pair is short, the other at most two characters longer.
     left_ref = lookups.where(size <= SHORT_TITLE + MAX_EDITS).select("low_ref", F.explode(_left_over(F.col("low_ref"))).alias("left"))

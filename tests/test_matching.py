@@ -172,6 +172,24 @@ def test_fuzzy_titles(spark, make_tasks):
     assert set(got) == expected and len(got) == len(expected)
 
 
+def test_long_titles_alike_in_most_parts_meet_few(spark):
+    """Titles of the same words and other numbers: all near pairs, and few beside them."""
+    rng = random.Random(9)
+    titles = [f"order {rng.randrange(10**6)} for customer {rng.randrange(10**5)}" for _ in range(300)]
+    titles += [f"review of customer {n} <c{n}@example.com>" for n in rng.sample(range(10**5), 100)]
+    refs = []
+    for text in rng.sample(titles, 60):
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(text) + 1)
+            text = text[:at] + rng.choice(["", "z", "7"]) + text[at + rng.randrange(2) :]
+        refs.append(text)
+    low = lambda texts, name: spark.createDataFrame([(t,) for t in sorted(set(texts))], f"{name} string")
+    pairs = {tuple(r) for r in matching._long_pairs(low(refs, "low_ref"), low(titles, "low_title")).collect()}
+    near = {(r, t) for r in set(refs) for t in set(titles) if abs(len(r) - len(t)) <= 2 and distance(r, t) <= 2}
+    assert not near - pairs
+    assert len(pairs) < 20 * len(refs)
+
+
 def test_stored_index(spark, tmp_path):
     """Long texts, null ones, repeated rows; queries that cross lines, hold quotes of patterns, or are nearly empty."""
     rng = random.Random(8)
