@@ -121,6 +121,14 @@ def test_fuzzy(spark, tasks, rows):
     assert {h for _, _, h, _, _ in got} == {"prefix", "substring", "distance"}
 
 
+def test_stretches_of_lookups_are_not_broadcast(spark, monkeypatch):
+    plans, plain = [], matching.materialise
+    monkeypatch.setattr(matching, "materialise", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df))
+    lookups = plain(spark.createDataFrame([(sha(n)[:30],) for n in range(20)], "low_ref string"))
+    assert matching._anchored(lookups, "low_ref", F.array("low_ref")).count() == 20
+    assert "SortMergeJoin [anchor" in plans[0]
+
+
 def test_search_many(spark, tasks, rows):
     queries = ["order", "ORDER c", "leak%1", "_", "%", "", "50%", "50\\%", "a_b", "x\\y", "\\", "crash menu 1", "%%", "r_1", "none such", "menu%crash", "o"]
     expected = set()
