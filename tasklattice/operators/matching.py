@@ -9,6 +9,8 @@ if that is below the session's threshold.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,9 +27,8 @@ MAX_SUGGESTIONS = 3
 # Starts of ids up to this length are few, so only the first ids of each are compared.
 SHORT_LENGTH = 5
 MAX_EDITS = 2
-# Up to this length a lookup is matched by leaving out two characters, above it
-# by one of three pieces that two edits must leave whole.
-MAX_DELETION_LENGTH = 12
+# A filter of wanted keys has eight bits a key, and no more than 16 MB; its words come in pages.
+KEY_BITS, MOST_BITS, PAGE = 8, 27, 12
 # A text is looked up by one piece of it, an anchor, of one of these lengths.
 ANCHOR_LENGTHS = (6, 3, 1)
 # Texts of tasks share most of their words, so searches in them have longer anchors and more lengths to choose from.
@@ -40,13 +41,43 @@ def _with_lengths(rows: DataFrame, texts: DataFrame, text: str) -> DataFrame:
     return rows.withColumn("_lengths", lengths).select("*", F.explode("_lengths").alias("_length")).drop("_lengths")
 
 
+def _wanted(keys: DataFrame) -> Callable[[Column], Column]:
+    """A test for texts before they are shuffled: true of every key (one column), false of most other texts.
+
+    One bit per hash, in pages of words that each task gets with its plan. Of more keys than there is
+    room for, more of the other texts pass; the join behind it decides.
+    """
+    table = materialise(keys.select(F.xxhash64(*keys.columns).alias("hash")))
+    size = 1 << min(MOST_BITS, max(PAGE + 6, (KEY_BITS * table.count()).bit_length()))
+    slot = lambda hashed: F.pmod(hashed, F.lit(size).cast("long"))
+    part = lambda at, low, high: F.shiftright(at, low).bitwiseAND(F.lit((1 << high) - 1)).cast("int")
+    words = (
+        table.select(slot(F.col("hash")).alias("at"))
+        .groupBy(F.shiftright("at", 6).alias("id"))
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), part(F.col("at"), 0, 6))).alias("bits"))
+    )
+    every = keys.sparkSession.range(size >> 6).join(words, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    in_order = lambda name, value: F.transform(F.sort_array(F.collect_list(F.struct(name, value))), lambda x: x[value])
+    pages = every.groupBy(F.shiftright("id", PAGE).alias("page")).agg(in_order("id", "bits").alias("words"))
+    stored = materialise(pages.agg(in_order("page", "words").alias("pages")))
+    release(table)
+
+    def test(text: Column) -> Column:
+        at = slot(F.xxhash64(text))
+        word = F.get(F.get(stored.scalar(), part(at, PAGE + 6, MOST_BITS)), part(at, 6, PAGE))
+        return F.getbit(word, part(at, 0, 6)) == 1
+
+    return test
+
+
 def _heads(ids: DataFrame, prefixes: DataFrame, name: str) -> DataFrame:
-    """The starts of the ids, in lower case, in every length a prefix has."""
+    """The starts of the ids, in lower case, that may be among the prefixes."""
     return (
         _with_lengths(ids, prefixes, name)
         .where(F.length("id") >= F.col("_length"))
         .withColumn(name, F.substring(F.lower("id"), F.lit(1), F.col("_length")))
         .drop("_length")
+        .where(_wanted(prefixes.select(name))(F.col(name)))
     )
 
 
@@ -177,11 +208,23 @@ def _stretches(rows: DataFrame, texts: list[str], anchors: DataFrame, lengths: t
     return rows.withColumn("_sizes", sizes).select(*rows.columns, F.explode(every).alias("anchor"))
 
 
+def _possible(lookups: DataFrame, rows: DataFrame, text: str) -> DataFrame:
+    """The lookups (low_ref) without those that hold a stretch of three letters, or a letter, that no text has."""
+    size = F.when(F.length("low_ref") < 3, 1).otherwise(3)
+    places = F.sequence(F.lit(1), F.length("low_ref") - size + 1)
+    asked = lookups.select("low_ref", F.explode(F.transform(places, lambda at: F.substring("low_ref", at, size))).alias("anchor"))
+    every = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in (1, 3)]
+    found = materialise(rows.where(F.col(text).isNotNull()).select(F.explode(F.concat(*every)).alias("anchor")).distinct())
+    vain = asked.distinct().join(found, "anchor", "left_anti").select("low_ref").distinct()
+    return materialise(lookups.join(vain, "low_ref", "left_anti"))
+
+
 def _containing(rows: DataFrame, text: str, lookups: DataFrame) -> DataFrame:
     """Join rows with the lookups (low_ref) that their text contains. The text should be short."""
-    anchored = _anchored(lookups, "low_ref", F.array("low_ref"))
+    anchored = _anchored(_possible(lookups, rows, text), "low_ref", F.array("low_ref"))
     return (
         _stretches(rows, [text], anchored)
+        .where(_wanted(anchored.select("anchor"))(F.col("anchor")))
         .join(anchored, "anchor")
         .where(F.contains(text, "low_ref"))
         .drop("anchor")
@@ -201,8 +244,8 @@ def _lower_refs(refs: DataFrame) -> DataFrame:
 
 def _prefix_hits(lookups: DataFrame, candidates: DataFrame) -> DataFrame:
     """The first few tasks whose id starts with the lookup (low_ref)."""
-    heads = _heads(candidates.select("id", "title", "place"), lookups, "low_ref")
-    return _first_hits(heads.join(lookups, "low_ref"), ["low_ref"], [F.col("place")])
+    heads = _heads(candidates, lookups, "low_ref")
+    return _first_hits(heads.join(lookups.hint("merge"), "low_ref"), ["low_ref"], [F.col("place")])
 
 
 def _with_refs(hits: DataFrame, refs: DataFrame) -> DataFrame:
@@ -221,7 +264,7 @@ def suggest(refs: DataFrame, tasks: DataFrame) -> DataFrame:
     lookups = materialise(_lower_refs(unresolved))
     candidates = _candidates(tasks)
 
-    by_prefix = materialise(_prefix_hits(lookups, candidates).withColumn("hit", F.lit("prefix")))
+    by_prefix = materialise(_prefix_hits(lookups, candidates.select("id", "title", "place")).withColumn("hit", F.lit("prefix")))
     rest = lookups.join(by_prefix.select("low_ref").distinct(), "low_ref", "left_anti")
     in_id = _containing(candidates.select("low_id", "id", "title", "place"), "low_id", rest)
     in_title = _containing(candidates.select("low_title", "id", "title", "place"), "low_title", rest)
@@ -262,50 +305,28 @@ def _without_one(text: Column) -> Column:
     )
 
 
-def _pieces(text: Column, length: Column, slack: int) -> Column:
-    """A third of ``length`` each, tagged with its place; ``slack`` shifts the cut either way."""
-    third = F.floor(length / 3).cast("int")
-    tag = lambda part, at: F.concat(
-        part.cast("string"), F.lit(":"), F.substring(text, at, F.when(part < 2, third).otherwise(length - 2 * third))
-    )
-    cut = F.transform(
-        F.array(F.lit(0), F.lit(1), F.lit(2)),
-        lambda part: F.transform(
-            F.sequence(F.lit(-slack), F.lit(slack)),
-            lambda shift: F.when(part * third + shift >= 0, tag(part, part * third + shift + 1)),
-        ),
-    )
-    return F.array_distinct(F.array_compact(F.flatten(cut)))
-
+def _fuzzy_keys(text: Column, length: Column) -> Column:
+    """Texts that the start of a lookup, ``length`` characters, shares with that of any id at most two edits away.
 
-def _fuzzy_keys(text: Column, length: Column, slack: int) -> Column:
-    """Keys that a lookup of ``length`` characters shares with any text at most two edits away.
-
-    ``text`` is the lookup or the start of an id, up to two characters shorter. Two
-    edits leave a text in common that lacks two characters of the lookup.
-    Long lookups have too many such texts; of their three pieces two edits leave
-    one whole, shifted by two places at most. Lookups of one or two characters are
-    within two edits of everything.
+    ``text`` is the start of the lookup or of the id, which may be up to two characters shorter. Whatever follows
+    it, two edits leave a text in common that lacks two characters of ``length``. Lookups of one
+    or two characters are within two edits of everything.
     """
     missing = length - F.length(text)
     dropped = F.when(missing == 0, _without_two(text)).when(missing == 1, _without_one(text)).otherwise(F.array(text))
-    return (
-        F.when(length <= MAX_EDITS, F.array(F.lit("")))
-        .when(length <= MAX_DELETION_LENGTH, dropped)
-        .otherwise(_pieces(text, length, slack))
-    )
+    return F.when(length <= MAX_EDITS, F.array(F.lit(""))).otherwise(dropped)
 
 
-def _starts(candidates: DataFrame, lookups: DataFrame) -> DataFrame:
-    """The starts of the ids that a lookup may be near to, in every length the lookups have.
+def _starts(ids: DataFrame, keyed_refs: DataFrame) -> DataFrame:
+    """(place, head, _length): the starts of the ids (place, low_id) in every length that keys were made from.
 
     All ids with one short start are as near to a lookup, so the first few will do.
     """
     starts = (
-        _with_lengths(candidates.select("id", "low_id", "place"), lookups, "low_ref")
+        _with_lengths(ids, keyed_refs, "_start")
         .withColumn("head", F.substring("low_id", F.lit(1), F.col("_length")))
         .where(F.col("_length") - F.length("head") <= MAX_EDITS)
-        .drop("low_id")
+        .select("place", "head", "_length")
     )
     short = starts.where(F.col("_length") <= SHORT_LENGTH)
     alike = F.when(F.col("_length") > MAX_EDITS, F.col("head")).otherwise("")
@@ -313,48 +334,66 @@ def _starts(candidates: DataFrame, lookups: DataFrame) -> DataFrame:
     return first.select(starts.columns).unionByName(starts.where(F.col("_length") > SHORT_LENGTH))
 
 
+def _near_ids(lookups: DataFrame, ids: DataFrame, count: int) -> DataFrame:
+    """(low_ref, place, distance): the ids (place, low_id), so many in all, within two edits of a lookup.
+
+    Long lookups are keyed by their start alone: as many characters as make a key rare
+    among ids of hexadecimal digits. So an id has as many keys however many lengths they have.
+    """
+    enough = max(SHORT_LENGTH, math.ceil(math.log(max(count, 2), 16))) + 3
+    size = F.length("low_ref")
+    start = F.substring("low_ref", 1, enough)
+    keyed_refs = materialise(
+        lookups.select("low_ref", start.alias("_start"), F.explode(_fuzzy_keys(start, F.length(start))).alias("key"))
+    )
+    keys = keyed_refs.select(F.length("_start").alias("_length"), "key")
+    keyed_ids = (
+        _starts(ids, keyed_refs)
+        .select("place", "head", "_length", F.explode(_fuzzy_keys(F.col("head"), F.col("_length"))).alias("key"))
+        .where(_wanted(keys.select(F.concat_ws(":", "_length", "key")).distinct())(F.concat_ws(":", "_length", "key")))
+    )
+    met = keyed_ids.join(keyed_refs.withColumn("_length", F.length("_start")).hint("merge"), ["_length", "key"])
+    distance = F.when(size <= enough, F.levenshtein("low_ref", "head", MAX_EDITS))
+    pairs = met.withColumn("distance", distance).where((size > enough) | (F.col("distance") >= 0))
+    pairs = materialise(pairs.groupBy("low_ref", "place").agg(F.first("distance").alias("distance")))
+    short = pairs.where(F.col("distance").isNotNull())
+    head = F.substring("low_id", F.lit(1), size)
+    long = pairs.where(F.col("distance").isNull()).drop("distance").join(ids, "place").withColumn("distance", F.levenshtein("low_ref", head, MAX_EDITS))
+    return short.unionByName(long.where(F.col("distance") >= 0).drop("low_id"))
+
+
 def fuzzy_match(refs: DataFrame, tasks: DataFrame) -> DataFrame:
     """Up to three tasks per ref: id prefixes, else ids holding it, else ids within two edits.
 
     Refs may have any length. The edit distance is taken against the id cut to
     the length of the ref: (ref, pos, hit, id, distance). A ref three characters
-    longer than an id can be has no match.
+    longer than an id can be has no match. Ids are numbered in list order first: what
+    is matched and shuffled has numbers in place of ids and of what orders them.
     """
-    size = F.length("low_ref")
-    lookups = materialise(_lower_refs(refs).where(size <= ID_LENGTH + MAX_EDITS))
-    candidates = _candidates(tasks)
-    columns = ["low_ref", "pos", "hit", "id", "distance"]
+    lookups = materialise(_lower_refs(refs).where(F.length("low_ref") <= ID_LENGTH + MAX_EDITS))
+    open_ids = _candidates(tasks).where(F.col("id").isNotNull()).groupBy("id").agg(F.min("place").alias("order"))
+    named = materialise(O.numbered(open_ids, [F.col("order")], "place").select("place", "id"))
+    ids = named.select("place", F.lower("id").alias("low_id"))
+    columns = ["low_ref", "pos", "hit", "place", "distance"]
 
     by_prefix = materialise(
-        _prefix_hits(lookups, candidates).withColumns({"hit": F.lit("prefix"), "distance": F.lit(0)}).select(columns)
+        _prefix_hits(lookups, named).withColumns({"hit": F.lit("prefix"), "distance": F.lit(0)}).select(columns)
     )
     rest = lookups.join(by_prefix.select("low_ref").distinct(), "low_ref", "left_anti")
 
-    inside = _containing(candidates.select("low_id", "id", "place"), "low_id", rest)
-    by_content = _first_hits(inside, ["low_ref"], [F.col("place")])
+    by_content = _first_hits(_containing(ids, "low_id", rest), ["low_ref"], [F.col("place")])
     by_content = materialise(
         by_content.withColumns(
             {"hit": F.lit("substring"), "distance": F.lit(None).cast("int")}
         ).select(columns)
     )
-    rest = rest.join(by_content.select("low_ref").distinct(), "low_ref", "left_anti")
+    rest = materialise(rest.join(by_content.select("low_ref").distinct(), "low_ref", "left_anti"))
 
-    keyed_refs = materialise(
-        rest.select("low_ref", size.alias("_length"), F.explode(_fuzzy_keys(F.col("low_ref"), size, 0)).alias("key"))
-    )
-    keyed_ids = _starts(candidates, keyed_refs).select(
-        "id", "place", "head", "_length", F.explode(_fuzzy_keys(F.col("head"), F.col("_length"), MAX_EDITS)).alias("key")
-    )
-    near = (
-        keyed_ids.join(keyed_refs, ["_length", "key"])
-        .withColumn("distance", F.levenshtein("low_ref", "head", MAX_EDITS))
-        .where(F.col("distance") >= 0)
-        .groupBy("low_ref", "id")
-        .agg(F.first("place").alias("place"), F.first("distance").alias("distance"))
-    )
+    near = _near_ids(rest, ids, named.count())
     by_distance = _first_hits(near, ["low_ref"], [F.col("place")]).withColumn("hit", F.lit("distance"))
     hits = by_prefix.unionByName(by_content).unionByName(by_distance.select(columns))
-    return _with_refs(hits, refs)
+    found = hits.join(named, "place").select("low_ref", "pos", "hit", "id", "distance")
+    return _with_refs(found, refs)
 
 
 # Up to this length a title is matched by what is left of it without two characters.

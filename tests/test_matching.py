@@ -129,6 +129,28 @@ def test_stretches_of_lookups_are_not_broadcast(spark, monkeypatch):
     assert "SortMergeJoin [anchor" in plans[0]
 
 
+def test_what_is_shuffled_for_near_ids(spark):
+    """Refs of many lengths: all near ids, and few keys of the ids outlive the filter."""
+    rng = random.Random(11)
+    ids = [sha(f"id {n}") for n in range(400)]
+    refs = []
+    for n, text in enumerate(rng.sample(ids, 60)):
+        text = text[: 6 + n % 35]
+        for _ in range(2):
+            at = rng.randrange(len(text))
+            text = text[:at] + rng.choice(["", "z", "7"]) + text[at + rng.randrange(2) :]
+        refs.append(text)
+    low = lambda texts: spark.createDataFrame([(t,) for t in sorted(set(texts))], "low_ref string")
+    table = spark.createDataFrame(list(enumerate(ids)), "place long, low_id string")
+    got = {tuple(r) for r in matching._near_ids(low(refs), table, len(ids)).select("low_ref", "place", "distance").collect()}
+    assert got == {(r, n, d) for r in set(refs) for n, text in enumerate(ids) if (d := distance(r, text[: len(r)])) <= 2}
+
+    test = matching._wanted(low(refs))
+    assert low(refs).where(test(F.col("low_ref"))).count() == len(set(refs))
+    assert low(ids).where(test(F.col("low_ref"))).count() < len(ids) / 4
+    assert {r.low_ref for r in matching._possible(low(["abz", "z", ids[0], ids[0] + "x"]), table, "low_id").collect()} == {ids[0]}
+
+
 def test_search_many(spark, tasks, rows):
     queries = ["order", "ORDER c", "leak%1", "_", "%", "", "50%", "50\\%", "a_b", "x\\y", "\\", "crash menu 1", "%%", "r_1", "none such", "menu%crash", "o"]
     expected = set()
