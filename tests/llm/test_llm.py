@@ -350,6 +350,29 @@ def test_chances_of_all_words_add_up_to_one():
     assert np.exp(logs[1::2]).sum() == pytest.approx(1, rel=1e-3)
 
 
+def test_rare_words_have_a_context_too(spark):
+    """Of words outside the classes, those that followed a word are likelier behind it; all chances add up to one."""
+    rng = random.Random(3)
+    common = [f"c{n}" for n in range(maxent_lm.CLASSES * maxent_lm.MEMBERS)]
+    rare = [f"r{n}" for n in range(600)]
+    cell = maxent_lm.cells_of(maxent_lm.tokens([" ".join(rare).encode()])[0][:-1])
+    after = {c: [w for w, k in zip(rare, cell) if k == c] for c in (1, 2)}
+    lines = [" ".join(common * 4)] + [f"see c{c} {rng.choice(after[c])}" for c in (1, 2) for _ in range(150)] * 2 + rare
+    training = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    model, counts = maxent_lm.train(training)
+    pairs = spark.createDataFrame([(10 * c + k, f"c{c} {after[k][0]}") for c in (1, 2) for k in (1, 2)], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in maxent_lm.score(pairs, model, counts, [pairs["doc_id"]]).collect()}
+    assert score[11] - score[12] > 0.1 + score[21] - score[22]
+
+    words = np.append(model.known, np.arange(maxent_lm.CELLS, dtype=np.uint64) << np.uint64(maxent_lm.CELL_SHIFT))
+    pairs = np.stack([np.full(len(words), maxent_lm.tokens([b"c1"])[0][0]), words], axis=1)
+    flat, begins = pairs.ravel(), np.arange(0, 2 * len(words) + 1, 2)
+    slots = model.slots(flat)
+    logs = maxent_lm.log_chances(model, flat, begins, slots)
+    logs += np.where(slots < 0, np.log((np.maximum(model.counts(flat), 0) + 1) / model.rest_total), 0)
+    assert np.exp(logs[1::2]).sum() == pytest.approx(1, rel=1e-3)
+
+
 def test_secret_scan(spark, empty):
     rng = random.Random(11)
     key = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=64))
