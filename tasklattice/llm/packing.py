@@ -10,12 +10,16 @@ and the pieces, ranked within their length, take the slots of the patterns.
 
 from __future__ import annotations
 
+import json
+import re
+import string
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,13 +32,29 @@ UNIT = 8
 TOKENIZER = "word_bpe_49k.json"
 # Pieces that one window task numbers, and words whose ids a Python worker remembers.
 GROUP = 50_000
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000
+# Bytes of text that are cut into words at once.
+TOKEN_STEP_BYTES = 4 << 20
 # What stands between words that are encoded together, and how many are.
 MARKER = "<|endoftext|>"
 JOINED_WORDS = 128
+# Steps before the merges for which a word of letters and then marks is two words, and for which lower-case ASCII letters stay as they are.
+FOLDING = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+# Latin letters that NFC leaves as they are, and the ASCII marks that may stand behind them.
+_LETTERS = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u024f]+")
+_MARKS = string.punctuation.encode()
 PIECE_SCHEMA = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long"
 
-_tokenizers: dict[str, object] = {}
+_tokenizers: dict[str, Vocabulary] = {}
 _young: dict[bytes, bytes] = {}
 _old: dict[bytes, bytes] = {}
 
@@ -45,20 +65,52 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-def _encode_words(words: list[bytes], path: str) -> None:
-    """Remember the ids of words.
+class Vocabulary(NamedTuple):
+    """A tokenizer; its merges alone, and by id whether it ends a word, if it folds words as ``FOLDING`` says."""
+
+    tokenizer: object
+    merges: object | None = None
+    ends: np.ndarray | None = None
+
+
+def _load(path: str) -> Vocabulary:
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    tokenizer = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    suffix = spec["model"].get("end_of_word_suffix")
+    if not suffix or any(spec[part] != FOLDING[part] for part in FOLDING):
+        return Vocabulary(tokenizer)
+    merges = Tokenizer(tokenizer.model)
+    merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    tokens = spec["model"]["vocab"]
+    ends = np.zeros(max(tokens.values()) + 1, bool)
+    ends[[number for token, number in tokens.items() if token.endswith(suffix)]] = True
+    return Vocabulary(tokenizer, merges, ends)
+
+
+def _joined_ids(tokenizer, words: list[str], between: str) -> np.ndarray:
+    return np.array(tokenizer.encode_batch_fast([between.join(words)], add_special_tokens=False)[0].ids, "<u4")
+
+
+def _encode_letters(words: list[bytes], tokenizer, ends: np.ndarray) -> None:
+    """Remember the ids of words of letters only; each has one id with the end of a word, its last."""
+    for at in range(0, len(words), JOINED_WORDS):
+        part = words[at : at + JOINED_WORDS]
+        ids = _joined_ids(tokenizer, [w.decode() for w in part], " ")
+        stops = (4 * np.flatnonzero(ends[ids]) + 4).tolist()
+        data = ids.tobytes()
+        _young.update(zip(part, [data[a:b] for a, b in zip([0, *stops], stops)], strict=True))
+
+
+def _encode_whole(words: list[bytes], tokenizer) -> None:
+    """Remember the ids of any words.
 
     Many words go through the tokenizer as one string with its end-of-text marker between
     them: it cuts at markers before anything else, so each word is encoded as if alone, at
     about half the cost. Words that could hold a marker of their own go one by one.
     """
-    from tokenizers import Tokenizer
-
-    tokenizer = _tokenizers.get(path)
-    if tokenizer is None:
-        _young.clear()
-        _old.clear()
-        tokenizer = _tokenizers[path] = Tokenizer.from_file(path)
     marker = tokenizer.token_to_id(MARKER)
     alone = words if marker is None else [w for w in words if b"<" in w or b">" in w]
     if alone:
@@ -69,41 +121,82 @@ def _encode_words(words: list[bytes], path: str) -> None:
         several = words
     for at in range(0, len(several), JOINED_WORDS):
         part = several[at : at + JOINED_WORDS]
-        joined = MARKER.encode().join(part).decode("utf-8", "replace")
-        ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        ids = _joined_ids(tokenizer, [w.decode("utf-8", "replace") for w in part], MARKER)
         marks = 4 * np.flatnonzero(ids == marker)
         data = ids.tobytes()
         starts, ends = [0, *(marks + 4).tolist()], [*marks.tolist(), len(data)]
         _young.update(zip(part, [data[a:b] for a, b in zip(starts, ends)], strict=True))
 
 
-def encode_all(texts: list[bytes], path: str) -> list[bytes]:
-    """The ids of each text, four bytes each, little-endian.
+def _recall(words: set[bytes]) -> set[bytes]:
+    """Those of the words whose ids are not remembered."""
+    missing = words.difference(_young)
+    if _old:
+        known = [w for w in missing if w in _old]
+        _young.update((w, _old[w]) for w in known)
+        missing.difference_update(known)
+    return missing
+
+
+def _encode_words(words: set[bytes], path: str) -> None:
+    """Remember the ids of words: what is left of letters, in lower case and without the marks behind, is encoded once."""
+    tokenizer, merges, ends = _tokenizers[path]
+    if ends is None:
+        _encode_whole(list(words), tokenizer)
+        return
+    whole, parts = [], []
+    for word in words:
+        core = word.rstrip(_MARKS)
+        if core.isalpha():
+            parts.append((word, core.lower(), word[len(core) :]))
+        elif found := _LETTERS.fullmatch(core.decode("utf-8", "replace").lower()):
+            parts.append((word, found[0].encode(), word[len(core) :]))
+        else:
+            whole.append(word)
+    letters = _recall({core for _, core, _ in parts})
+    marks = _recall({tail for _, _, tail in parts}).difference(whole)
+    _encode_letters([w for w in letters if w.isascii()], merges, ends)
+    _encode_letters([w for w in letters if not w.isascii()], tokenizer, ends)
+    _encode_whole([*whole, *marks], tokenizer)
+    _young.update([(word, _young[core] + _young[tail]) for word, core, tail in parts])
+
+
+def encode_all(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts one after another, and where each text's ids begin; one entry more than there are texts.
 
     The vocabulary drops white space and no id spans it, so texts are cut at ASCII
-    white space and the ids of words met before are looked up.
+    white space, and each distinct word is looked up among those met before.
     """
     global _young, _old
-    split = [text.split() for text in texts]
     if path not in _tokenizers:
-        _encode_words([], path)
-    missing = set(chain.from_iterable(split)).difference(_young)
-    if _old:
-        known = [w for w in missing if w in _old]
-        _young.update((w, _old[w]) for w in known)
-        missing.difference_update(known)
+        _tokenizers.clear()
+        _young.clear()
+        _old.clear()
+        _tokenizers[path] = _load(path)
+    split = pc.ascii_split_whitespace(texts.cast(pa.binary()).view(pa.string()))
+    coded = split.flatten().dictionary_encode()
+    words = coded.dictionary.view(pa.binary()).to_pylist()
+    missing = _recall(set(words))
     if missing:
-        _encode_words(list(missing), path)
-    look_up = _young.__getitem__
-    out = [b"".join(map(look_up, words)) for words in split]
+        _encode_words(missing, path)
+    found = [_young[word] for word in words]
     if len(_young) > CACHED_WORDS:
         _old, _young = _young, {}
-    return out
+    # Each word's ids are a stretch of the distinct words' ids.
+    ids = np.frombuffer(b"".join(found), "<u4")
+    lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    starts = np.cumsum(lengths) - lengths
+    word = coded.indices.to_numpy()
+    edges = np.zeros(len(word) + 1, np.int64)
+    np.cumsum(lengths[word], out=edges[1:])
+    at = np.repeat(starts[word] - edges[:-1], lengths[word])
+    at += np.arange(len(at))
+    return ids[at], edges[split.offsets.to_numpy() - split.offsets[0].as_py()]
 
 
 def encode(text: bytes, path: str) -> bytes:
-    """The ids of one text."""
-    return encode_all([text], path)[0]
+    """The ids of one text, four bytes each, little-endian."""
+    return encode_all(pa.array([text], pa.binary()), path)[0].tobytes()
 
 
 def _cut(path: str, length: int, end_id: int):
@@ -114,17 +207,19 @@ def _cut(path: str, length: int, end_id: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        for batch in steps(batches):
+        for batch in steps(batches, limit=TOKEN_STEP_BYTES):
             index, starts, lengths, crcs, totals = [], [], [], [], []
-            for row, found in enumerate(encode_all(batch.column("text").to_pylist(), path)):
-                ids = found + end
-                for start in range(0, len(ids), step):
-                    piece = ids[start : start + step]
+            ids, edges = encode_all(batch.column("text"), path)
+            data, edges = ids.tobytes(), (4 * edges).tolist()
+            for row, (first, last) in enumerate(zip(edges, edges[1:])):
+                text = data[first:last] + end
+                for start in range(0, len(text), step):
+                    piece = text[start : start + step]
                     index.append(row)
                     starts.append(start // 4)
                     lengths.append(len(piece) // 4)
                     crcs.append(zlib.crc32(piece))
-                    totals.append(len(ids) // 4)
+                    totals.append(len(text) // 4)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(index, pa.int64())), *(pa.array(x, pa.int64()) for x in (starts, lengths, crcs, totals))],
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"],

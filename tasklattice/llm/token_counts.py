@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tasklattice.llm.common import steps, text_column
-from tasklattice.llm.packing import default_tokenizer, encode_all
+from tasklattice.llm.packing import TOKEN_STEP_BYTES, default_tokenizer, encode_all
 from tasklattice.session import materialise, scratch_path
 
 # Beyond the vocabulary, so that no text holds it, and within two bytes.
@@ -36,13 +36,12 @@ def _token_rows(path: str, separator: int, width: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        for batch in steps(batches):
-            rows = []
-            for found in encode_all(batch.column("text").to_pylist(), path):
-                ids = np.frombuffer(found, "<u4")
-                if len(ids) and int(ids.max()) >= separator:
-                    raise ValueError(f"id {ids.max()} is not below the separator {separator}")
-                rows.append(ids.astype(kind).tobytes())
+        for batch in steps(batches, limit=TOKEN_STEP_BYTES):
+            ids, edges = encode_all(batch.column("text"), path)
+            if len(ids) and int(ids.max()) >= separator:
+                raise ValueError(f"id {ids.max()} is not below the separator {separator}")
+            data, edges = ids.astype(kind).tobytes(), (width * edges).tolist()
+            rows = [data[a:b] for a, b in zip(edges, edges[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["value"])
 
     return run

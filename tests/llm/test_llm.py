@@ -228,6 +228,21 @@ def test_words_encoded_together_keep_their_own_ids():
         assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_a_word_is_encoded_once_whatever_its_case_and_the_marks_behind(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path, sent, joined = packing.default_tokenizer(), [], packing._joined_ids
+    whole = Tokenizer.from_file(path)
+    monkeypatch.setattr(packing, "_joined_ids", lambda tokenizer, words, between: sent.extend(words) or joined(tokenizer, words, between))
+    text = "thouwh Thouwh. THOUWH### thouwh, \u00c9l\u00e9e \u00e9l\u00e9e... ### \u01c5u. \u0130n. e\u0301. don't. x1. ,a \ufb01n. \u03a3\u03c2. K\u212a."
+    packing._tokenizers.clear()
+    rows = [text, "", "  ", f" {text}  {text} "]
+    ids, edges = packing.encode_all(pa.array([t.encode() for t in rows], pa.binary()), path)
+    assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:])] == [whole.encode(t, add_special_tokens=False).ids for t in rows]
+    assert (sent.count("thouwh"), sent.count("\u00e9l\u00e9e"), sent.count("###"), sent.count("don't.")) == (1, 1, 1, 1)
+    assert len(sent) == len(set(sent)) and not [w for w in sent if w.lower().startswith("thouwh") and w != "thouwh"]
+
+
 def test_patterns_cover_the_counts_and_are_near_the_bound():
     rng = np.random.default_rng(1)
     counts = np.zeros(64, np.int64)
