@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import os
 from datetime import timedelta
+from types import SimpleNamespace
 
 import pyarrow.parquet as pq
 import pytest
 from conftest import START
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from test_replay import make_case, model
 
@@ -56,6 +59,52 @@ def test_keyed_replay_equals_the_model(spark, tmp_path):
     assert got == model(tasks, log)[1]
 
 
+class Counted:
+    """A state value that counts the calls to it."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+
+def test_calls_to_the_state_store_do_not_grow_with_tasks():
+    """A bucket of many tasks with many commands: two calls to begin with, three in a batch, none for rows that only pass."""
+    calls = []
+    for size in (3, 300):
+        stage, kept = kr.Stage(), {}
+        stage.init(SimpleNamespace(getValueState=lambda name, schema: kept.setdefault(name, Counted())))
+        stage.handleInitialState((7,), Row(bucket=7, tasks=json.dumps([{"id": f"t{k}", "state": "NEW", "parent": "p", "opened": 1} for k in range(size)])), None)
+        rows = [kr.Event(f"t{k % size}", k, ("done", "in-progress", "cancel")[k // size], None, None, None, None, 7) for k in reversed(range(3 * size))]
+        got = list(stage.handleInputRows((7,), iter([*rows, kr.Event("other", 0, "done", None, None, None, None, 7)]), None))
+        verdicts = [(r.verdict, r.to_state) for r in got if r.verdict]
+        assert verdicts == [("OPEN_CHILDREN", None)] * size + [("ACCEPTED", "IN_PROGRESS")] * size + [("ACCEPTED", "CANCELLED")] * size
+        assert sum(r.delta or 0 for r in got) == -size and [r.id for r in got if not r.verdict and r.delta is None] == ["other"]
+        before = sum(v.calls for v in kept.values())
+        assert list(stage.handleInputRows((7,), iter(got[:1]), None)) == got[:1]
+        calls.append((before, sum(v.calls for v in kept.values())))
+    assert calls == [(5, 5)] * 2
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_few_buckets_hold_many_tasks(spark, tmp_path, buckets):
+    tasks, log = make_case(5, n_tasks=12, n_commands=90)
+    log.sort(key=lambda row: row[0])
+    source, out = str(tmp_path / "log"), str(tmp_path / "out")
+    send(spark, log[:50], LOG, source)
+    send(spark, log[50:], LOG, source)
+    states = kr.initial_states(spark.createDataFrame([(i, p, s) for i, (p, s, _) in tasks.items()], TREE), buckets=buckets)
+    run(spark, kr.keyed_replay_stream(spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(source), states, out))
+    got = {r.seq: (r.id, r.command, r.from_state, r.to_state, r.verdict) for r in kr.keyed_verdicts(spark, out).collect()}
+    assert got == model(tasks, log)[1]
+
+
 def test_heights_and_deep_chains(spark):
     chain = [(f"t{k}", f"t{k - 1}" if k else None, "NEW") for k in range(5)] + [("lone", None, "NEW"), ("u", "t0", "DONE")]
     table = spark.createDataFrame(chain, TREE)
