@@ -20,8 +20,11 @@ from tasklattice.session import materialise
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without a letter go."""
     profiles = materialise(learn_profiles(docs.where(crc_rest(docs["doc_id"], 4) != 2)))
-    judged = predict(docs, profiles, [F.struct(*docs.columns).alias("_document")])
-    return judged.where(F.col("lang_pred") != UNKNOWN).select("_document.*")
+    others = [c for c in docs.columns if c != "text"]
+    judged = predict(docs, profiles, [F.struct(*(docs[c] for c in others)).alias("_document")], keep_text=True)
+    text = F.col("_text").cast(docs.schema["text"].dataType).alias("text")
+    known = judged.where(F.col("lang_pred") != UNKNOWN)
+    return known.select(*(text if c == "text" else F.col("_document").getField(c).alias(c) for c in docs.columns))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,11 @@ SEED = 7
 UNKNOWN = "und"
 # n-grams whose vectors are held at once.
 _CHUNK = 4096
+# Bytes of text that are judged at once, where a text counts as so many at least: each takes a row of the matrix of _CHUNK n-grams.
+_JUDGED_BYTES = 1 << 20
+_LEAST_BYTES = 512
+# n-grams of one language that are counted before they are merged, or bundled.
+_MOST_GRAMS = 200_000
 _LETTER_BITS = np.uint64(21)
 
 
@@ -121,12 +126,19 @@ def bundles(texts: list[bytes]) -> np.ndarray:
 def _sum_languages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task and language the counts of n-grams, bundled at the end of the task."""
     sums: dict[str, np.ndarray] = {}
-    counts: dict[str, dict] = {}
+    # Per language pieces (codes, counts); the first one is what was merged, the number is of n-grams in the others.
+    counts: dict[str, list] = {}
+    loose: dict[str, int] = {}
+
+    def merge(lang: str) -> int:
+        codes, place = np.unique(np.concatenate([c for c, _ in counts[lang]]), return_inverse=True)
+        counts[lang] = [(codes, np.bincount(place, np.concatenate([n for _, n in counts[lang]])))]
+        loose[lang] = 0
+        return len(codes)
 
     def bundle(lang: str) -> None:
-        found = counts.pop(lang)
-        codes = np.fromiter(found.keys(), np.uint64, len(found))
-        numbers = np.fromiter(found.values(), np.float64, len(found))
+        merge(lang)
+        [(codes, numbers)] = counts.pop(lang)
         total = sums.setdefault(lang, np.zeros(DIMENSIONS))
         for start in range(0, len(codes), _CHUNK):
             total += numbers[start : start + _CHUNK] @ gram_vectors(codes[start : start + _CHUNK]).astype(np.float64)
@@ -137,10 +149,9 @@ def _sum_languages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for lang in set(langs.tolist()):
             mine = (langs == lang)[owner]
             distinct, place = np.unique(codes[mine], return_inverse=True)
-            held = counts.setdefault(lang, {})
-            for code, number in zip(distinct.tolist(), np.bincount(place, numbers[mine]).tolist()):
-                held[code] = held.get(code, 0) + number
-            if len(held) > 200_000:
+            counts.setdefault(lang, []).append((distinct, np.bincount(place, numbers[mine])))
+            loose[lang] = loose.get(lang, 0) + len(distinct)
+            if loose[lang] > _MOST_GRAMS and merge(lang) > _MOST_GRAMS:
                 bundle(lang)
     for lang in list(counts):
         bundle(lang)
@@ -163,8 +174,8 @@ def learn_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str =
     return ordered.select("lang", F.col("cells.value").alias("profile"))
 
 
-def predict(docs: DataFrame, profiles: DataFrame, id_cols: list[Column], text_col: str = "text") -> DataFrame:
-    """``id_cols`` with lang_pred and score (the cosine, below 0 shown as 0).
+def predict(docs: DataFrame, profiles: DataFrame, id_cols: list[Column], text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """``id_cols`` with lang_pred and score (the cosine, below 0 shown as 0); with the text's bytes as ``_text`` before them if asked.
 
     A text that is null or has no letter gets ``und`` and score 0, and so do all texts
     if nothing was learnt. Equal cosines go to the first language by name. The
@@ -176,10 +187,10 @@ def predict(docs: DataFrame, profiles: DataFrame, id_cols: list[Column], text_co
     units = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
     units = units.astype(np.float32)
     rows = docs.select(*id_cols, text_column(docs, text_col).alias("_text"))
-    kept = rows.columns[:-1]
+    kept = rows.columns if keep_text else rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "_text", 1 << 20):
+        for batch in steps(batches, "_text", _JUDGED_BYTES, _LEAST_BYTES):
             vectors = bundles(batch.column("_text").to_pylist())
             norms = np.linalg.norm(vectors, axis=1)
             filled = (norms > 0) & bool(names)
@@ -192,7 +203,7 @@ def predict(docs: DataFrame, profiles: DataFrame, id_cols: list[Column], text_co
                 names=[*kept, "lang_pred", "score"],
             )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(kept)])
     return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 

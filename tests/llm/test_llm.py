@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tasklattice.llm import embedding_join, html_text, jaccard_join, language_id, line_dedup, maxent_lm, packing, secret_scan, token_counts
-from tasklattice.llm.common import LOWER, components, shingle_sets
+from tasklattice.llm.common import LOWER, components, shingle_sets, steps
 from tasklattice.llm.decontaminate import clean_documents, contaminated, tile
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -175,6 +176,42 @@ def test_bundles_equal_the_sum_of_bound_letters():
     assert (language_id.bundles([text.encode()])[0] == total).all()
 
 
+def test_many_short_texts_are_judged_in_little_memory(spark, words):
+    """A text takes a row of a wide matrix, however short it is; so a step has a bound on texts too."""
+    rng = random.Random(3)
+    short = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(4)).encode() for _ in range(20_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(short, pa.binary())], names=["_text"])
+    tracemalloc.start()
+    rows = 0
+    for some in steps([batch], "_text", language_id._JUDGED_BYTES, language_id._LEAST_BYTES):
+        rows += len(language_id.bundles(some.column("_text").to_pylist()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(short) and peak < 250e6
+
+
+def test_profiles_do_not_depend_on_when_counts_are_merged(words, monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(words, k=40)).encode() for _ in range(300)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([rng.choice("ab") for _ in range(30)]), pa.array(texts[at : at + 30], pa.binary())], names=["lang", "text"]) for at in range(0, 300, 30)]
+    found = []
+    for most in (10, 300, 10**9):
+        monkeypatch.setattr(language_id, "_MOST_GRAMS", most)
+        [sums] = language_id._sum_languages(iter(batches))
+        found.append(dict(zip(sums.column("lang").to_pylist(), sums.column("bundle").to_pylist())))
+    assert found[0] == found[1] == found[2] and set(found[0]) == {"a", "b"}
+    total = sum(language_id.bundles(texts).astype(float))
+    assert (np.array(found[0]["a"]) + np.array(found[0]["b"]) == total).all()
+
+
+def test_a_text_is_sent_once_when_its_language_is_told(spark, words):
+    rows = [(k, t, lang, "web", k) for k, (t, lang) in enumerate([(words[0] * 9, "x"), (None, "x"), ("", None), ("1 2", "x"), ("\0é\n" + words[1], None)])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    judged = corpus_pipeline.language_id(spark, docs, "")
+    assert judged.schema == docs.schema and rows_of(judged, *docs.columns) == rows_of(docs.where("doc_id in (0, 4)"), *docs.columns)
+    assert ", text, text#" not in judged._jdf.queryExecution().executedPlan().toString()
+
+
 def test_tiles_are_longest_first_and_catch_reordering():
     item = np.arange(1, 41, dtype=np.uint64)
     document = np.concatenate([item[25:], np.array([99], np.uint64), item[:25], item[:25]])
