@@ -176,7 +176,7 @@ def test_bundles_equal_the_sum_of_bound_letters():
     assert (language_id.bundles([text.encode()])[0] == total).all()
 
 
-def test_many_short_texts_are_judged_in_little_memory(spark, words):
+def test_many_short_texts_are_judged_in_little_memory():
     """A text takes a row of a wide matrix, however short it is; so a step has a bound on texts too."""
     rng = random.Random(3)
     short = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(4)).encode() for _ in range(20_000)]
