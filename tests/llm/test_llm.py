@@ -425,6 +425,36 @@ def test_rare_words_have_a_context_too(spark):
     assert np.exp(logs[1::2]).sum() == pytest.approx(1, rel=1e-3)
 
 
+def test_every_row_teaches_in_every_round(spark, words):
+    """The weights are those of plain gradient steps, each over all rows."""
+    rng = random.Random(12)
+    lines = [" ".join(rng.choices(words, weights=range(1, len(words) + 1), k=30)) for _ in range(60)] + ["rare%d rare%d" % (n, n + 1) for n in range(2500)]
+    training = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    model, _ = maxent_lm.train(training)
+    flat, begins = maxent_lm.tokens([line.encode() for line in lines])
+    slots = model.slots(flat)
+    classes = np.where(slots >= 0, slots // maxent_lm.MEMBERS, maxent_lm.CLASSES)
+    ranks = {int(w): int(s) for w, s in zip(model.head, model.head_slot)}
+    assert slots.tolist() == [ranks.get(int(w), -1) for w in flat] and (slots < 0).sum() > 100
+    features = maxent_lm.contexts(flat, begins)
+    answers = [classes, slots % maxent_lm.MEMBERS, maxent_lm.cells_of(flat)]
+    buckets = [[maxent_lm._bucket(f) for f in features]] + [[maxent_lm._bucket(f, classes) for f in features]] * 2
+    parts = [np.arange(len(flat)), np.flatnonzero(slots >= 0), np.flatnonzero(slots < 0)]
+    for table, some in enumerate(parts):
+        bias = [model.class_bias[None].repeat(len(flat), 0), model.member_bias[np.minimum(classes, maxent_lm.CLASSES - 1)], model.cell_bias[None].repeat(len(flat), 0)][table][some].astype(float)
+        weights = np.zeros(model.tables()[table].shape)
+        for _ in range(maxent_lm.ROUNDS):
+            logits = bias + sum(weights[bucket[some]] for bucket in buckets[table])
+            chances = np.exp(logits - logits.max(axis=1, keepdims=True))
+            chances /= chances.sum(axis=1, keepdims=True)
+            seen, expected = np.zeros_like(weights), np.zeros_like(weights)
+            for bucket in buckets[table]:
+                np.add.at(seen, (bucket[some], answers[table][some]), 1)
+                np.add.at(expected, bucket[some], chances)
+            weights += maxent_lm.RATE * (seen - expected) / (seen + expected + maxent_lm.DAMPING)
+        assert np.allclose(model.tables()[table], weights, atol=1e-3)
+
+
 def test_secret_scan(spark, empty):
     rng = random.Random(11)
     key = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=64))
