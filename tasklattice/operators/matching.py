@@ -432,13 +432,14 @@ def _long_pairs(lookups: DataFrame, titles: DataFrame) -> DataFrame:
     places = F.array_distinct(F.array(_cut(size - MAX_EDITS), _cut(size + MAX_EDITS)))
     keys_of = lambda at: F.concat(_cut_keys(F.col("low_title"), at, 0, MAX_EDITS), _cut_keys(F.reverse("low_title"), at, backwards, MAX_EDITS))
     every = F.flatten(F.transform(places, keys_of))
-    title_keys = titles.select(F.xxhash64("low_title").alias("title"), F.explode(every).alias("key"))
     at = _cut(F.length("low_ref"))
     way = lambda side, text: F.struct(F.lit(side).alias("side"), _cut_keys(text, at, side, 0).alias("keys"))
     ways = F.array(way(0, F.col("low_ref")), way(backwards, F.reverse("low_ref")))
     by_way = lookups.select(F.xxhash64("low_ref").alias("ref"), F.explode(ways).alias("way"))
     ref_keys = materialise(by_way.select("ref", "way.side", F.explode("way.keys").alias("key")))
 
+    title_keys = titles.select(F.xxhash64("low_title").alias("title"), F.explode(every).alias("key"))
+    title_keys = title_keys.where(_wanted(ref_keys.select("key"))(F.col("key")))
     met = materialise(title_keys.join(ref_keys.select("key").distinct(), "key", "left_semi"))
     counts = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     costs = ref_keys.join(counts, "key", "left").groupBy("ref", "side").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
@@ -448,29 +449,77 @@ def _long_pairs(lookups: DataFrame, titles: DataFrame) -> DataFrame:
     return named.join(titles.withColumn("title", F.xxhash64("low_title")), "title").select("low_ref", "low_title")
 
 
+def _whole(text: Column) -> Column:
+    return F.xxhash64(F.lit(0), text)
+
+
+def _gap(before: Column, behind: Column) -> Column:
+    """A hash of any text that has one character between these two."""
+    return F.xxhash64(F.lit(1), before, behind)
+
+
+def _gaps(text: Column) -> Column:
+    """The text with a gap in place of each character."""
+    last = F.length(text)
+    gaps = F.transform(F.sequence(F.lit(1), last), lambda i: _gap(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, last)))
+    return F.when(last >= 1, gaps).otherwise(F.array().cast("array<bigint>"))
+
+
+def _one_edit(text: Column) -> Column:
+    """What titles one edit away from a text, which is not empty, are or have a gap in: it without a character, or with a gap in place of or between its own."""
+    last = F.length(text)
+    between = F.transform(F.sequence(F.lit(0), last), lambda i: _gap(F.substring(text, F.lit(1), i), F.substring(text, i + 1, last)))
+    return F.array_distinct(F.concat(F.transform(_without_one(text), _whole), _gaps(text), between))
+
+
+def _nearest(lookups: DataFrame, named: DataFrame) -> DataFrame:
+    """(ref, task, distance): the first few of the tasks (task, low_title) within one edit of each lookup, nearest first.
+
+    A lookup and a title have a key in common only if they are as near as the key says. So of the tasks
+    with one key the first few are enough, however many titles are alike.
+    """
+    keys = F.concat(F.array(F.struct(F.lit(0).alias("distance"), _whole(F.col("low_ref")).alias("key"))), F.transform(_one_edit(F.col("low_ref")), lambda key: F.struct(F.lit(1).alias("distance"), key.alias("key"))))
+    ref_keys = materialise(lookups.select(F.xxhash64("low_ref").alias("ref"), F.explode(keys).alias("at")).select("ref", "at.*"))
+    every = F.concat(F.array(_whole(F.col("low_title"))), _gaps(F.col("low_title")))
+    title_keys = named.where(F.col("low_title").isNotNull()).select("task", F.explode(every).alias("key")).where(_wanted(ref_keys.select("key"))(F.col("key")))
+    first = _first_hits(title_keys, ["key"], [F.col("task")]).drop("pos")
+    met = ref_keys.join(materialise(first), "key").groupBy("ref", "task").agg(F.min("distance").alias("distance"))
+    return materialise(_first_hits(met, ["ref"], [F.col("distance"), F.col("task")]).drop("pos"))
+
+
 def fuzzy_titles(refs: DataFrame, tasks: DataFrame) -> DataFrame:
     """Up to three tasks per ref whose titles are within two edits of it: (ref, pos, id, title, distance).
 
-    Nearest first, then in list order; closed tasks are left out, letter case does not count. Equal
+    Nearest first, then in list order; closed tasks are left out, letter case does not count. Most refs
+    have their tasks within one edit (see ``_nearest``); only the others are compared with all titles two edits away. Equal
     titles are compared once. Short titles meet by what is left of them without two characters, longer
     ones by the parts before and behind a cut (see ``_long_pairs``).
     """
     size = F.length("low_ref")
     lookups = materialise(_lower_refs(refs))
-    named = materialise(_first_hits(_candidates(tasks).select("id", "title", "low_title", "place"), ["low_title"], [F.col("place")]).drop("pos"))
+    first = materialise(_first_hits(_candidates(tasks).select("id", "title", "low_title", "place"), ["low_title"], [F.col("place")]).drop("pos"))
+    named = materialise(O.numbered(first, [F.col("place")], "task").select("task", "id", "title", "low_title"))
+    release(first)
+    nearest = _nearest(lookups, named)
+    served = nearest.groupBy("ref").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == MAX_SUGGESTIONS).select("ref")
+    hashed = lookups.withColumn("ref", F.xxhash64("low_ref"))
+    rest = materialise(hashed.join(served, "ref", "left_anti").select("low_ref"))
+
     titles = materialise(named.select("low_title").distinct())
     long_title, long_ref = F.length("low_title") > SHORT_TITLE, size > SHORT_TITLE
-    pairs = _long_pairs(lookups.where(long_ref), titles.where(long_title))
+    pairs = _long_pairs(rest.where(long_ref), titles.where(long_title))
 
     # One of a pair is short, the other at most two characters longer.
-    left_ref = lookups.where(size <= SHORT_TITLE + MAX_EDITS).select("low_ref", F.explode(_left_over(F.col("low_ref"))).alias("left"))
+    left_ref = materialise(rest.where(size <= SHORT_TITLE + MAX_EDITS).select("low_ref", F.explode(_left_over(F.col("low_ref"))).alias("left")))
     left_title = titles.where(F.length("low_title") <= SHORT_TITLE + MAX_EDITS).select("low_title", F.explode(_left_over(F.col("low_title"))).alias("left"))
-    short = materialise(left_ref).join(materialise(left_title), "left").where(~(long_title & long_ref))
+    left_title = materialise(left_title.where(_wanted(left_ref.select("left"))(F.col("left"))))
     distance = F.levenshtein("low_ref", "low_title", MAX_EDITS)
-    judged = pairs.unionByName(short.select("low_ref", "low_title").distinct()).withColumn("distance", distance).where(F.col("distance") >= 0)
-    hits = materialise(judged).join(named, "low_title")
-    first = _first_hits(hits, ["low_ref"], [F.col("distance"), F.col("place")])
-    return _with_refs(first.select("low_ref", "pos", "id", "title", "distance"), refs)
+    judge = lambda met: met.select("low_ref", "low_title", distance.alias("distance")).where(F.col("distance") >= 0)
+    short = judge(left_ref.join(left_title, "left").where(~(long_title & long_ref))).distinct()
+    judged = materialise(judge(pairs).unionByName(short)).join(named, "low_title").select("low_ref", "task", "distance")
+    near = hashed.join(nearest.join(served, "ref"), "ref").select("low_ref", "task", "distance").unionByName(judged)
+    first = _first_hits(near, ["low_ref"], [F.col("distance"), F.col("task")])
+    return _with_refs(first.join(named, "task").select("low_ref", "pos", "id", "title", "distance"), refs)
 
 
 def search_many(tasks: DataFrame, queries: DataFrame) -> DataFrame:

@@ -202,6 +202,24 @@ def test_fuzzy_titles(spark, make_tasks):
     assert set(got) == expected and len(got) == len(expected)
 
 
+def test_many_titles_alike_are_not_all_paired(spark, make_tasks, monkeypatch):
+    """Of titles that are all near each other, what is written grows with the refs and not with their pairs."""
+    written, plain = [], matching.materialise
+    monkeypatch.setattr(matching, "materialise", lambda df: (table := plain(df), written.append(table.count()))[0])
+    rows = [task(i, title=title, created=i % 7) for i in range(400) for title in [f"Fix {i:04d}" if i % 2 else f"Invoice reminder {i:04d}"]]
+    refs = [rows[i]["title"][:2] + "x" + rows[i]["title"][2 + i % 3 % 2 :] for i in range(400)] + [r["title"] for r in rows]
+    expected = set()
+    for ref in set(refs):
+        near = [(d, list_key(r), r) for r in rows if abs(len(r["title"]) - len(ref)) <= 2 and (d := distance(ref.lower(), r["title"].lower())) <= 2]
+        expected |= {(ref, pos, r["id"], r["title"], d) for pos, (d, _, r) in enumerate(sorted(near, key=lambda hit: hit[:2])[:3], 1)}
+    exact = [r["title"] for r in rows]
+    got = {tuple(r) for r in matching.fuzzy_titles(ref_table(spark, refs), make_tasks(*rows)).collect()}
+    assert got == expected
+    written.clear()
+    assert matching.fuzzy_titles(ref_table(spark, exact), make_tasks(*rows)).count() == 3 * len(exact)
+    assert max(written) < 80 * len(exact)
+
+
 def test_long_titles_alike_in_most_parts_meet_few(spark):
     """Titles of the same words and other numbers: all near pairs, and few beside them."""
     rng = random.Random(9)
