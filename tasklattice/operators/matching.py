@@ -27,8 +27,12 @@ MAX_SUGGESTIONS = 3
 # Starts of ids up to this length are few, so only the first ids of each are compared.
 SHORT_LENGTH = 5
 MAX_EDITS = 2
-# A filter of wanted keys has eight bits a key, and no more than 16 MB; its words come in pages.
-KEY_BITS, MOST_BITS, PAGE = 8, 27, 12
+# Long lookups are met by three pieces of at most so many characters.
+LONGEST_PIECE = 8
+# Of more ids than these, short lookups are held against these shares of all first.
+FEW_IDS, SHARES = 1 << 18, (64, 8, 1)
+# A filter of wanted keys has eight bits a key, and no more than 32 MB; its words come in pages.
+KEY_BITS, MOST_BITS, PAGE = 8, 28, 12
 # A text is looked up by one piece of it, an anchor, of one of these lengths.
 ANCHOR_LENGTHS = (6, 3, 1)
 # Texts of tasks share most of their words, so searches in them have longer anchors and more lengths to choose from.
@@ -334,25 +338,16 @@ def _starts(ids: DataFrame, keyed_refs: DataFrame) -> DataFrame:
     return first.select(starts.columns).unionByName(starts.where(F.col("_length") > SHORT_LENGTH))
 
 
-def _near_ids(lookups: DataFrame, ids: DataFrame, count: int) -> DataFrame:
-    """(low_ref, place, distance): the ids (place, low_id), so many in all, within two edits of a lookup.
-
-    Long lookups are keyed by their start alone: as many characters as make a key rare
-    among ids of hexadecimal digits. So an id has as many keys however many lengths they have.
-    """
-    enough = max(SHORT_LENGTH, math.ceil(math.log(max(count, 2), 16))) + 3
+def _near_by_start(lookups: DataFrame, ids: DataFrame, enough: int) -> DataFrame:
+    """(low_ref, place, distance): ids within two edits, met by what their starts of up to ``enough`` characters are without two."""
     size = F.length("low_ref")
     start = F.substring("low_ref", 1, enough)
-    keyed_refs = materialise(
-        lookups.select("low_ref", start.alias("_start"), F.explode(_fuzzy_keys(start, F.length(start))).alias("key"))
-    )
-    keys = keyed_refs.select(F.length("_start").alias("_length"), "key")
-    keyed_ids = (
-        _starts(ids, keyed_refs)
-        .select("place", "head", "_length", F.explode(_fuzzy_keys(F.col("head"), F.col("_length"))).alias("key"))
-        .where(_wanted(keys.select(F.concat_ws(":", "_length", "key")).distinct())(F.concat_ws(":", "_length", "key")))
-    )
-    met = keyed_ids.join(keyed_refs.withColumn("_length", F.length("_start")).hint("merge"), ["_length", "key"])
+    keys = F.transform(_fuzzy_keys(start, F.length(start)), lambda key: F.xxhash64(F.length(start), key))
+    keyed_refs = materialise(lookups.select("low_ref", start.alias("_start"), F.explode(keys).alias("key")))
+    keys = F.transform(_fuzzy_keys(F.col("head"), F.col("_length")), lambda key: F.xxhash64("_length", key))
+    keyed_ids = _starts(ids, keyed_refs).select("place", "head", F.explode(keys).alias("key"))
+    keyed_ids = keyed_ids.where(_wanted(keyed_refs.select("key").distinct())(F.col("key")))
+    met = keyed_ids.join(keyed_refs.hint("merge"), "key")
     distance = F.when(size <= enough, F.levenshtein("low_ref", "head", MAX_EDITS))
     pairs = met.withColumn("distance", distance).where((size > enough) | (F.col("distance") >= 0))
     pairs = materialise(pairs.groupBy("low_ref", "place").agg(F.first("distance").alias("distance")))
@@ -362,6 +357,65 @@ def _near_ids(lookups: DataFrame, ids: DataFrame, count: int) -> DataFrame:
     return short.unionByName(long.where(F.col("distance") >= 0).drop("low_id"))
 
 
+def _near_by_pieces(lookups: DataFrame, ids: DataFrame) -> DataFrame:
+    """(low_ref, place, distance): ids within two edits of lookups of at least five characters.
+
+    Two edits leave one of the first three pieces of an id as it is. In the lookup it stands up to one place
+    before its own or two behind it, as the id is cut to the lookup's length, or up to two characters shorter.
+    """
+    size, wide = F.length("low_ref"), F.col("_wide")
+    at = [(number, shift) for number in range(3) for shift in range(-1, MAX_EDITS + 1)]
+    cut = lambda text, number, place: F.xxhash64(F.lit(number), F.substring(text, place + 1, wide))
+    pieces = [F.when((number * wide + shift >= 0) & ((number + 1) * wide + shift <= size), cut(F.col("low_ref"), number, number * wide + shift)) for number, shift in at]
+    least = F.least(F.lit(LONGEST_PIECE), F.floor((size - MAX_EDITS) / 3).cast("int"))
+    asked = lookups.select("low_ref", least.alias("_wide"))
+    ref_keys = materialise(asked.select("low_ref", "_wide", F.explode(F.array_distinct(F.array_compact(F.array(*pieces)))).alias("key")))
+    own = [F.when(F.length("low_id") >= (number + 1) * wide, cut(F.col("low_id"), number, number * wide)) for number in range(3)]
+    wides = ref_keys.select(F.collect_set("_wide")).scalar()
+    by_width = ids.withColumn("_wides", wides).select("place", "low_id", F.explode("_wides").alias("_wide"))
+    id_keys = by_width.select("place", "low_id", F.explode(F.array_compact(F.array(*own))).alias("key"))
+    id_keys = id_keys.where(_wanted(ref_keys.select("key").distinct())(F.col("key")))
+    head = F.substring("low_id", F.lit(1), size)
+    met = id_keys.join(ref_keys.drop("_wide").hint("merge"), "key").select("low_ref", "place", F.levenshtein("low_ref", head, MAX_EDITS).alias("distance"))
+    return met.where(F.col("distance") >= 0).distinct()
+
+
+def _digits(count: int) -> float:
+    """How many hexadecimal digits tell so many ids apart."""
+    return math.log(max(count, 2), 16)
+
+
+def _near_ids(lookups: DataFrame, ids: DataFrame, count: int) -> DataFrame:
+    """(low_ref, place, distance): the ids (place, low_id), so many in all, within two edits of a lookup.
+
+    Long lookups are keyed by three pieces, if these are long enough to be rare among ids of hexadecimal
+    digits, others by their start alone: as many characters as make a key rare. So an id
+    has as many keys however many lengths they have.
+    """
+    by_pieces = F.length("low_ref") >= 3 * max(3, math.ceil(_digits(count) - 0.5)) + MAX_EDITS
+    by_start = _near_by_start(lookups.where(~by_pieces), ids, max(SHORT_LENGTH, math.ceil(_digits(count))) + 3)
+    return by_start.unionByName(_near_by_pieces(lookups.where(by_pieces), ids))
+
+
+def _first_near(lookups: DataFrame, ids: DataFrame, count: int) -> DataFrame:
+    """(low_ref, pos, place, distance): the first few ids (place from 1 to ``count``, low_id) within two edits of each lookup.
+
+    Lookups so short that they are near to many ids are held against the first ids in list order, and
+    only those that have found too few there against the next ones.
+    """
+    first = lambda some, among: materialise(_first_hits(_near_ids(some, among, count), ["low_ref"], [F.col("place")]).drop("pos"))
+    if count <= FEW_IDS:
+        found = [first(lookups, ids)]
+    else:
+        common = F.length("low_ref") <= max(SHORT_LENGTH, math.ceil(_digits(count)) + 1)
+        found, left, start = [first(lookups.where(~common), ids)], materialise(lookups.where(common)), 0
+        for end in (count // share for share in SHARES):
+            found.append(first(left, ids.where((F.col("place") > start) & (F.col("place") <= end))))
+            served = reduce(DataFrame.unionByName, found[1:]).groupBy("low_ref").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MAX_SUGGESTIONS)
+            left, start = materialise(left.join(served, "low_ref", "left_anti")), end
+    return _first_hits(reduce(DataFrame.unionByName, found), ["low_ref"], [F.col("place")])
+
+
 def fuzzy_match(refs: DataFrame, tasks: DataFrame) -> DataFrame:
     """Up to three tasks per ref: id prefixes, else ids holding it, else ids within two edits.
 
@@ -371,8 +425,10 @@ def fuzzy_match(refs: DataFrame, tasks: DataFrame) -> DataFrame:
     is matched and shuffled has numbers in place of ids and of what orders them.
     """
     lookups = materialise(_lower_refs(refs).where(F.length("low_ref") <= ID_LENGTH + MAX_EDITS))
-    open_ids = _candidates(tasks).where(F.col("id").isNotNull()).groupBy("id").agg(F.min("place").alias("order"))
-    named = materialise(O.numbered(open_ids, [F.col("order")], "place").select("place", "id"))
+    # The id, which ends the list order, is what the rows are grouped by.
+    order = F.struct("place.state_rank", "place.priority_rank", "place.age")
+    open_ids = _candidates(tasks).where(F.col("id").isNotNull()).groupBy("id").agg(F.min(order).alias("order"))
+    named = materialise(O.numbered(open_ids, [F.col("order"), F.col("id")], "place").select("place", "id"))
     ids = named.select("place", F.lower("id").alias("low_id"))
     columns = ["low_ref", "pos", "hit", "place", "distance"]
 
@@ -389,8 +445,7 @@ def fuzzy_match(refs: DataFrame, tasks: DataFrame) -> DataFrame:
     )
     rest = materialise(rest.join(by_content.select("low_ref").distinct(), "low_ref", "left_anti"))
 
-    near = _near_ids(rest, ids, named.count())
-    by_distance = _first_hits(near, ["low_ref"], [F.col("place")]).withColumn("hit", F.lit("distance"))
+    by_distance = _first_near(rest, ids, named.count()).withColumn("hit", F.lit("distance"))
     hits = by_prefix.unionByName(by_content).unionByName(by_distance.select(columns))
     found = hits.join(named, "place").select("low_ref", "pos", "hit", "id", "distance")
     return _with_refs(found, refs)

@@ -121,6 +121,33 @@ def test_fuzzy(spark, tasks, rows):
     assert {h for _, _, h, _, _ in got} == {"prefix", "substring", "distance"}
 
 
+def test_short_refs_meet_the_first_ids_only(spark, make_tasks, monkeypatch):
+    """Refs that are near to very many ids: the first three of them, found without writing all pairs; and long refs among them."""
+    written, plain = [], matching.materialise
+    monkeypatch.setattr(matching, "materialise", lambda df: (table := plain(df), written.append((table.columns, table.count())))[0])
+    monkeypatch.setattr(matching, "FEW_IDS", 100, raising=False)
+    rng = random.Random(4)
+    rows = [task(f"id {n}", created=rng.randrange(900), priority=rng.choice(["high", "low"])) for n in range(2000)]
+    refs = ["z" + "".join(rng.choice("0123456789abcdef") for _ in range(2)) for _ in range(80)]
+    for n in range(40):
+        text = rng.choice(rows)["id"][: 14 + n % 27]
+        for _ in range(2):
+            at = rng.randrange(len(text))
+            text = text[:at] + rng.choice(["", "z", "7"]) + text[at + rng.randrange(2) :]
+        refs.append(text)
+    refs += [rows[0]["id"] + "xy", "xy" + rows[1]["id"], "xy" + rows[2]["id"][:30], rows[3]["id"] + "xyz"]
+    pool, expected, pairs = open_in_order(rows), set(), 0
+    for ref in set(refs):
+        if not any(ref in r["id"] for r in pool):
+            near = [(r["id"], d) for r in pool if (d := distance(ref, r["id"][: len(ref)])) <= 2]
+            expected |= {(ref, pos, "distance", *hit) for pos, hit in enumerate(near[:3], 1)}
+            pairs += len(near)
+    got = {tuple(r) for r in matching.fuzzy_match(ref_table(spark, refs), make_tasks(*rows)).where("hit = 'distance'").select("ref", "pos", "hit", "id", "distance").collect()}
+    assert got == expected
+    near = [n for columns, n in written if columns == ["low_ref", "place", "distance"]]
+    assert max(near) < pairs / 4
+
+
 def test_stretches_of_lookups_are_not_broadcast(spark, monkeypatch):
     plans, plain = [], matching.materialise
     monkeypatch.setattr(matching, "materialise", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df))
