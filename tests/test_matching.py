@@ -285,6 +285,27 @@ def test_stored_index(spark, tmp_path):
     assert "PushedFilters: [IsNotNull(gram), EqualTo(gram,alp)]" in plan
 
 
+def test_queries_of_common_grams_meet_few_texts(spark, tmp_path, monkeypatch):
+    """All grams stand in nearly all texts: candidates are near the hits, and pieces with wildcards are still looked for."""
+    written, plain = [], textindex.materialise
+    monkeypatch.setattr(textindex, "materialise", lambda df: (table := plain(df), written.append((table.columns[-1], table.count())))[0])
+    rng = random.Random(6)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
+    texts = [(n, " ".join(rng.choices(words, k=40)), None if n % 9 else "Beta gamma") for n in range(150)]
+    rows = spark.createDataFrame(texts, "n int, body string, note string")
+    textindex.write_index(rows, f"{tmp_path}/index", "n", ["body", "note"])
+    index = textindex.read_index(spark, f"{tmp_path}/index", rows, "n", ["body", "note"])
+    queries = [" ".join(rng.choices(words, k=3)).upper() for _ in range(60)] + ["alpha be%ma sig", "ega_si_ma", "mega_", "a_b%g", "eta", "none such", "beta alpha none"]
+    expected = set()
+    for q in queries:
+        shape = "".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in q.lower())
+        expected |= {(q, n) for n, *both in texts if any(text and re.search(shape, text.lower()) for text in both)}
+    written.clear()
+    got = [tuple(r) for r in textindex.search_index(index, spark.createDataFrame([(q,) for q in queries], "q string")).collect()]
+    assert set(got) == expected and len(got) == len(expected)
+    assert max(n for column, n in written if column == "id") < 3 * len(got)
+
+
 def test_no_nested_loops(spark, tasks):
     """Every lookup joins by equality and stays in the JVM."""
     refs = ref_table(spark, ["abcd", "order 1"])
